@@ -1,6 +1,6 @@
 """Column functions. Every one returns a Column; none is a Python UDF."""
 
-from skyledger.functions.climate import estimate_columns
+from skyledger.functions.climate import with_estimates
 from skyledger.functions.geo import climate_zone, country_code, haversine_km, hemisphere
 from skyledger.functions.numeric import half_even, mean_of_ticks, round_scaled, signless_zero
 from skyledger.functions.text import blank_to_null, fixed, month_label, safe_double, try_int
@@ -21,7 +21,6 @@ __all__ = [
     "delta_c_to_f",
     "display_delta",
     "display_temperature",
-    "estimate_columns",
     "f_to_c",
     "fixed",
     "half_even",
@@ -34,4 +33,5 @@ __all__ = [
     "safe_double",
     "signless_zero",
     "try_int",
+    "with_estimates",
 ]

@@ -13,9 +13,9 @@ from skyledger.functions import (
     climate_zone,
     country_code,
     display_temperature,
-    estimate_columns,
     mean_of_ticks,
     round_scaled,
+    with_estimates,
 )
 from skyledger.functions.climate import FEATURES
 from skyledger.functions.numeric import sum_of_ticks
@@ -60,9 +60,7 @@ def estimated_climate(raw_stations: DataFrame) -> DataFrame:
         country_code(F.col("station_id")).alias("country_code"),
         climate_zone(latitude).alias("climate_zone"),
     )
-    return located.withColumns(
-        {**estimate_columns(latitude, F.col("elevation")), "data_source": F.lit("estimated")}
-    )
+    return with_estimates(located).withColumn("data_source", F.lit("estimated"))
 
 
 def observed_climate(monthly: DataFrame) -> DataFrame:

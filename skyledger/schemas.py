@@ -60,3 +60,61 @@ DIM_COUNTRY = T.StructType(
         T.StructField("iso3", T.StringType()),
     ]
 )
+
+_STATION = (
+    "station_id string, station_name string, latitude double, longitude double, "
+    "elevation double, state string, country_code string, climate_zone string"
+)
+_FLAGS = "had_precipitation boolean, had_snowfall boolean, is_extreme_heat boolean, is_extreme_cold boolean"
+_ROLLING = (
+    "tavg_7d_avg double, precip_7d_avg double, tavg_30d_avg double, precip_30d_total double, "
+    "temp_change_1d double, temp_change_7d double"
+)
+_CHECKS = (
+    "check_name string, violation_count bigint, check_result string, description string, "
+    "checked_at timestamp"
+)
+
+#: Declared schema of every stored table, as DDL.
+TABLES = {
+    "staging.daily_observations": (
+        "station_id string, obs_date date, tmax_celsius double, tmin_celsius double, "
+        "tavg_celsius double, tavg_derived_celsius double, precipitation_mm double, "
+        "snowfall_mm double, snow_depth_mm double, avg_wind_speed_ms double, "
+        "temp_range_celsius double"
+    ),
+    "staging.stations": (
+        "station_id string, latitude double, longitude double, elevation double, state string, "
+        "station_name string, gsn_flag string, hcn_flag string, wmo_id string, "
+        "country_code string, hemisphere string, climate_zone string, is_us_station boolean"
+    ),
+    "marts.daily_weather": (
+        f"{_STATION}, obs_date date, obs_year int, obs_month int, day_of_week int, "
+        "day_of_year int, tmax_celsius double, tmin_celsius double, tavg_derived_celsius double, "
+        "temp_range_celsius double, precipitation_mm double, snowfall_mm double, "
+        f"snow_depth_mm double, avg_wind_speed_ms double, {_ROLLING}, {_FLAGS}"
+    ),
+    "marts.monthly_summary": (
+        "station_id string, station_name string, latitude double, longitude double, state string, "
+        "country_code string, climate_zone string, obs_year int, obs_month int, "
+        "avg_temp_celsius double, max_temp_celsius double, min_temp_celsius double, "
+        "temp_stddev double, total_precip_mm double, days_with_precip bigint, "
+        "avg_precip_per_rainy_day_mm double, total_snowfall_mm double, days_with_snow bigint, "
+        "extreme_heat_days bigint, extreme_cold_days bigint, observation_count bigint, "
+        "temp_observation_count bigint"
+    ),
+    "marts.prediction_features": (
+        "station_id string, obs_date date, obs_year int, obs_month int, day_of_year int, "
+        "latitude double, longitude double, elevation double, climate_zone string, "
+        "target_tavg_next_day double, tavg_derived_celsius double, tmax_celsius double, "
+        "tmin_celsius double, temp_range_celsius double, precipitation_mm double, "
+        "snowfall_mm double, avg_wind_speed_ms double, tavg_lag_1d double, tavg_lag_2d double, "
+        "tavg_lag_3d double, tavg_lag_7d double, precip_lag_1d double, precip_lag_7d double, "
+        "tavg_7d_avg double, tavg_30d_avg double, precip_7d_avg double, precip_30d_total double, "
+        "temp_change_1d double, temp_change_7d double, season_sin double, season_cos double, "
+        f"{_FLAGS}"
+    ),
+    "quality.raw_daily": _CHECKS,
+    "quality.stations": _CHECKS,
+    "quality.marts": _CHECKS,
+}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.schemas import NAMESPACES, RAW_DAILY, RAW_DAILY_KEYS, RAW_DAILY_STORED, RAW_STATIONS
+from skyledger.schemas import NAMESPACES, RAW_DAILY, RAW_DAILY_KEYS, RAW_DAILY_STORED, RAW_STATIONS, TABLES
 from skyledger.session import scratch_path
 
 PARTITIONS = ("obs_year", "station_bucket")
@@ -46,7 +46,13 @@ class Warehouse:
         return True
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        """A stored table with its declared columns, in their declared order."""
+        if table == "raw.stations":
+            return self.stations()
+        if table == "raw.daily":
+            return self.daily()
+        schema = T.StructType.fromDDL(TABLES[table])
+        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
 
     def create(self) -> None:
         """Create the raw tables with their declared schemas where missing."""

@@ -58,14 +58,28 @@ LEFT JOIN {raw_stations} s ON CAST(substr(s.station_id,3,9) AS BIGINT) = r.k
 """
 
 
+# Declared types of the given tables (columns that are read), so no file is
+# opened just to infer them.
+GIVEN = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_returnflag string",
+    "supplier": "s_suppkey bigint",
+}
+
+
+def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(GIVEN[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def raw_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = given(spark, sf_dir, "customer")
     return spark.sql(RAW_STATIONS_SQL, customer=customer)
 
 
 def raw_daily(spark: SparkSession, sf_dir: str, reporting: str = REPORTING_SQL) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    customer = given(spark, sf_dir, "customer")
+    lineitem = given(spark, sf_dir, "lineitem")
     return spark.sql(
         RAW_DAILY_SQL.replace("{reporting}", reporting),
         customer=customer,

@@ -91,7 +91,7 @@ class Inputs:
 
     @cached_property
     def points(self) -> DataFrame:
-        supplier = self.spark.read.parquet(f"{self.sf_dir}/supplier.parquet")
+        supplier = fixtures.given(self.spark, self.sf_dir, "supplier")
         return self.spark.sql(p.POINTS_SQL, supplier=supplier)
 
     @cached_property
