@@ -10,7 +10,7 @@ def c_to_f(c: Column) -> Column:
     return c * 9.0 / 5.0 + 32.0
 
 
-def f_to_c(f: Column) -> Column:
+def f_to_c(f: Column | float) -> Column | float:
     return (f - 32.0) * 5.0 / 9.0
 
 

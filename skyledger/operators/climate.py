@@ -13,6 +13,7 @@ from skyledger.functions import (
     climate_zone,
     country_code,
     display_temperature,
+    f_to_c,
     mean_of_ticks,
     round_scaled,
     with_estimates,
@@ -48,6 +49,14 @@ TEMPERATURE_FEATURES = ("avg_temp_c", "avg_summer_temp_c", "avg_winter_temp_c")
 MIN_MONTHS = 6
 
 
+def preferences_from_fahrenheit(preferences: Mapping[str, float]) -> dict[str, float]:
+    """The same preferences with their temperatures turned from Fahrenheit to Celsius."""
+    return {
+        c: f_to_c(float(v)) if c in TEMPERATURE_FEATURES else float(v)
+        for c, v in preferences.items()
+    }
+
+
 def estimated_climate(raw_stations: DataFrame) -> DataFrame:
     """Every station with coordinates and the climate its geography suggests."""
     latitude = F.col("latitude")

@@ -57,12 +57,29 @@ def stations_near_point(
     return near.orderBy("distance_km", "station_id")
 
 
-def _cell(degrees: Column, cell_degrees: float) -> Column:
-    return F.floor(degrees / cell_degrees).cast("int")
+#: A box reaches at most this many cells from its centre in each direction.
+REACH_CELLS = 4
+#: Coarsest level: cells of 64 base cells, wider than any box on the globe needs.
+MAX_LEVEL = 6
 
 
-def _cells_across(center: Column, margin: Column, cell_degrees: float) -> Column:
-    return F.sequence(_cell(center - margin, cell_degrees), _cell(center + margin, cell_degrees))
+def _level(margin: Column, cell_degrees: float) -> Column:
+    """How often the base cell is doubled so that a box spans a bounded number of cells."""
+    doublings = F.ceil(F.log2(margin / (cell_degrees * REACH_CELLS)))
+    return F.least(F.greatest(doublings, F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
+
+
+def _cell(degrees: Column, limit: float, cell_degrees: float) -> Column:
+    """Cell of a coordinate; values off the map belong to the cell at its edge."""
+    on_map = F.least(F.greatest(degrees, F.lit(-limit)), F.lit(limit))
+    size = F.pow(F.lit(2.0), F.col("level")) * cell_degrees
+    return F.floor(on_map / size).cast("int")
+
+
+def _cells_across(center: Column, margin: Column, limit: float, cell_degrees: float) -> Column:
+    return F.sequence(
+        _cell(center - margin, limit, cell_degrees), _cell(center + margin, limit, cell_degrees)
+    )
 
 
 def stations_near_points(
@@ -71,33 +88,33 @@ def stations_near_points(
     """Every (point, station) pair within the point's own radius.
 
     ``points`` has point_id, latitude, longitude and radius_km. Stations get the
-    one grid cell they lie in, points all cells their box touches, and the two
-    meet in an equi-join on the cell. Pairs outside a shared cell are never
-    formed, none is formed twice, and AQE can split a crowded cell.
+    grid cell they lie in, points all cells their box touches, and the two meet
+    in an equi-join on the cell. A point with a wide box uses coarser cells, so
+    it never touches more than about a hundred; stations are repeated only for
+    the levels in use (at most seven). Each pair is formed at most once, pairs
+    without a shared cell never, and AQE can split a crowded cell.
     """
     lat, lon, radius = F.col("p_lat"), F.col("p_lon"), F.col("radius_km")
     margin = _margin(radius)
-    boxes = (
-        points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select(
-            "point_id",
-            F.col("latitude").alias("p_lat"),
-            F.col("longitude").alias("p_lon"),
-            "radius_km",
-        )
-        .withColumn("cell_lat", F.explode(_cells_across(lat, margin, cell_degrees)))
-        .withColumn("cell_lon", F.explode(_cells_across(lon, margin, cell_degrees)))
+    leveled = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        "point_id",
+        F.col("latitude").alias("p_lat"),
+        F.col("longitude").alias("p_lon"),
+        "radius_km",
+        _level(_margin(F.col("radius_km")), cell_degrees).alias("level"),
     )
-    placed = stations.where(
-        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    ).select(
-        "station_id",
-        "latitude",
-        "longitude",
-        _cell(F.col("latitude"), cell_degrees).alias("cell_lat"),
-        _cell(F.col("longitude"), cell_degrees).alias("cell_lon"),
+    boxes = leveled.withColumn(
+        "cell_lat", F.explode(_cells_across(lat, margin, 90.0, cell_degrees))
+    ).withColumn("cell_lon", F.explode(_cells_across(lon, margin, 180.0, cell_degrees)))
+    levels = leveled.agg(F.collect_set("level")).scalar()
+    placed = (
+        stations.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        .select("station_id", "latitude", "longitude")
+        .withColumn("level", F.explode(levels))
+        .withColumn("cell_lat", _cell(F.col("latitude"), 90.0, cell_degrees))
+        .withColumn("cell_lon", _cell(F.col("longitude"), 180.0, cell_degrees))
     )
-    pairs = placed.join(boxes, ["cell_lat", "cell_lon"], "inner").where(
+    pairs = placed.join(boxes, ["level", "cell_lat", "cell_lon"], "inner").where(
         F.col("latitude").between(lat - margin, lat + margin)
         & F.col("longitude").between(lon - margin, lon + margin)
     )

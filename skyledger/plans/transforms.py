@@ -30,9 +30,25 @@ def build_marts(raw_daily: DataFrame, raw_stations: DataFrame) -> dict[str, Data
     }
 
 
-def run_transforms(warehouse: Warehouse) -> dict[str, DataFrame]:
+class DuplicateStations(ValueError):
+    """A station id occurs more than once and would repeat its observations."""
+
+
+def require_unique(stations: DataFrame) -> None:
+    found = staging.duplicate_station_ids(stations).orderBy("station_id").limit(5).collect()
+    if found:
+        ids = ", ".join(r.station_id for r in found)
+        raise DuplicateStations(f"station ids must be unique before the join; see {ids}")
+
+
+def run_transforms(
+    warehouse: Warehouse, *, allow_duplicate_stations: bool = False
+) -> dict[str, DataFrame]:
     """Build and store the five tables; each reads its inputs as stored.
 
+    Duplicate stations would multiply their observations and with them the
+    window partitions, so they stop the run unless they are allowed.
+
     The daily mart and the feature table are partitioned by year, so year-range
     loads prune, and sorted by station inside a file, so station lists skip row
     groups.
@@ -43,6 +59,8 @@ def run_transforms(warehouse: Warehouse) -> dict[str, DataFrame]:
     stored[STATIONS] = warehouse.replace_table(
         STATIONS, staging.stage_stations(warehouse.stations())
     )
+    if not allow_duplicate_stations:
+        require_unique(stored[STATIONS])
     stored[WEATHER] = warehouse.replace_table(
         WEATHER, marts.daily_weather(stored[DAILY], stored[STATIONS]), **by_year
     )

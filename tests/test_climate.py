@@ -106,6 +106,13 @@ def test_similarity_matches_numpy(spark):
     assert [r.similarity_pct for r in got] == [round(100 * x, 1) for x in expected]
 
 
+def test_preferences_in_fahrenheit():
+    wanted = climate.DEFAULT_PREFERENCES | {
+        "avg_temp_c": 59.0, "avg_summer_temp_c": 77.0, "avg_winter_temp_c": 41.0,
+    }
+    assert climate.preferences_from_fahrenheit(wanted) == climate.DEFAULT_PREFERENCES
+
+
 def test_constant_feature_and_zero_vector(spark):
     rows = [("A", "US", [1, 5] + [0] * 6), ("B", "US", [2, 5] + [0] * 6)]
     wanted = dict.fromkeys(FEATURES, 0.0) | {"avg_temp_c": 2.0, "avg_summer_temp_c": 5.0}

@@ -169,9 +169,11 @@ def test_grid_search_matches_brute_force(spark, cell):
     placed = [
         (f"US{n:09d}", "N", rng.choice([rng.uniform(-90, 90), rng.uniform(10, 12)]), rng.uniform(-180, 180), None)
         for n in range(500)
-    ] + [("US999999999", "N", None, 1.0, None)]
-    points = [(n, rng.uniform(-85, 85), rng.uniform(-180, 180), rng.uniform(10, 900)) for n in range(60)]
-    points.append((60, None, 0.0, 10.0))
+    ] + [("US999999999", "N", None, 1.0, None), ("US999999998", "N", 92.0, -181.0, None)]
+    points = [(n, rng.uniform(-85, 85), rng.uniform(-180, 180), rng.choice([10, 300, 900, 4000, 19000])) for n in range(60)]
+    points.append((61, 90.0, -179.5, 900))
+    points.append((60, None, 0.0, 10))
+    points = [(n, lat, lon, float(r)) for n, lat, lon, r in points]
     expected = set()
     for pid, lat, lon, r in points:
         reach = r / 111 + 0.5

@@ -128,3 +128,13 @@ def test_stream_correction_replaces_the_station_year(warehouse, landing, tmp_pat
     rows = warehouse.daily(years=[2020]).collect()
     assert [(r.station_id, r.data_value) for r in rows] == [(S, 99)]
     assert warehouse.daily(years=[2019]).count() == 10
+
+
+def test_duplicate_stations_stop_the_run_unless_allowed(spark, warehouse, landing):
+    transforms.backfill(warehouse, str(landing), 2019, 2020)
+    stations = warehouse.stations()
+    warehouse.replace_stations(spark.createDataFrame(stations.collect() * 2, stations.schema))
+    with pytest.raises(transforms.DuplicateStations, match=OTHER):
+        transforms.run_transforms(warehouse)
+    tables = transforms.run_transforms(warehouse, allow_duplicate_stations=True)
+    assert tables["marts.daily_weather"].count() == 60
