@@ -78,9 +78,11 @@ def target_frame(features: DataFrame, daily: DataFrame, unit: str = "C") -> Data
     """Actual temperature and next-day target, with the station's name.
 
     Names are reduced to one per station before the join, so it adds no rows; a
-    station without a name keeps its id.
+    station without a name keeps its id. Distinct pairs come first: they fold in
+    a hash aggregate where the days are read, the minimum then sees a few rows.
     """
-    names = daily.groupBy("station_id").agg(F.min("station_name").alias("name"))
+    pairs = daily.select("station_id", "station_name").distinct()
+    names = pairs.groupBy("station_id").agg(F.min("station_name").alias("name"))
     named = features.join(names, "station_id", "left").withColumn(
         "station_name", F.coalesce("name", "station_id")
     )

@@ -97,10 +97,16 @@ def oracle_ctes(daily_name: str = "raw_daily", reporting: str = REPORTING_SQL) -
 
 
 def cells(raw_daily: DataFrame) -> DataFrame:
-    """One row per (station, date, element): what a text file can hold."""
-    return raw_daily.groupBy("station_id", "obs_date", "element").agg(
-        *[F.max(c).alias(c) for c in ("data_value", "m_flag", "q_flag", "s_flag")]
+    """One row per (station, date, element): what a text file can hold.
+
+    Flags are single characters; their largest code point is the largest flag,
+    and aggregating numbers keeps the plan a hash aggregate.
+    """
+    flags = ("m_flag", "q_flag", "s_flag")
+    largest = raw_daily.groupBy("station_id", "obs_date", "element").agg(
+        F.max("data_value").alias("data_value"), *[F.max(F.ascii(c)).alias(c) for c in flags]
     )
+    return largest.withColumns({c: F.char(c) for c in flags})
 
 
 def daily_lines(raw_daily: DataFrame) -> DataFrame:
