@@ -14,8 +14,8 @@ from skyledger.functions import (
     country_code,
     display_temperature,
     f_to_c,
+    half_even,
     mean_of_ticks,
-    round_scaled,
     with_estimates,
 )
 from skyledger.functions.climate import FEATURES
@@ -162,7 +162,7 @@ def climate_similarity(profiles: DataFrame, preferences: Mapping[str, float]) ->
     similarity = F.col("dot") / F.when(F.col("norms") == 0, F.lit(1.0)).otherwise(F.col("norms"))
     return (
         scored.withColumn("similarity", similarity)
-        .withColumn("similarity_pct", round_scaled(F.col("similarity") * 100.0, 1))
+        .withColumn("similarity_pct", half_even(F.col("similarity") * 100.0, 1))
         .drop("bounds", "dot", "norms")
     )
 
@@ -202,7 +202,7 @@ def match_table(top: DataFrame, countries: DataFrame, *, unit: str = "C") -> Dat
         "climate_zone",
         "data_source",
         "similarity_pct",
-        *[round_scaled(value, 1).alias(c) for c, value in numbers.items()],
+        *[half_even(value, 1).alias(c) for c, value in numbers.items()],
     )
 
 

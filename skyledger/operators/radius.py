@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions import haversine_km, round_scaled
+from skyledger.functions import half_even, haversine_km
 
 # The search box reaches radius/111 + 0.5 degrees each way.
 KM_PER_DEGREE, MARGIN_DEGREES = 111.0, 0.5
@@ -39,7 +39,7 @@ def stations_near(
             "station_name",
             "latitude",
             "longitude",
-            round_scaled(F.col("km"), 1).alias("distance_km"),
+            half_even(F.col("km"), 1).alias("distance_km"),
         )
     )
 
@@ -122,5 +122,5 @@ def stations_near_points(
     return (
         pairs.withColumn("km", distance)
         .where(F.col("km") <= radius)
-        .select("point_id", "station_id", round_scaled(F.col("km"), 1).alias("distance_km"))
+        .select("point_id", "station_id", half_even(F.col("km"), 1).alias("distance_km"))
     )

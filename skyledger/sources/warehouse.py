@@ -200,7 +200,7 @@ class Warehouse:
         )
         fetched = new.select("station_id").distinct()
         kept = old.join(fetched, "station_id", "left_anti").select(*RAW_DAILY_STORED.names)
-        self._swap(old, self._settle(kept.unionByName(new), "replace-merged"))
+        self._swap(old, self._settle(kept, "replace-kept").unionByName(new))
         return True
 
     def replace_years(self, batch: DataFrame, years: Sequence[int]) -> bool:

@@ -161,7 +161,7 @@ FROM estimated e LEFT JOIN observed o ON o.station_id = e.station_id""",
     + ") * sqrt("
     + " + ".join(f"w{i}*w{i}" for i in range(8))
     + ") END AS similarity FROM scaled",
-    "matches": f"SELECT *, {rounded('similarity * 100e0', 1)} AS similarity_pct FROM scored",
+    "matches": f"SELECT *, {half_even('similarity * 100e0', 1)} AS similarity_pct FROM scored",
     "best": """
 SELECT * FROM matches
 QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY similarity DESC, station_id) < 4
@@ -374,7 +374,7 @@ def near(lat: str, lon: str, radius: str) -> str:
 
 
 LAT, LON = (f"{x}e0" for x in p.POINT)
-DISTANCE = rounded(great_circle(LAT, LON, "s.latitude", "s.longitude"), 1)
+DISTANCE = half_even(great_circle(LAT, LON, "s.latitude", "s.longitude"), 1)
 FOUND_LABEL = """
 SELECT f.name, concat_ws(', ', f.name, if(f.state <> '', ifnull(st.name, f.state), NULL), ifnull(co.name, f.cc)) AS display,
   f.latitude, f.longitude
@@ -507,13 +507,13 @@ def oracle_sql() -> dict[str, str]:
         f"{DISTANCE} AS distance_km FROM raw_stations s WHERE {near(LAT, LON, f'{p.RADIUS_KM}e0')}"
     )
     q["search_then_radius"] = statement(
-        f"SELECT s.station_id, {rounded(great_circle('a.la', 'a.lo', 's.latitude', 's.longitude'), 1)} AS distance_km "
+        f"SELECT s.station_id, {half_even(great_circle('a.la', 'a.lo', 's.latitude', 's.longitude'), 1)} AS distance_km "
         f"FROM raw_stations s, {ANCHOR} a WHERE {near('a.la', 'a.lo', f'{p.RADIUS_KM}e0')}",
         "found",
     )
     q["radius_batch"] = statement(
         f"SELECT t.point_id, s.station_id, "
-        f"{rounded(great_circle('t.latitude', 't.longitude', 's.latitude', 's.longitude'), 1)} AS distance_km "
+        f"{half_even(great_circle('t.latitude', 't.longitude', 's.latitude', 's.longitude'), 1)} AS distance_km "
         f"FROM points t, raw_stations s WHERE {near('t.latitude', 't.longitude', 't.radius_km')}",
         "points",
     )
@@ -560,7 +560,7 @@ def oracle_sql() -> dict[str, str]:
     q["match_table"] = statement(
         "SELECT station_name, ifnull(c.name, country_code) AS country, climate_zone, data_source, similarity_pct, "
         + ", ".join(
-            f"{rounded(fahrenheit(c) if '_temp_' in c else c, 1)} AS {c}" for c in shown
+            f"{rounded(half_even(fahrenheit(c) if '_temp_' in c else c, 1))} AS {c}" for c in shown
         )
         + " FROM best LEFT JOIN countries c ON c.code = country_code",
         "best",
