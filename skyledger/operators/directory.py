@@ -143,7 +143,7 @@ def search_stations(
     )
 
 
-def station_coordinates(stations: DataFrame, station_id: str) -> DataFrame:
+def station_coordinates(stations: DataFrame, station_id: str | Column) -> DataFrame:
     """One row with the station's coordinates, (0, 0) when it is unknown."""
     found = stations.where(F.col("station_id") == station_id).agg(
         F.count("*").alias("n"),

@@ -55,7 +55,7 @@ def stage_stations(raw_stations: DataFrame) -> DataFrame:
                 "country_code": country_code(station_id),
                 "hemisphere": hemisphere(latitude),
                 "climate_zone": climate_zone(latitude),
-                "is_us_station": country_code(station_id) == "US",
+                "is_us_station": F.coalesce(country_code(station_id) == "US", F.lit(False)),
             }
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import weakref
@@ -22,6 +23,23 @@ DEFAULTS = {
 }
 
 
+def sized_for(input_bytes: int, shuffled_share: float = 0.25) -> dict[str, str]:
+    """Partition settings for a job that reads ``input_bytes`` of raw tables.
+
+    Reducers get about 256 MB each, which a task sorts without spilling much.
+    The number of shuffle blocks is maps x reducers, so very large inputs use
+    larger scan splits and stop at 20,000 reducers; AQE joins what turns out small.
+    """
+    mb = 1024**2
+    reducers = math.ceil(input_bytes * shuffled_share / (256 * mb))
+    split = 128 if input_bytes < 10 * 1024**4 else 512
+    return {
+        "spark.sql.shuffle.partitions": str(min(max(reducers, 200), 20_000)),
+        "spark.sql.files.maxPartitionBytes": str(split * mb),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+    }
+
+
 def build_session(app: str = "skyledger", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

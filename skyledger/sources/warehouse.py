@@ -1,5 +1,6 @@
 """Tables as Parquet folders under one root, and the ways to replace their rows.
 
+One writer at a time may change a table, as is usual for plain Parquet folders.
 ``raw.daily`` is partitioned by year and by a hash bucket of the station id. A
 replacement then reads and rewrites only the (year, bucket) partitions its
 stations fall into, and readers that ask for years or stations prune to theirs.
@@ -7,7 +8,8 @@ stations fall into, and readers that ask for years or stations prune to theirs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,15 +157,19 @@ class Warehouse:
         """Truncate and load."""
         self._write_daily(self._checked(rows), "overwrite", partitionOverwriteMode="static")
 
-    def _settle(self, rows: DataFrame, label: str) -> DataFrame:
+    @contextmanager
+    def _settled(self, rows: DataFrame, label: str) -> Iterator[DataFrame]:
         """Rows written to the shared scratch folder and read back.
 
         This cuts the plan between reading a table and overwriting it, survives
-        the loss of executors, and gives every later use the same rows.
+        the loss of executors, and gives every later use the same rows. After
+        success the copy is overwritten with nothing, so scratch space does not
+        grow with the number of runs; after a failure it stays for recovery.
         """
         path = scratch_path(self.spark, label)
         rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        yield self.spark.read.schema(rows.schema).parquet(path)
+        self._empty(rows.schema).write.mode("overwrite").parquet(path)
 
     def _partitions(self, rows: DataFrame) -> set[tuple[int, int]]:
         """Partition keys only: at most years x buckets of them."""
@@ -189,29 +195,27 @@ class Warehouse:
         failed run is repaired by repeating it. Returns whether anything changed.
         """
         wanted = sorted(set(years))
-        new = self._settle(
-            self._checked(batch).where(F.col("obs_year").isin(*wanted)), "replace-new"
-        )
-        buckets = [r[0] for r in new.select("station_bucket").distinct().collect()]
-        if not buckets:
-            return False
-        old = self._stored().where(
-            F.col("obs_year").isin(*wanted) & F.col("station_bucket").isin(*buckets)
-        )
-        fetched = new.select("station_id").distinct()
-        kept = old.join(fetched, "station_id", "left_anti").select(*RAW_DAILY_STORED.names)
-        self._swap(old, self._settle(kept, "replace-kept").unionByName(new))
+        in_years = self._checked(batch).where(F.col("obs_year").isin(*wanted))
+        with self._settled(in_years, "replace-new") as new:
+            buckets = [r[0] for r in new.select("station_bucket").distinct().collect()]
+            if not buckets:
+                return False
+            old = self._stored().where(
+                F.col("obs_year").isin(*wanted) & F.col("station_bucket").isin(*buckets)
+            )
+            fetched = new.select("station_id").distinct()
+            rest = old.join(fetched, "station_id", "left_anti").select(*RAW_DAILY_STORED.names)
+            with self._settled(rest, "replace-kept") as kept:
+                self._swap(old, kept.unionByName(new))
         return True
 
     def replace_years(self, batch: DataFrame, years: Sequence[int]) -> bool:
         """Replace whole years for all stations, unless ``batch`` is empty."""
-        wanted = sorted(set(years))
-        new = self._settle(
-            self._checked(batch).where(F.col("obs_year").isin(*wanted)), "replace-new"
-        )
-        if new.limit(1).isEmpty():
-            return False
-        self._swap(self._stored().where(F.col("obs_year").isin(*wanted)), new)
+        wanted = F.col("obs_year").isin(*sorted(set(years)))
+        with self._settled(self._checked(batch).where(wanted), "replace-new") as new:
+            if new.limit(1).isEmpty():
+                return False
+            self._swap(self._stored().where(wanted), new)
         return True
 
     def stations_with_all_years(

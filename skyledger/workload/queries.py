@@ -254,9 +254,8 @@ def station_search(i: Inputs) -> DataFrame:
 
 @register
 def station_coordinates(i: Inputs) -> DataFrame:
-    first = i.raw_stations.agg(F.min("station_id").alias("station_id"))
-    located = i.raw_stations.join(first, "station_id", "left_semi")
-    return located.select("latitude", "longitude")
+    first = i.raw_stations.agg(F.min("station_id")).scalar()
+    return directory.station_coordinates(i.raw_stations, first)
 
 
 @register

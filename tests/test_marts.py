@@ -158,3 +158,8 @@ def test_station_bands(spark):
 def test_duplicate_ids_are_reported(spark):
     got = staging.duplicate_station_ids(stations(spark, S, S, "CA000000002")).collect()
     assert [(r.station_id, r.occurrences) for r in got] == [(S, 2)]
+
+
+def test_unknown_id_is_not_a_us_station(spark):
+    df = spark.createDataFrame([(None, 1.0, 1.0, None, None, "N", None, None, None)], RAW_STATIONS)
+    assert staging.stage_stations(df).first().is_us_station is False

@@ -49,6 +49,32 @@ def test_replacing_twice_equals_once(spark, warehouse):
     assert stored(warehouse) == once
 
 
+def test_scratch_copies_are_emptied_after_success(spark, warehouse, monkeypatch, tmp_path):
+    paths = []
+
+    def scratch(_, label):
+        paths.append(str(tmp_path / label))
+        return paths[-1]
+
+    monkeypatch.setattr("skyledger.sources.warehouse.scratch_path", scratch)
+    warehouse.append_daily(frame(spark, [row(A, 2020), row(B, 2020)]))
+    warehouse.replace_station_years(frame(spark, [row(A, 2020, 5)]), [2020])
+    assert len(paths) == 2
+    assert [spark.read.parquet(p).count() for p in paths] == [0, 0]
+    assert stored(warehouse) == [(B, 2020, 1), (A, 2020, 5)]
+
+
+def test_failed_overwrite_keeps_the_copies(spark, warehouse, monkeypatch, tmp_path):
+    monkeypatch.setattr(
+        "skyledger.sources.warehouse.scratch_path", lambda _, label: str(tmp_path / label)
+    )
+    monkeypatch.setattr(Warehouse, "_swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    warehouse.append_daily(frame(spark, [row(A, 2020), row(B, 2020), row(C, 2020)]))
+    with pytest.raises(OSError):
+        warehouse.replace_station_years(frame(spark, [row(A, 2020, 5)]), [2020])
+    assert spark.read.parquet(str(tmp_path / "replace-new")).count() == 1
+
+
 def test_requested_year_without_rows_is_emptied(spark, warehouse):
     warehouse.append_daily(frame(spark, [row(A, 2020, 1), row(A, 2021, 2), row(B, 2021, 3)]))
     warehouse.replace_station_years(frame(spark, [row(A, 2020, 9)]), [2020, 2021])
