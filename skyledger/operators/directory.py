@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import country_code
 from skyledger.operators.radius import stations_near
+from skyledger.session import local_table
 
 
 
@@ -197,8 +198,7 @@ def resolve_stations(
 ) -> DataFrame:
     """Ids for a location. Explicit ids win over state, country and point."""
     if station_ids:
-        rows = [(s,) for s in station_ids]
-        return stations.sparkSession.createDataFrame(rows, "station_id string")
+        return local_table(stations.sparkSession, {"station_id": list(station_ids)})
     if state or country:
         return stations_for_location(stations, state=state, country=None if state else country)
     if point:

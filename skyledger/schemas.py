@@ -49,10 +49,6 @@ RAW_DAILY_STORED = T.StructType(
     ]
 )
 
-DIM_STATE = T.StructType(
-    [T.StructField("code", T.StringType()), T.StructField("name", T.StringType())]
-)
-
 DIM_COUNTRY = T.StructType(
     [
         T.StructField("code", T.StringType()),

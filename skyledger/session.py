@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 _local_fallback: weakref.WeakKeyDictionary[SparkSession, str] = weakref.WeakKeyDictionary()
 
@@ -23,6 +24,17 @@ DEFAULTS = {
 }
 
 
+def local_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """Rows the caller already holds, as a table whose size the planner knows.
+
+    An Arrow table becomes a local relation; Spark then broadcasts it in a join
+    if it is small and shuffles it if not. A plain list would have no known size.
+    """
+    return spark.createDataFrame(
+        pa.table({name: pa.array(values, pa.string()) for name, values in columns.items()})
+    )
+
+
 def sized_for(input_bytes: int, shuffled_share: float = 0.25) -> dict[str, str]:
     """Partition settings for a job that reads ``input_bytes`` of raw tables.
 

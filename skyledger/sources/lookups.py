@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import blank_to_null, fixed
-from skyledger.schemas import DIM_COUNTRY, DIM_STATE
+from skyledger.schemas import DIM_COUNTRY
+from skyledger.session import local_table
 
 # US postal codes that station directories label.
 US_STATES = {
@@ -66,12 +67,14 @@ US_STATES = {
 
 
 def state_dim(spark: SparkSession, states: dict[str, str] = US_STATES) -> DataFrame:
-    return spark.createDataFrame(list(states.items()), DIM_STATE)
+    return local_table(spark, {"code": list(states), "name": list(states.values())})
 
 
 def country_dim(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """Countries given as ``(code, name, iso3)`` rows."""
-    return spark.createDataFrame(rows, DIM_COUNTRY)
+    return local_table(
+        spark, {name: [row[k] for row in rows] for k, name in enumerate(DIM_COUNTRY.names)}
+    )
 
 
 def read_country_dim(spark: SparkSession, names_path: str, iso3_path: str | None = None) -> DataFrame:

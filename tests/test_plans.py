@@ -7,9 +7,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry_point
-from skyledger.operators import climate, marts, quality, staging
+from skyledger.operators import climate, directory, marts, quality, staging
 from skyledger.schemas import RAW_STATIONS, TABLES
-from skyledger.workload.queries import Inputs, REGISTRY
+from skyledger.sources import state_dim
+from skyledger.workload.queries import REGISTRY, Inputs
 
 WRITES_FILES = {
     "dly_roundtrip", "catalogue_roundtrip", "replace_station_years", "replace_years", "force_reload",
@@ -107,6 +108,14 @@ def test_library_never_hints_a_broadcast():
         assert "localCheckpoint" not in text, path
 
 
+def test_code_lists_have_a_known_size(spark):
+    rows = spark.range(10**9).selectExpr("cast(id as string) state")
+    text = plan(directory.with_label(rows, "state", state_dim(spark), "name", "label"))
+    assert "BroadcastHashJoin" in text and "LocalTableScan" in text
+    ids = directory.resolve_stations(rows, station_ids=["a", "b"])
+    assert "BroadcastHashJoin" in plan(rows.join(ids, rows.state == ids.station_id, "left_semi"))
+
+
 def test_window_filter_on_station_reaches_the_scan(stored):
     daily = stored("daily", TABLES["staging.daily_observations"])
     stations = stored("stations", TABLES["staging.stations"])
