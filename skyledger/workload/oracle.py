@@ -13,7 +13,7 @@ from skyledger.operators.climate import DEFAULT_PREFERENCES, RADAR_LABELS
 from skyledger.operators.quality import MART_CHECKS, RAW_DAILY_CHECKS, STATION_CHECKS
 from skyledger.sources.lookups import US_STATES
 from skyledger.workload import params as p
-from skyledger.workload.fixtures import oracle_ctes
+from skyledger.workload.fixtures import REPORTING_SQL, WIDE_REPORTING_SQL, oracle_ctes
 
 
 def rounded(expr: str, digits: int = 6) -> str:
@@ -204,7 +204,9 @@ AFTER_REFRESH = (
 )
 
 
-def statement(body: str, *needs: str, raw_daily: str | None = None) -> str:
+def statement(
+    body: str, *needs: str, raw_daily: str | None = None, reporting: str = REPORTING_SQL
+) -> str:
     """``body`` with the CTEs it needs; ``raw_daily`` stands in for the raw table."""
     order: list[str] = []
 
@@ -216,9 +218,9 @@ def statement(body: str, *needs: str, raw_daily: str | None = None) -> str:
 
     for name in needs:
         visit(name)
-    base = [oracle_ctes()]
+    base = [oracle_ctes(reporting=reporting)]
     if raw_daily is not None:
-        base = [oracle_ctes("derived_daily"), f"raw_daily AS ({raw_daily})"]
+        base = [oracle_ctes("derived_daily", reporting), f"raw_daily AS ({raw_daily})"]
     ctes = ", ".join([*base, *[f"{name} AS ({CTES[name]})" for name in order]])
     return f"WITH {ctes} {body}"
 
@@ -430,31 +432,29 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stg_stations",
     )
-    q["mart_daily_weather"] = statement(
-        shape(
+    lags = [f"tavg_lag_{n}d" for n in (1, 2, 3, 7)] + ["precip_lag_1d", "precip_lag_7d"]
+    mart_shapes = {
+        "mart_daily_weather": (
             "weather",
             (*STATION, "obs_date", "obs_year", "obs_month", "day_of_week", "day_of_year", *FLAGS),
             (*PLACE, *MEASURES, "snow_depth_mm", *ROLLING),
         ),
-        "weather",
-    )
-    q["mart_monthly_summary"] = statement(
-        shape(
+        "mart_monthly_summary": (
             "monthly",
             (*STATION, "obs_year", "obs_month", *MONTH_COUNTS),
             ("latitude", "longitude", *MONTH_DOUBLES),
         ),
-        "monthly",
-    )
-    lags = [f"tavg_lag_{n}d" for n in (1, 2, 3, 7)] + ["precip_lag_1d", "precip_lag_7d"]
-    q["mart_prediction_features"] = statement(
-        shape(
+        "mart_prediction_features": (
             "features",
             ("station_id", "obs_date", "obs_year", "obs_month", "day_of_year", "climate_zone", *FLAGS),
             (*PLACE, "target_tavg_next_day", *MEASURES, *lags, *ROLLING, "season_sin", "season_cos"),
         ),
-        "features",
-    )
+    }
+    for name, (source, plain, doubles) in mart_shapes.items():
+        q[name] = statement(shape(source, plain, doubles), source)
+        q[f"{name}_wide"] = statement(
+            shape(source, plain, doubles), source, reporting=WIDE_REPORTING_SQL
+        )
 
     q["quality_raw"] = statement(RAW_QUALITY)
     q["quality_stations"] = statement(STATION_QUALITY)

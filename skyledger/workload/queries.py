@@ -42,8 +42,15 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
 class Inputs:
     """The derived tables and marts of one scale folder, as lazy plans."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, reporting: str = fixtures.REPORTING_SQL
+    ):
+        self.spark, self.sf_dir, self.reporting = spark, sf_dir, reporting
+
+    @property
+    def wide(self) -> Inputs:
+        """The same tables spread over many more, sparser stations."""
+        return Inputs(self.spark, self.sf_dir, fixtures.WIDE_REPORTING_SQL)
 
     @cached_property
     def raw_stations(self) -> DataFrame:
@@ -51,7 +58,7 @@ class Inputs:
 
     @cached_property
     def raw_daily(self) -> DataFrame:
-        return fixtures.raw_daily(self.spark, self.sf_dir)
+        return fixtures.raw_daily(self.spark, self.sf_dir, self.reporting)
 
     @cached_property
     def stg_daily(self) -> DataFrame:
@@ -166,6 +173,21 @@ def mart_prediction_features(i: Inputs) -> DataFrame:
     return i.features
 
 
+@register
+def mart_daily_weather_wide(i: Inputs) -> DataFrame:
+    return i.wide.weather
+
+
+@register
+def mart_monthly_summary_wide(i: Inputs) -> DataFrame:
+    return i.wide.monthly
+
+
+@register
+def mart_prediction_features_wide(i: Inputs) -> DataFrame:
+    return i.wide.features
+
+
 # -- quality ----------------------------------------------------------------
 
 

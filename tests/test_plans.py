@@ -124,4 +124,4 @@ def test_window_filter_on_station_reaches_the_scan(stored):
 
 
 def test_inputs_are_lazy(spark, sf_dir):
-    assert set(vars(Inputs(spark, sf_dir))) == {"spark", "sf_dir"}
+    assert set(vars(Inputs(spark, sf_dir))) == {"spark", "sf_dir", "reporting"}
