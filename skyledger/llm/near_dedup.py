@@ -8,8 +8,8 @@
    0.8 similar to another only if such shingles have 0.8 of its weight; those
    texts get samples over them, which can only make similar texts meet more often.
 3. Texts meet in buckets of banded samples. Every member is compared with the
-   bucket's centre by exact weighted Jaccard similarity. Further rounds with
-   other centres compare what is still in different classes.
+   bucket's centre by exact weighted Jaccard similarity. Further rounds, with
+   another centre in every bucket, compare what is still in different classes.
 4. Classes are connected components of the links, found by alternating star steps.
 
 Exact copies share a digest and are never compared.
@@ -196,7 +196,7 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 <<
             for j, (low, high) in enumerate(zip(b, np.append(b[1:], stop))):
                 doc = row[low]
                 out.append((
-                    key[0], frame["node"].iloc[doc], float(whole[doc]), h[low:high].tobytes(),
+                    key[0], frame["node"].iloc[doc], float(whole[doc]), _pack(h[low:high] >> np.uint64(24), _KEY_BYTES),
                     w[low:high].astype(np.float32).tobytes(), bands[j].view(np.int64).tolist(),
                 ))
         return pd.DataFrame(out, columns=columns)
@@ -208,26 +208,32 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 <<
 
 def weighted_jaccard(a: bytes, wa: bytes, total_a: float, b: bytes, wb: bytes, total_b: float) -> float:
     """Similarity of two weighted sets from their shared shingles (by hash, ascending) and total weights."""
-    ha, hb = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    ha, hb = _unpack(a, _KEY_BYTES), _unpack(b, _KEY_BYTES)
     at = np.minimum(np.searchsorted(hb, ha), hb.size - 1)
     same = hb[at] == ha
     common = np.minimum(np.frombuffer(wa, np.float32)[same], np.frombuffer(wb, np.float32)[at[same]]).sum(dtype=np.float64)
     return float(common / (total_a + total_b - common))
 
 
-def _verified(pairs: DataFrame, found: DataFrame, home: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
+def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold.
+
+    ``pairs`` names the block of either text. Both sides read one exchange of
+    the sets; the join is by sorting at every size, so a hot centre can be split.
+    """
 
     @F.pandas_udf("double")
     def compare(a: pd.Series, wa: pd.Series, ta: pd.Series, b: pd.Series, wb: pd.Series, tb: pd.Series) -> pd.Series:
         return pd.Series([weighted_jaccard(*x) for x in zip(a, wa, ta, b, wb, tb)], dtype=float)
 
-    sets = found.join(home, ["id", "block"])
-    side = lambda name: sets.select(
-        F.col("id").alias(name), F.col("hashes").alias(f"h{name}"), F.col("weights").alias(f"w{name}"), F.col("weight").alias(f"t{name}")
+    sets = found.select("id", "block", "hashes", "weights", "weight").hint("merge")
+    near = compare("x.hashes", "x.weights", "x.weight", "y.hashes", "y.weights", "y.weight")
+    return (
+        pairs.join(sets.alias("x"), F.expr("a = x.id AND a_block = x.block"))
+        .join(sets.alias("y"), F.expr("b = y.id AND b_block = y.block"))
+        .filter(near >= similarity - 1e-6)
+        .select("a", "b")
     )
-    near = compare("ha", "wa", "ta", "hb", "wb", "tb")
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near >= similarity - 1e-6).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,23 +261,30 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 3, **sizes) -> DataFrame | None:
+def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) -> DataFrame | None:
     """(id, root) of the texts that have a link to a different text; id is the xxhash64 of the md5 of the text."""
     spark = docs.sparkSession
     found = candidates(docs, similarity, **sizes)
     release(spark)
-    home = settle(found.groupBy("id").agg(F.min("block").alias("block")), "near-home")
-    members = settle(found.select("id", F.explode("keys").alias("key")).distinct(), "near-members")
+    home = found.groupBy("id").agg(F.min("block").alias("block"), F.min("weight").alias("weight"))
+    members = settle(found.select("id", F.explode("keys").alias("key")).distinct().join(home, "id"), "near-members")
     links = known = None
     for turn in range(rounds):
         own = members.withColumn("root", F.col("id"))
         if known is not None:
             own = members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("o"), "id", "root")
+        order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))).alias("o"), "id", "root", "block", "weight")
         centre = own.groupBy("key").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
-        centre = centre.filter("low <> high").select("key", F.col("c.id").alias("b"), F.col("c.root").alias("centre_root"))
-        pairs = own.join(centre, "key").filter("root <> centre_root").select(F.col("id").alias("a"), "b").distinct()
-        new = settle(_verified(settle(pairs, "near-pairs"), found, home, similarity), "near-links")
+        centre = centre.filter("low <> high").select("key", "c")
+        pairs = (
+            own.join(centre, "key")
+            .filter(F.col("root") != F.col("c.root"))
+            # The smaller total weight bounds what two texts share.
+            .filter(F.least("weight", "c.weight") >= (similarity - 1e-6) * F.greatest("weight", "c.weight"))
+            .select(F.col("id").alias("a"), F.col("block").alias("a_block"), F.col("c.id").alias("b"), F.col("c.block").alias("b_block"))
+            .distinct()
+        )
+        new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links")
         if new.isEmpty():
             if turn:
                 continue
