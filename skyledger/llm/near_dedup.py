@@ -14,8 +14,8 @@
 
 Exact copies share a digest and are never compared.
 
-The weight of a shingle is its count times 1 + ln(N / df) / ln(N), between 1 and
-2 per occurrence, so common shingles weigh less without losing their say.
+The weight of a shingle is its count times 1 + RARITY ln(N / df) / ln(N): common
+shingles weigh less, but so little that the similarity stays near the plain one.
 
 Defined cases: a null text is a class of its own; empty texts are copies of each
 other; a text of one to four words is one shingle; null doc_ids take part but do
@@ -36,6 +36,8 @@ from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
 SIZE = 5
 BANDS, ROWS = 16, 3
+#: How much more the rarest shingle weighs than the commonest.
+RARITY = 0.25
 _KEY_BYTES = 5
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BAND_FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -150,7 +152,7 @@ def samples(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> np.n
 
 
 def shingle_weight(count: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
-    return count * (1.0 + np.log(np.maximum(n_docs / df, 1.0)) / np.log(max(n_docs, 3)))
+    return count * (1.0 + RARITY * np.log(np.maximum(n_docs / df, 1.0)) / np.log(max(n_docs, 3)))
 
 
 def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
