@@ -35,7 +35,7 @@ from skyledger.llm.words import ALNUM, word_hashes
 #: Words are hashed to 2**BITS places; the COLUMNS places with the most passages make the matrix.
 BITS = 16
 COLUMNS = 4096
-RANK = 64
+RANK = 48
 PASSAGE = 32
 _SLICE = 1 << 18
 _SHORTEST, _GROWTH = 12, 1.5
@@ -186,6 +186,7 @@ class Items:
         words, offsets = word_hashes(texts, ALNUM)
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        self.lists = [w.tolist() for w in self.words]
         found, at = word_hashes(answers, ALNUM)
         self.answers = [found[a:b] if b > a else w[-5:] for a, b, w in zip(at[:-1], at[1:], self.words)]
         length = np.diff(offsets)
@@ -249,7 +250,7 @@ def confirm(words: np.ndarray, offsets: np.ndarray, items: Items, near: pd.DataF
         own = items.words[item]
         low, high = max(int(offsets[text]), begin - own.size), min(int(offsets[text + 1]), end + own.size)
         here = words[low:high]
-        if np.isin(own, here).sum() < min_answered * own.size:  # no subsequence can be longer than that
+        if len(items.lists[item]) - sum(map(set(here.tolist()).__contains__, items.lists[item])) > (1 - min_answered) * own.size:  # no subsequence can be longer than that
             return
         common = items.common_subsequence(item, here) / own.size
         answered = common >= min_answered and items.answered(item, here)

@@ -22,7 +22,7 @@ class PieceEncoder:
     kind); otherwise white space only separates words.
     """
 
-    def __init__(self, definition: str, keeps_space: bool, generation: int = 250_000):
+    def __init__(self, definition: str, keeps_space: bool, generation: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
