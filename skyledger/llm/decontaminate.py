@@ -271,7 +271,7 @@ def confirm(words: np.ndarray, offsets: np.ndarray, items: Items, near: pd.DataF
     return list(best.values())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.65, min_common: float = 0.7, min_answered: float = 0.5, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.62, min_common: float = 0.7, min_answered: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """One row per (document, item) that matches; documents without a match have none."""
     spark = docs.sparkSession
     ship(spark)
