@@ -45,3 +45,13 @@ def mean_of_ticks(c: Column, per_unit: int) -> Column:
 
 def sum_of_ticks(c: Column, per_unit: int) -> Column:
     return F.sum(ticks(c, per_unit)).cast("double") / F.lit(float(per_unit))
+
+
+def stddev_of_ticks(c: Column, per_unit: int) -> Column:
+    """Sample standard deviation of multiples of ``1/per_unit``, from exact sums."""
+    step = ticks(c, per_unit).cast("decimal(18,0)")
+    n = F.count(c).cast("decimal(10,0)")
+    total, squares = F.sum(step).cast("decimal(28,0)"), F.sum((step * step).cast("decimal(28,0)")).cast("decimal(28,0)")
+    spread = (n * squares - (total * total).cast("decimal(38,0)")).cast("double")
+    pairs = (n * (n - 1)).cast("double")
+    return F.sqrt(F.try_divide(spread, pairs)) / F.lit(float(per_unit))

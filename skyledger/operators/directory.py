@@ -31,8 +31,12 @@ def _place(country: str | None, state: str | None) -> Column:
 
 
 def with_label(rows: DataFrame, code: str, dim: DataFrame, label: str, into: str) -> DataFrame:
-    """Attach a label for a code; an unknown code stands for itself."""
-    lookup = dim.select(F.col("code").alias(code), F.col(label).alias("_label"))
+    """Attach a label for a code; an unknown code stands for itself.
+
+    A code that the list repeats keeps its first label in sort order, so no row
+    is doubled.
+    """
+    lookup = dim.groupBy(F.col("code").alias(code)).agg(F.min(label).alias("_label"))
     return (
         rows.join(lookup, code, "left")
         .withColumn(into, F.coalesce(F.col("_label"), F.col(code)))

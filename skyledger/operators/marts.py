@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import mean_of_ticks, round_scaled
-from skyledger.functions.numeric import sum_of_ticks
+from skyledger.functions.numeric import stddev_of_ticks, sum_of_ticks
 
 STATION_COLUMNS = (
     "station_id", "station_name", "latitude", "longitude",
@@ -104,7 +104,7 @@ def monthly_summary(daily: DataFrame) -> DataFrame:
         round_scaled(mean_of_ticks(temp, 20), 2).alias("avg_temp_celsius"),
         round_scaled(F.max("tmax_celsius"), 2).alias("max_temp_celsius"),
         round_scaled(F.min("tmin_celsius"), 2).alias("min_temp_celsius"),
-        round_scaled(F.stddev_samp(temp), 2).alias("temp_stddev"),
+        round_scaled(stddev_of_ticks(temp, 20), 2).alias("temp_stddev"),
         round_scaled(sum_of_ticks(F.coalesce(rain, zero), 10), 2).alias("total_precip_mm"),
         F.count_if(wet).alias("days_with_precip"),
         round_scaled(mean_of_ticks(F.when(wet, rain), 10), 2).alias("avg_precip_per_rainy_day_mm"),

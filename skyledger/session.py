@@ -35,20 +35,22 @@ def local_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     )
 
 
-def sized_for(input_bytes: int, shuffled_share: float = 0.25) -> dict[str, str]:
+def sized_for(
+    input_bytes: int, shuffled_share: float = 0.25, reducer_mb: int = 256, split_mb: int = 128
+) -> dict[str, str]:
     """Partition settings for a job that reads ``input_bytes`` of raw tables.
 
-    Reducers get about 256 MB each, which a task sorts without spilling much.
-    The number of shuffle blocks is maps x reducers, so very large inputs use
-    larger scan splits and stop at 20,000 reducers; AQE joins what turns out small.
+    Reducers get about ``reducer_mb`` each at every size, which a task sorts
+    without spilling much; there are 200 at least, and AQE joins what turns out
+    small. Scan splits have ``split_mb``. The number of shuffle blocks is maps x
+    reducers; raise both parameters together to have fewer.
     """
     mb = 1024**2
-    reducers = math.ceil(input_bytes * shuffled_share / (256 * mb))
-    split = 128 if input_bytes < 10 * 1024**4 else 512
+    reducers = math.ceil(input_bytes * shuffled_share / (reducer_mb * mb))
     return {
-        "spark.sql.shuffle.partitions": str(min(max(reducers, 200), 20_000)),
-        "spark.sql.files.maxPartitionBytes": str(split * mb),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.shuffle.partitions": str(max(reducers, 200)),
+        "spark.sql.files.maxPartitionBytes": str(split_mb * mb),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(reducer_mb * mb),
     }
 
 

@@ -1,7 +1,9 @@
 """Column-pruned reads of the marts for a set of stations and a year range.
 
 Both predicates are plain comparisons on stored columns, so the year range
-prunes partitions and the station list reaches the Parquet scan.
+prunes partitions and the station list reaches the Parquet scan. Without a range
+all years are read. Rows are sorted only on request, as a global sort is a
+shuffle that most callers do not need.
 """
 
 from __future__ import annotations
@@ -27,19 +29,19 @@ FEATURE_COLUMNS = (
     "precipitation_mm", "precip_lag_1d", "temp_change_1d", "temp_change_7d",
     "season_sin", "season_cos",
 )
-ALL_YEARS = (1900, 2100)
+Stations = Sequence[str] | DataFrame | None
 
 
-Stations = Sequence[str] | DataFrame | None
+Years = tuple[int, int] | None
 
 
-def _selected(mart: DataFrame, stations: Stations, years: tuple[int, int]) -> DataFrame:
+def _selected(mart: DataFrame, stations: Stations, years: Years) -> DataFrame:
     """Rows of the wanted years and stations; ``None`` means every station.
 
     A short list becomes an IN predicate. A DataFrame of ids is a semi join, for
     selections too long to write into a plan.
     """
-    in_years = mart.where(F.col("obs_year").between(*years))
+    in_years = mart if years is None else mart.where(F.col("obs_year").between(*years))
     if stations is None:
         return in_years
     if isinstance(stations, DataFrame):
@@ -48,27 +50,25 @@ def _selected(mart: DataFrame, stations: Stations, years: tuple[int, int]) -> Da
 
 
 def load_daily(
-    mart: DataFrame, stations: Stations = None, years: tuple[int, int] = ALL_YEARS
+    mart: DataFrame, stations: Stations = None, years: Years = None, *, ordered: bool = False
 ) -> DataFrame:
-    return (
-        _selected(mart, stations, years).select(*DAILY_COLUMNS).orderBy("station_id", "obs_date")
-    )
+    rows = _selected(mart, stations, years).select(*DAILY_COLUMNS)
+    return rows.orderBy("station_id", "obs_date") if ordered else rows
 
 
 def load_monthly(
-    mart: DataFrame, stations: Stations = None, years: tuple[int, int] = ALL_YEARS
+    mart: DataFrame, stations: Stations = None, years: Years = None, *, ordered: bool = False
 ) -> DataFrame:
-    return (
+    rows = (
         _selected(mart, stations, years)
         .where(F.col("avg_temp_celsius").isNotNull())
         .withColumn("month_label", month_label(F.col("obs_year"), F.col("obs_month")))
-        .orderBy("station_id", "obs_year", "obs_month")
     )
+    return rows.orderBy("station_id", "obs_year", "obs_month") if ordered else rows
 
 
 def load_features(
-    mart: DataFrame, stations: Stations = None, years: tuple[int, int] = ALL_YEARS
+    mart: DataFrame, stations: Stations = None, years: Years = None, *, ordered: bool = False
 ) -> DataFrame:
-    return (
-        _selected(mart, stations, years).select(*FEATURE_COLUMNS).orderBy("station_id", "obs_date")
-    )
+    rows = _selected(mart, stations, years).select(*FEATURE_COLUMNS)
+    return rows.orderBy("station_id", "obs_date") if ordered else rows

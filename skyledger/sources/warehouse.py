@@ -20,15 +20,42 @@ from skyledger.schemas import NAMESPACES, RAW_DAILY, RAW_DAILY_KEYS, RAW_DAILY_S
 from skyledger.session import scratch_path
 
 PARTITIONS = ("obs_year", "station_bucket")
+DEFAULT_BUCKETS = 16
+LAYOUT = "raw.daily_layout"
 
 
 class Warehouse:
-    """Path-based tables: ``{root}/{namespace}/{table}``."""
+    """Path-based tables: ``{root}/{namespace}/{table}``.
 
-    def __init__(self, spark: SparkSession, root: str, station_buckets: int = 16):
+    The number of station buckets is stored beside ``raw.daily`` with the first
+    write and read from there ever after; asking for another number is refused,
+    as rows would be looked for in partitions they are not in.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, station_buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.station_buckets = station_buckets
+        self._asked = station_buckets
+        self._buckets: int | None = None
+
+    @property
+    def station_buckets(self) -> int:
+        if self._buckets is None:
+            if self.exists(LAYOUT):
+                stored = self.spark.read.schema("station_buckets int").parquet(self.path(LAYOUT)).first()[0]
+                if self._asked not in (None, stored):
+                    raise ValueError(f"raw.daily is stored with {stored} station buckets, not {self._asked}")
+                self._buckets = stored
+            elif self._asked is None and self.exists("raw.daily"):
+                raise ValueError("raw.daily has no stored layout; pass the station_buckets it was written with")
+            else:
+                self._buckets = self._asked or DEFAULT_BUCKETS
+        return self._buckets
+
+    def _record_layout(self) -> None:
+        if not self.exists(LAYOUT):
+            one = self.spark.range(1).select(F.lit(self.station_buckets).cast("int").alias("station_buckets"))
+            one.write.parquet(self.path(LAYOUT))
 
     # -- paths and plain tables ------------------------------------------
 
@@ -60,6 +87,7 @@ class Warehouse:
         """Create the raw tables with their declared schemas where missing."""
         if not self.exists("raw.stations"):
             self._empty(RAW_STATIONS).write.parquet(self.path("raw.stations"))
+        self._record_layout()
         if not self.exists("raw.daily"):
             self._empty(RAW_DAILY_STORED).write.partitionBy(*PARTITIONS).parquet(
                 self.path("raw.daily")
@@ -141,6 +169,7 @@ class Warehouse:
         )
 
     def _write_daily(self, stored: DataFrame, mode: str, **options: str) -> None:
+        self._record_layout()
         (
             stored.hint("rebalance", *[F.col(c) for c in PARTITIONS])
             .sortWithinPartitions(*PARTITIONS, "station_id", "obs_date")

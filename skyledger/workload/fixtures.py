@@ -25,7 +25,7 @@ FROM (SELECT c_custkey AS k,
   CASE WHEN c_custkey % 17 = 16 THEN NULL ELSE c_acctbal END AS elevation,
   CASE c_custkey % 4 WHEN 0 THEN 'AK' WHEN 1 THEN 'WA' WHEN 2 THEN 'TX' ELSE 'NY' END AS state,
   upper(c_mktsegment) || ' ' || CAST(c_custkey % 50 AS STRING) AS station_name
-  FROM {customer} WHERE c_custkey <> 11) t
+  FROM {customer}) t
 """
 
 #: Number of stations that report, as an expression over ``customer``.
@@ -54,7 +54,7 @@ FROM (SELECT l_orderkey % {reporting} AS k,
   CASE WHEN (l_orderkey*31 + l_linenumber*17 + l_partkey) % 40 = 0 THEN 'G' END AS q_flag,
   l_returnflag AS s_flag
   FROM {lineitem}) r
-LEFT JOIN {raw_stations} s ON CAST(substr(s.station_id,3,9) AS BIGINT) = r.k
+LEFT JOIN {raw_stations} s ON CAST(substr(s.station_id,3,9) AS BIGINT) = CASE r.k WHEN 11 THEN -11 ELSE r.k END
 """
 
 

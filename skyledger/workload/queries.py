@@ -383,17 +383,17 @@ def radar_frame(i: Inputs) -> DataFrame:
 
 @register
 def load_daily_for_country(i: Inputs) -> DataFrame:
-    return load_daily(i.weather, i.us_stations, (2024, 2024))
+    return load_daily(i.weather, i.us_stations, (2024, 2024), ordered=True)
 
 
 @register
 def load_monthly_for_country(i: Inputs) -> DataFrame:
-    return load_monthly(i.monthly, i.us_stations, (2024, 2024))
+    return load_monthly(i.monthly, i.us_stations, (2024, 2024), ordered=True)
 
 
 @register
 def load_features_for_country(i: Inputs) -> DataFrame:
-    return load_features(i.features, i.us_stations, (2024, 2024))
+    return load_features(i.features, i.us_stations, (2024, 2024), ordered=True)
 
 
 @register

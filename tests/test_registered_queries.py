@@ -24,10 +24,12 @@ def engine(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    """Text operators without an SQL form are tested against brute force instead."""
+    assert set(ORACLE) <= set(QUERIES)
+    assert all(n == "pipeline" or n.startswith("op") for n in set(QUERIES) - set(ORACLE))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(name, spark, sf_dir, engine):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)

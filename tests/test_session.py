@@ -35,8 +35,10 @@ def test_local_master_falls_back_once():
     assert session.shared_dir(fake) == session.shared_dir(fake)
 
 
-def test_sizes_grow_and_stay_bounded():
+def test_reducers_keep_their_size_at_every_input_size():
     small, large, huge = (session.sized_for(n * 1024**4) for n in (0, 1, 100))
     key = "spark.sql.shuffle.partitions"
-    assert int(small[key]) == 200 < int(large[key]) < int(huge[key]) == 20_000
-    assert huge["spark.sql.files.maxPartitionBytes"] > large["spark.sql.files.maxPartitionBytes"]
+    assert int(small[key]) == 200 < int(large[key])
+    assert int(huge[key]) == 100 * int(large[key])
+    assert huge["spark.sql.files.maxPartitionBytes"] == large["spark.sql.files.maxPartitionBytes"]
+    assert int(session.sized_for(1024**4, reducer_mb=512)[key]) * 2 == int(large[key])
