@@ -63,7 +63,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, alpha=2.0, beta=1.0, l1=5.
     return {"at": at.astype(np.uint32), "w": w, "bias": bias}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> dict | None:
     """Weights from at most about ``max_rows`` labelled rows, chosen by a hash of doc_id.
 
     Features seen in fewer than three sampled rows are left out before training.
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted; learned outside the held-out fifth."""
     return score(docs, fit(docs, labels, max_rows)).select(
         "doc_id",
