@@ -3,7 +3,9 @@
 A text is cut into units at line ends and after sentence ends, as a passage may
 stand inside a line. Units are normalised (lower case, single spaces) and get a
 128-bit digest; one row per digest has the lowest doc_id that holds it. A unit
-is repeated if an earlier document has it, or the same document further up.
+is repeated if an earlier document has it, or the same document further up. The
+few digests with over a thousandth of all units are joined by broadcast and the
+others by shuffle, so a line that is everywhere stays spread over the tasks.
 Neighbouring repeated units form a run, and runs of ``min_words`` words or more
 are removed; short phrases that happen to be common stay.
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import settle, ship
 
 _UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
+#: Digests with more than one in so many of all units are joined without a shuffle.
+MOST_FREQUENT = 1000
 _UNIT_SCHEMA = (
     "doc_id long, version long, unit int, first long, second long, begin int, stop int, words int, again boolean"
 )
@@ -74,8 +78,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """The passages to remove: doc_id, offsets, size, and the lowest doc_id that keeps part of them."""
     rows = units(docs)
     holders = rows.groupBy("first", "second").agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
+    holders = settle(holders.filter("n > 1"), "dedup-holders")
+    frequent = rows.count() / MOST_FREQUENT
+    # At most MOST_FREQUENT digests can hold so many rows each, so they are small enough to broadcast.
+    hot = F.broadcast(holders.filter(F.col("n") > frequent).select("first", "second", "kept_in"))
+    others = holders.filter(F.col("n") <= frequent).select("first", "second", "kept_in")
+    rare = rows.join(hot, ["first", "second"], "left_anti").join(others, ["first", "second"])
     repeated = (
-        rows.join(holders.filter("n > 1"), ["first", "second"])
+        rows.join(hot, ["first", "second"])
+        .unionByName(rare)
         .filter("again OR doc_id > kept_in")
         .select("doc_id", "version", "unit", "begin", "stop", "words", "kept_in")
         .dropDuplicates(["doc_id", "version", "unit"])
