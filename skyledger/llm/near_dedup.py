@@ -167,7 +167,9 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 <<
     buckets = max(1, -(-size["bytes"] * _KEY_BYTES // (6 * bucket_bytes)))
     spread = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")))
     placed = texts.select(F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.md5("text").alias("node"), "text")
-    shared = _shared(_count_blocks(placed, buckets))
+    # Settled, so that the packed lists of all blocks can go before the sets are made.
+    shared = settle(_shared(_count_blocks(placed, buckets)), "near-shared")
+    release(docs.sparkSession)
 
     def run(key: tuple, frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         columns = ["block", "node", "weight", "hashes", "weights", "keys"]
@@ -218,7 +220,7 @@ def weighted_jaccard(a: bytes, wa: bytes, total_a: float, b: bytes, wb: bytes, t
 
 
 def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold.
+    """The links (a, b), named by the roots of the pairs whose similarity reaches the threshold.
 
     ``pairs`` names the block of either text. Both sides read one exchange of
     the sets; the join is by sorting at every size, so a hot centre can be split.
@@ -234,7 +236,7 @@ def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFram
         pairs.join(sets.alias("x"), F.expr("a = x.id AND a_block = x.block"))
         .join(sets.alias("y"), F.expr("b = y.id AND b_block = y.block"))
         .filter(near >= similarity - 1e-6)
-        .select("a", "b")
+        .select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     )
 
 
@@ -270,7 +272,7 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
     release(spark)
     home = found.groupBy("id").agg(F.min("block").alias("block"), F.min("weight").alias("weight"))
     members = settle(found.select("id", F.explode("keys").alias("key")).distinct().join(home, "id"), "near-members")
-    links = known = None
+    known = None
     for turn in range(rounds):
         own = members.withColumn("root", F.col("id"))
         if known is not None:
@@ -283,20 +285,27 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
             .filter(F.col("root") != F.col("c.root"))
             # The smaller total weight bounds what two texts share.
             .filter(F.least("weight", "c.weight") >= (similarity - 1e-6) * F.greatest("weight", "c.weight"))
-            .select(F.col("id").alias("a"), F.col("block").alias("a_block"), F.col("c.id").alias("b"), F.col("c.block").alias("b_block"))
+            .select(
+                F.col("id").alias("a"), F.col("block").alias("a_block"), F.col("root").alias("a_root"),
+                F.col("c.id").alias("b"), F.col("c.block").alias("b_block"), F.col("c.root").alias("b_root"),
+            )
             .distinct()
         )
         new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links")
-        if new.isEmpty():
-            if turn:
-                continue
-            known = links = None
-            continue
-        links = new if links is None else links.unionByName(new)
-        known = settle(components(links), "near-roots")
+        if not new.isEmpty():
+            known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
     return known
 
 
+def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
+    """``known`` (id, root) after its roots have been merged as ``merges`` (id, root) says."""
+    if known is None:
+        return merges
+    step = merges.select(F.col("id").alias("root"), F.col("root").alias("later"))
+    moved = known.join(step, "root", "left").select("id", F.coalesce("later", "root").alias("root"))
+    return moved.unionByName(merges.join(known, "id", "left_anti"))
+
+
 def _memberships(docs: DataFrame, similarity: float, **options) -> DataFrame:
     """Settled doc_id, node and class key of every row; the class key is null for a null text."""
     known = roots(docs, similarity, **options)
@@ -311,6 +320,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
     """doc_id, class_id (least doc_id of the class) and class_size of every document."""
     rows = _memberships(docs, similarity, **options)
     named = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    named = settle(named, "near-classes")  # a plain scan, so that a hot class can be split in the join
     return rows.join(named, "class", "left").select(
         "doc_id",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -321,7 +331,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
     """``docs`` with one document of each class, the one with the least doc_id; null texts stay."""
     rows = _memberships(docs, similarity, **options).filter("class IS NOT NULL")
-    named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    named = settle(rows.groupBy("class").agg(F.min("doc_id").alias("class_id")), "near-classes")
     first = rows.join(named, "class").filter("doc_id <=> class_id")
     chosen = first.groupBy("class").agg(F.min("node").alias("node"))
     kept = first.join(chosen, ["class", "node"]).groupBy("class", "node", "class_id").agg(F.count("*").alias("_kept_rows"))
