@@ -295,6 +295,8 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
         new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links")
         if not new.isEmpty():
             known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
+        del own, centre, pairs
+        release(spark)  # the sets that this round exchanged
     return known
 
 
