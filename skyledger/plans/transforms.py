@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.operators import marts, quality, staging
-from skyledger.sources.daily_text import read_daily_files
+from skyledger.sources.daily_text import malformed_counts, read_daily_files
 from skyledger.sources.station_text import read_station_catalogue
 from skyledger.sources.warehouse import Warehouse
 
 DAILY, STATIONS = "staging.daily_observations", "staging.stations"
 WEATHER, MONTHLY, FEATURES = "marts.daily_weather", "marts.monthly_summary", "marts.prediction_features"
 TABLES = (DAILY, STATIONS, WEATHER, MONTHLY, FEATURES)
+MALFORMED = "quality.malformed"
 
 
 def build_marts(raw_daily: DataFrame, raw_stations: DataFrame) -> dict[str, DataFrame]:
@@ -89,22 +91,39 @@ def load_catalogue(warehouse: Warehouse, path: str) -> None:
     warehouse.replace_stations(read_station_catalogue(warehouse.spark, path))
 
 
+def _read_landing(
+    warehouse: Warehouse, landing: str, years: Sequence[int], on_error: str
+) -> DataFrame:
+    """Observations of the landing directory; what they leave out is counted in MALFORMED."""
+    if on_error == "skip":
+        lines = warehouse.spark.read.text(landing)
+        warehouse.replace_table(MALFORMED, malformed_counts(lines, years))
+    return read_daily_files(warehouse.spark, landing, years, on_error=on_error)
+
+
 def backfill(
-    warehouse: Warehouse, landing: str, first_year: int, last_year: int
+    warehouse: Warehouse, landing: str, first_year: int, last_year: int, *, on_error: str = "skip"
 ) -> dict[str, DataFrame]:
-    """Load an inclusive range of years in one job, then rebuild every table."""
+    """Load an inclusive range of years in one job, then rebuild every table.
+
+    With ``on_error='skip'`` the unreadable years, months and values of this run
+    are stored in ``quality.malformed``; ``'fail'`` stops at the first of them.
+    """
     years = range(first_year, last_year + 1)
     warehouse.create()
-    warehouse.replace_station_years(read_daily_files(warehouse.spark, landing, years), years)
+    warehouse.replace_station_years(_read_landing(warehouse, landing, years, on_error), years)
     return run_transforms(warehouse)
 
 
 def refresh(
-    warehouse: Warehouse, landing: str, year: int, *, force: bool = False
+    warehouse: Warehouse, landing: str, year: int, *, force: bool = False, on_error: str = "skip"
 ) -> dict[str, DataFrame]:
-    """Load one year, then rebuild. ``force`` truncates the observations first."""
+    """Load one year, then rebuild. ``force`` truncates the observations first.
+
+    ``on_error`` is that of :func:`backfill`.
+    """
     warehouse.create()
-    batch = read_daily_files(warehouse.spark, landing, [year])
+    batch = _read_landing(warehouse, landing, [year], on_error)
     if force:
         warehouse.reload_daily(batch)
     else:

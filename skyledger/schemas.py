@@ -113,4 +113,6 @@ TABLES = {
     "quality.raw_daily": _CHECKS,
     "quality.stations": _CHECKS,
     "quality.marts": _CHECKS,
+    "quality.malformed": "bad_years bigint, bad_months bigint, bad_values bigint",
+    "quality.malformed_batches": "batch_id bigint, bad_years bigint, bad_months bigint, bad_values bigint",
 }

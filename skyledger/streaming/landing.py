@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skyledger.sources.daily_text import parse_daily_lines
+from skyledger.sources.daily_text import malformed_counts, parse_daily_lines
 from skyledger.sources.warehouse import Warehouse
 
+MALFORMED = "quality.malformed_batches"
+
 
 def ingest_landing(
     warehouse: Warehouse,
@@ -18,6 +21,7 @@ def ingest_landing(
     checkpoint: str,
     *,
     max_files_per_batch: int | None = None,
+    on_error: str = "skip",
 ) -> StreamingQuery:
     """Parse files that are new since the last run and replace their station-years.
 
@@ -25,11 +29,18 @@ def ingest_landing(
     micro-batch that is replayed after a failure leaves the table the same. A
     file must be delivered whole and under a new name; a station's requested
     years belong in one file, because a later file replaces them.
+
+    With ``on_error='skip'`` the unreadable years, months and values are stored
+    per micro-batch in ``quality.malformed_batches``; a replay replaces its row.
     """
     warehouse.create()
 
     def replace(lines: DataFrame, batch_id: int) -> None:
-        warehouse.replace_station_years(parse_daily_lines(lines, years), years)
+        if on_error == "skip":
+            counts = malformed_counts(lines, years).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            writer = counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("batch_id").parquet(warehouse.path(MALFORMED))
+        warehouse.replace_station_years(parse_daily_lines(lines, years, on_error=on_error), years)
 
     reader = warehouse.spark.readStream.format("text")
     if max_files_per_batch is not None:

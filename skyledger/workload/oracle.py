@@ -517,6 +517,12 @@ def oracle_sql() -> dict[str, str]:
         f"FROM points t, raw_stations s WHERE {near('t.latitude', 't.longitude', 't.radius_km')}",
         "points",
     )
+    between = great_circle("t.latitude", "t.longitude", "s.latitude", "s.longitude")
+    q["radius_batch_relaxed"] = statement(
+        f"SELECT t.point_id, s.station_id, {half_even(between, 1)} AS distance_km "
+        f"FROM points t, raw_stations s WHERE {between} <= t.radius_km",
+        "points",
+    )
     q["resolve_stations"] = statement(
         f"SELECT 'state' AS chosen_by, station_id FROM raw_stations WHERE state = '{p.STATE}' "
         f"UNION ALL SELECT 'country', station_id FROM raw_stations WHERE station_id LIKE '{p.COUNTRY}%' "
@@ -698,4 +704,20 @@ def oracle_sql() -> dict[str, str]:
         q[name] = statement(
             counts(raw__daily="raw_daily", **MART_TABLES), "monthly", "features", raw_daily=raw
         )
+    for way, raw in (("stored", None), ("backfilled", AFTER_BACKFILL), ("refreshed", AFTER_REFRESH)):
+        for name, (source, plain, doubles) in mart_shapes.items():
+            stored = f"{way}_{name.removeprefix('mart_')}"
+            q[stored] = statement(shape(source, plain, doubles), source, raw_daily=raw)
+    q["stored_quality_raw_daily"] = q["quality_raw"]
+    q["stored_quality_stations"] = q["quality_stations"]
+    q["stored_quality_marts"] = q["quality_marts"]
+    q["malformed_report"] = statement(
+        "SELECT count(*) FILTER (WHERE m = 3) AS bad_years, count(*) FILTER (WHERE m = 5) AS bad_months, "
+        "count(*) FILTER (WHERE m = 7) AS bad_values FROM (SELECT DISTINCT station_id, element, "
+        "year(obs_date) AS y, month(obs_date) AS m FROM raw_daily)"
+    )
+    q["backfilled_without_malformed"] = statement(
+        f"SELECT {RAW} FROM cells WHERE month(obs_date) NOT IN (3, 5) AND NOT (month(obs_date) = 7 AND day(obs_date) = 1)",
+        "cells",
+    )
     return q

@@ -130,6 +130,24 @@ class Inputs:
         return path
 
 
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        """The feature table as written, so that several passes over it do not build it again."""
+        layout = {"partition_by": ("obs_year",), "sort_by": ("station_id", "obs_date")}
+        return self.warehouse("features").replace_table(transforms.FEATURES, self.features, **layout)
+
+    def backfilled(self) -> dict[str, DataFrame]:
+        warehouse = self.warehouse("backfill")
+        warehouse.replace_stations(self.raw_stations)
+        tables = transforms.backfill(warehouse, self.landing(), *p.YEARS)
+        return {"raw.daily": warehouse.daily(), **tables}
+
+    def refreshed(self) -> dict[str, DataFrame]:
+        warehouse = self.loaded_warehouse("refresh")
+        tables = transforms.refresh(warehouse, self.landing(), 2024)
+        return {"raw.daily": warehouse.daily(), **tables}
+
+
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
@@ -297,6 +315,11 @@ def radius_batch(i: Inputs) -> DataFrame:
     return radius.stations_near_points(i.raw_stations, i.points)
 
 
+@register
+def radius_batch_relaxed(i: Inputs) -> DataFrame:
+    return radius.stations_near_points(i.raw_stations, i.points, strict_box=False)
+
+
 @register
 def resolve_stations(i: Inputs) -> DataFrame:
     ways = {
@@ -433,12 +456,12 @@ def frame_target(i: Inputs) -> DataFrame:
 
 @register
 def frame_lags(i: Inputs) -> DataFrame:
-    return frames.lag_frame(i.features)
+    return frames.lag_frame(i.stored_features)
 
 
 @register
 def frame_seasonal(i: Inputs) -> DataFrame:
-    return frames.seasonal_frame(i.features)
+    return frames.seasonal_frame(i.stored_features)
 
 
 # -- files and tables -----------------------------------------------------------
@@ -521,17 +544,61 @@ def run_transforms_counts(i: Inputs) -> DataFrame:
 
 @register
 def backfill_counts(i: Inputs) -> DataFrame:
-    warehouse = i.warehouse("backfill")
-    warehouse.replace_stations(i.raw_stations)
-    tables = transforms.backfill(warehouse, i.landing(), *p.YEARS)
-    return transforms.table_counts({"raw.daily": warehouse.daily(), **tables})
+    return transforms.table_counts(i.backfilled())
 
 
 @register
 def refresh_counts(i: Inputs) -> DataFrame:
-    warehouse = i.loaded_warehouse("refresh")
-    tables = transforms.refresh(warehouse, i.landing(), 2024)
-    return transforms.table_counts({"raw.daily": warehouse.daily(), **tables})
+    return transforms.table_counts(i.refreshed())
+
+
+def _register_stored_contents() -> None:
+    """The marts and check results as read back after each way of building them."""
+    builds = {
+        "stored": lambda i: transforms.run_transforms(i.loaded_warehouse("transforms")),
+        "backfilled": Inputs.backfilled,
+        "refreshed": Inputs.refreshed,
+    }
+
+    def of_build(build, table: str):
+        return lambda i: build(i)[table]
+
+    def of_checks(table: str):
+        def run(i: Inputs) -> DataFrame:
+            warehouse = i.loaded_warehouse("quality")
+            transforms.run_transforms(warehouse)
+            return transforms.run_quality(warehouse, p.AS_OF)[table].drop("checked_at")
+
+        return run
+
+    for way, build in builds.items():
+        for table in (transforms.WEATHER, transforms.MONTHLY, transforms.FEATURES):
+            REGISTRY[f"{way}_{table.split('.')[1]}"] = of_build(build, table)
+    for table in ("quality.raw_daily", "quality.stations", "quality.marts"):
+        REGISTRY[f"stored_{table.replace('.', '_')}"] = of_checks(table)
+
+
+_register_stored_contents()
+
+
+@register
+def malformed_report(i: Inputs) -> DataFrame:
+    warehouse = i.warehouse("malformed")
+    warehouse.replace_stations(i.raw_stations)
+    landing = scratch_path(i.spark, "damaged")
+    fixtures.damaged_lines(fixtures.daily_lines(i.raw_daily)).write.text(landing)
+    transforms.backfill(warehouse, landing, *p.YEARS)
+    return warehouse.read(transforms.MALFORMED)
+
+
+@register
+def backfilled_without_malformed(i: Inputs) -> DataFrame:
+    warehouse = i.warehouse("readable")
+    warehouse.replace_stations(i.raw_stations)
+    landing = scratch_path(i.spark, "damaged")
+    fixtures.damaged_lines(fixtures.daily_lines(i.raw_daily)).write.text(landing)
+    transforms.backfill(warehouse, landing, *p.YEARS)
+    return warehouse.daily()
 
 
 @register
