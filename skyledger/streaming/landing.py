@@ -36,11 +36,15 @@ def ingest_landing(
     warehouse.create()
 
     def replace(lines: DataFrame, batch_id: int) -> None:
-        if on_error == "skip":
-            counts = malformed_counts(lines, years).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            writer = counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("batch_id").parquet(warehouse.path(MALFORMED))
-        warehouse.replace_station_years(parse_daily_lines(lines, years, on_error=on_error), years)
+        lines = lines.persist()  # the source is read once for the counts and the rows
+        try:
+            if on_error == "skip":
+                counts = malformed_counts(lines, years).withColumn("batch_id", F.lit(batch_id).cast("long"))
+                writer = counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                writer.partitionBy("batch_id").parquet(warehouse.path(MALFORMED))
+            warehouse.replace_station_years(parse_daily_lines(lines, years, on_error=on_error), years)
+        finally:
+            lines.unpersist()
 
     reader = warehouse.spark.readStream.format("text")
     if max_files_per_batch is not None:

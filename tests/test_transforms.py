@@ -138,3 +138,11 @@ def test_duplicate_stations_stop_the_run_unless_allowed(spark, warehouse, landin
         transforms.run_transforms(warehouse)
     tables = transforms.run_transforms(warehouse, allow_duplicate_stations=True)
     assert tables["marts.daily_weather"].count() == 60
+
+
+def test_stream_counts_what_it_cannot_read(warehouse, landing, tmp_path):
+    good = line(OTHER, 2020, 4, "TMAX", 5)
+    (landing / "bad.dly").write_text(good[:11] + "x" + good[12:])
+    ingest_landing(warehouse, str(landing), [2019, 2020], str(tmp_path / "p")).awaitTermination()
+    rows = warehouse.read("quality.malformed_batches").collect()
+    assert [(r.batch_id, r.bad_years, r.bad_months, r.bad_values) for r in rows] == [(0, 1, 0, 0)]
