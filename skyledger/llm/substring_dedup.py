@@ -1,13 +1,23 @@
-"""Substring dedup by hashed units: repeated passages go, their earliest place stays.
+"""Substring dedup by hashed units and winnowed word runs: repeated passages go, their earliest place stays.
 
-A text is cut into units at line ends and after sentence ends, as a passage may
-stand inside a line. Units are normalised (lower case, single spaces) and get a
-128-bit digest; one row per digest has the lowest doc_id that holds it. A unit
-is repeated if an earlier document has it, or the same document further up. The
-few digests with over a thousandth of all units are joined by broadcast and the
-others by shuffle, so a line that is everywhere stays spread over the tasks.
-Neighbouring repeated units form a run, and runs of ``min_words`` words or more
-are removed; short phrases that happen to be common stay.
+A text is marked in two ways. It is cut into units at line ends and after
+sentence ends; and of all runs of ``(min_words + 1) / 2`` words the one with the
+least hash in every window of as many runs is a seed, so any two places that
+share ``min_words`` words share a seed, wherever their sentences begin. Words are
+normalised (lower case, single spaces). One row per digest has the lowest doc_id
+that holds it. A mark is repeated if an earlier document has it, or the same
+document further up, where it does not overlap.
+
+A passage ends less than a window outside its outermost seeds. Around those seeds
+every document that holds them next to the same word (by a hash of one byte, so a
+common line is not listed everywhere) lists its words outwards, one run for each length,
+and the longest run that stands in an earlier place as well is taken, so passages
+are cut to the word.
+
+The few digests with over a thousandth of all marks are joined by broadcast and
+the others by shuffle, so a line that is everywhere stays spread over the tasks.
+Marks that touch form a run, and runs of ``min_words`` words or more are removed;
+short phrases that happen to be common stay.
 
 Defined cases: null and empty texts have no units; a null doc_id ranks before
 all others; rows that share a doc_id rank alike, so neither loses to the other;
@@ -27,14 +37,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import settle, ship
+from skyledger.llm.common import release, settle, ship, slices
+from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
 _UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
 #: Digests with more than one in so many of all units are joined without a shuffle.
 MOST_FREQUENT = 1000
-_UNIT_SCHEMA = (
-    "doc_id long, version long, unit int, first long, second long, begin int, stop int, words int, again boolean"
+_MARK_SCHEMA = (
+    "doc_id long, version long, seed boolean, first long, second long, at int, words int, begin int, stop int, again boolean, "
+    "before int, after int"
+)
+_AROUND_SCHEMA = (
+    "doc_id long, version long, first long, side int, delta int, hash long, at int, words int, begin int, stop int, again boolean"
 )
+#: Whether a code point, up to the last one that is white space, is white space.
+_IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 def cut_units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -48,56 +65,184 @@ def cut_units(text: str) -> Iterator[tuple[int, int, str]]:
         yield begin, len(text), words
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """One row per unit of every whole text, settled."""
+def seed_size(min_words: int) -> int:
+    """Words of a seed, and seeds of a window: both lie inside any ``min_words`` words."""
+    return max(1, min(32, (min_words + 1) // 2))
+
+
+def winnow(hashes: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
+    """Places with the least hash, the last of equal ones, of any window inside a text."""
+    if hashes.size < window:
+        return np.zeros(0, np.int64)
+    least = np.argmin(np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1], axis=1)
+    begin = np.arange(least.size)
+    inside = begin + window <= np.repeat(offsets[1:], np.diff(offsets))[: begin.size]
+    return np.unique((begin + window - 1 - least)[inside])
+
+
+def _word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word of all texts, in code points of its text."""
+    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    edge = np.flatnonzero(np.diff((~_IS_SPACE[np.minimum(codes, _IS_SPACE.size - 1)]).view(np.int8))) + 1
+    first = np.cumsum([1] + [len(t) + 1 for t in texts])
+    base = first[np.searchsorted(first, edge[0::2], side="right") - 1]
+    return edge[0::2] - base, edge[1::2] - base
+
+
+def _earlier(keys: list, at: np.ndarray, words) -> np.ndarray:
+    """Whether the same key stands further up without overlap; the first key is the text."""
+    frame = pd.DataFrame(dict(enumerate(keys)))
+    return at - pd.Series(at).groupby([frame[c] for c in frame], sort=False).transform("min").to_numpy() >= words
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.filter("text IS NOT NULL").select(
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("version"), "text"
+    )
+
+
+def _words(phrases: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes([p.replace("\0", "\1").encode("utf-8", "replace") for p in phrases], SPACED)
+
+
+def marks(docs: DataFrame, size: int) -> DataFrame:
+    """One row per unit and per seed of ``size`` words of every whole text, settled."""
     ship(docs.sparkSession)
+    names = [x.split()[0] for x in _MARK_SCHEMA.split(", ")]
+
+    def units(part: pd.DataFrame) -> tuple[pd.DataFrame, list[str]]:
+        columns: list[list] = [[] for _ in names]
+        whole = []
+        for doc_id, version, text in part.itertuples(index=False):
+            seen, phrases, at = set(), [], 0
+            for begin, end, words in cut_units(text):
+                phrases.append(" ".join(words))
+                digest = hashlib.md5(phrases[-1].encode("utf-8", "replace"), usedforsecurity=False).digest()
+                row = (doc_id, version, False, *struct.unpack("<qq", digest), at, len(words), begin, end, digest in seen, -1, -1)
+                seen.add(digest)
+                at += len(words)
+                for column, value in zip(columns, row):
+                    column.append(value)
+            whole.append(" ".join(phrases))
+        return pd.DataFrame(dict(zip(names, columns))), whole
+
+    def seeds(part: pd.DataFrame, whole: list[str]) -> pd.DataFrame:
+        words, offsets = _words(whole)
+        grams, first = shingle_hashes(words, offsets, size)
+        chosen = winnow(grams, first, size)
+        text = np.searchsorted(first, chosen, side="right") - 1
+        at = chosen - first[text]
+        begins, ends = _word_places(part["text"].tolist())
+        place = offsets[text] + at
+        beside = lambda k, inside: np.where(inside, (words[np.where(inside, k, 0)] >> np.uint64(56)).astype(int), -1)
+        return pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text], "seed": True,
+            "first": grams[chosen].view(np.int64), "second": 0, "at": at, "words": size,
+            "begin": begins[place], "stop": ends[place + size - 1], "again": _earlier([text, grams[chosen]], at, size),
+            "before": beside(place - 1, at > 0), "after": beside(place + size, place + size < offsets[text + 1]),
+        })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k in range(0, len(frame), 500):
-                columns: list[list] = [[] for _ in range(9)]
-                for doc_id, version, text in frame.iloc[k : k + 500].itertuples(index=False):
-                    seen = set()
-                    for number, (begin, end, words) in enumerate(cut_units(text)):
-                        digest = hashlib.md5(" ".join(words).encode("utf-8", "replace"), usedforsecurity=False).digest()
-                        first, second = struct.unpack("<qq", digest)
-                        row = (doc_id, version, number, first, second, begin, end, len(words), digest in seen)
-                        seen.add(digest)
-                        for column, value in zip(columns, row):
-                            column.append(value)
-                names = [x.split()[0] for x in _UNIT_SCHEMA.split(", ")]
-                yield pd.DataFrame(dict(zip(names, columns)))
-
-    keyed = docs.filter("text IS NOT NULL").select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("version"), "text"
-    )
-    return settle(keyed.mapInPandas(run, _UNIT_SCHEMA), "dedup-units")
+            for part, _ in slices(frame, 1 << 20):
+                own, whole = units(part)
+                yield own
+                yield seeds(part, whole)
+
+    return settle(_keyed(docs).mapInPandas(run, _MARK_SCHEMA), "dedup-marks")
+
+
+def _spread_join(rows: DataFrame, keyed: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row and the count ``n`` of each key."""
+    frequent = total / MOST_FREQUENT
+    # At most MOST_FREQUENT keys can hold so many rows each, so they are small enough to broadcast.
+    hot = F.broadcast(keyed.filter(F.col("n") > frequent))
+    rare = rows.join(hot.select(*columns), columns, "left_anti").join(keyed.filter(F.col("n") <= frequent), columns)
+    return rows.join(hot, columns).unionByName(rare)
+
+
+def _repeated(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """The rows whose key an earlier document has, or the same document further up."""
+    holders = rows.groupBy(*columns).agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
+    holders = settle(holders.filter("n > 1"), f"dedup-{label}")
+    release(rows.sparkSession)
+    return _spread_join(rows, holders, columns, rows.count()).filter("again OR doc_id > kept_in")
+
+
+def _extended(docs: DataFrame, rows: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """The outermost repeated seeds (side 0 left, 1 right) with the words outside that are repeated too."""
+    order = Window.partitionBy("doc_id", "version").orderBy("at")
+    seeds = repeated.filter("seed").select("doc_id", "version", "first", "at", "n", "before", "after").distinct()
+    far = lambda gap, word: F.when(F.coalesce(gap > size, F.lit(True)) & (F.col(word) >= 0), F.col(word))
+    outer = seeds.select(
+        "first", "n",
+        far(F.col("at") - F.lag("at").over(order), "before").alias("left"),
+        far(F.lead("at").over(order) - F.col("at"), "after").alias("right"),
+    )
+    outer = outer.filter("left IS NOT NULL OR right IS NOT NULL").groupBy("first")
+    outer = settle(outer.agg(F.max("n").alias("n"), F.collect_set("left").alias("lefts"), F.collect_set("right").alias("rights")), "dedup-outer")
+    held = _spread_join(rows.filter("seed").select("doc_id", "version", "first", "at", "before", "after"), outer, ["first"], rows.count())
+    held = held.withColumn("left", F.array_contains("lefts", F.col("before"))).withColumn("right", F.array_contains("rights", F.col("after")))
+    held = held.filter("left OR right").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "at", "left", "right")).alias("held"))
+    held = settle(held, "dedup-held")
+    release(docs.sparkSession)
+    names = [x.split()[0] for x in _AROUND_SCHEMA.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, _ in slices(frame, 1 << 20):
+                texts = part["text"].tolist()
+                words, offsets = _words([" ".join(t.lower().split()) for t in texts])
+                begins, ends = _word_places(texts)
+                wanted = [
+                    (k, h["first"], h["at"], side) for k, held in enumerate(part["held"]) for h in held
+                    for side in (0, 1) if h["right" if side else "left"]
+                ]
+                text, first, at, side = (np.array(c, np.int64) for c in zip(*wanted))
+                low, high = offsets[text] + at, offsets[text] + at + size
+                hashes = first.view(np.uint64).copy()
+                for delta in range(1, size):
+                    place = np.where(side == 0, low - delta, high + delta - 1)
+                    inside = (place >= offsets[text]) & (place < offsets[text + 1])
+                    text, first, at, side, low, high, hashes, place = (
+                        x[inside] for x in (text, first, at, side, low, high, hashes, place)
+                    )
+                    if not text.size:
+                        break
+                    hashes = mix(mix(hashes) ^ words[place])
+                    yield pd.DataFrame({
+                        "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text], "first": first,
+                        "side": side, "delta": delta, "hash": hashes.view(np.int64), "at": np.where(side == 0, at - delta, at),
+                        "words": size + delta, "begin": begins[np.where(side == 0, place, low)],
+                        "stop": ends[np.where(side == 0, high - 1, place)],
+                        "again": _earlier([text, first, side, hashes], at, size + delta),
+                    })[names]
+
+    around = settle(_keyed(docs).join(held, ["doc_id", "version"]).mapInPandas(run, _AROUND_SCHEMA), "dedup-around")
+    release(docs.sparkSession)
+    return _repeated(around, ["first", "side", "delta", "hash"], "around-holders")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
-    """The passages to remove: doc_id, offsets, size, and the lowest doc_id that keeps part of them."""
-    rows = units(docs)
-    holders = rows.groupBy("first", "second").agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
-    holders = settle(holders.filter("n > 1"), "dedup-holders")
-    frequent = rows.count() / MOST_FREQUENT
-    # At most MOST_FREQUENT digests can hold so many rows each, so they are small enough to broadcast.
-    hot = F.broadcast(holders.filter(F.col("n") > frequent).select("first", "second", "kept_in"))
-    others = holders.filter(F.col("n") <= frequent).select("first", "second", "kept_in")
-    rare = rows.join(hot, ["first", "second"], "left_anti").join(others, ["first", "second"])
-    repeated = (
-        rows.join(hot, ["first", "second"])
-        .unionByName(rare)
-        .filter("again OR doc_id > kept_in")
-        .select("doc_id", "version", "unit", "begin", "stop", "words", "kept_in")
-        .dropDuplicates(["doc_id", "version", "unit"])
-    )
-    order = Window.partitionBy("doc_id", "version").orderBy("unit")
+    """The passages to remove: doc_id, offsets, size, marks inside, and the lowest doc_id that keeps part of them."""
+    size = seed_size(min_words)
+    rows = marks(docs, size)
+    repeated = settle(_repeated(rows, ["first", "second"], "holders"), "dedup-repeated")
+    release(docs.sparkSession)
+    columns = ["doc_id", "version", "at", "words", "begin", "stop", "kept_in"]
+    spans = repeated.select(*columns, "seed").distinct().withColumn("n", F.lit(1)).drop("seed")
+    wider = _extended(docs, rows, repeated, size).select(*columns).withColumn("n", F.lit(0))
+    order = Window.partitionBy("doc_id", "version").orderBy("at")
+    reached = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        repeated.withColumn("run", F.col("unit") - F.row_number().over(order))
+        spans.unionByName(wider)
+        .withColumn("apart", F.coalesce((F.col("at") > reached).cast("int"), F.lit(1)))
+        .withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "version", "run")
         .agg(
-            F.min("begin").alias("begin"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"),
-            F.count("*").alias("n_units"), F.min("kept_in").alias("kept_in"),
+            F.min("begin").alias("begin"), F.max("stop").alias("stop"),
+            (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("n_words"),
+            F.sum("n").alias("n_units"), F.min("kept_in").alias("kept_in"),
         )
         .filter(F.col("n_words") >= min_words)
         .select(_real_id("doc_id"), "version", "begin", "stop", "n_words", "n_units", _real_id("kept_in"))

@@ -220,6 +220,31 @@ def test_repeated_passage_is_cut_from_later_documents(spark):
     assert out[2].text == texts[2][: runs[0].begin] + texts[2][runs[0].stop :] and out[2].n_chars == len(out[2].text)
 
 
+def test_passages_over_cut_sentences_are_removed_to_the_word(spark):
+    rng = random.Random(16)
+    plain = lambda tag, n: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+    texts, want = [], {}
+    for k, n in enumerate((25, 27, 50, 51, 65, 120)):
+        words = plain("p", n).split()
+        if k % 2:  # one sentence end inside, the sentences around it are cut
+            words[n // 2] += "."
+        passage = " ".join(words)
+        texts += [
+            f"{plain('a', 9)} {' '.join(words[3:20])} {plain('b', 9)}",  # an earlier place of a part
+            f"{plain('c', 14)}. {plain('d', 7)} {passage} {plain('e', 5)}. {plain('f', 9)}",
+            f"{plain('g', 8)}\u2003{plain('h', 11)} {passage.upper()} {plain('i', 6)}.",
+        ]
+        want[3 * k + 2] = passage.upper()
+    once = plain("q", 40)
+    texts.append(f"{plain('r', 6)} {once} {plain('s', 6)} {once} {plain('t', 6)}")
+    want[len(texts) - 1] = once
+    texts.append(plain("u", 24) + " " + " ".join(texts[1].split()[5:29]) + " " + plain("v", 9))  # 24 words stay
+    docs = frame(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    runs = substring_dedup.repeated_runs(docs).collect()
+    assert {r.doc_id: texts[r.doc_id][r.begin : r.stop] for r in runs} == want and len(runs) == len(want)
+    assert all(r.n_words == len(want[r.doc_id].split()) for r in runs)
+
+
 def test_benchmark_items_are_found_and_parts_are_not(spark):
     rng = random.Random(7)
     vocabulary = [a + b for a in WORDS for b in ("", "lu", "pe", "ri")]
