@@ -10,6 +10,8 @@
 3. Texts meet in buckets of banded samples. Every member is compared with the
    bucket's centre by exact weighted Jaccard similarity. Further rounds, with
    another centre in every bucket, compare what is still in different classes.
+   Then all members of a bucket that are in different classes are compared with
+   each other, so no two texts that share a bucket stay uncompared.
 4. Classes are connected components of the links, found by alternating star steps.
 
 Exact copies share a digest and are never compared.
@@ -38,6 +40,8 @@ SIZE = 5
 BANDS, ROWS = 16, 3
 #: How much more the rarest shingle weighs than the commonest.
 RARITY = 0.25
+#: Members of a bucket that one part compares with all of them.
+PART = 256
 _KEY_BYTES = 5
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BAND_FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -281,25 +285,48 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
         order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))).alias("o"), "id", "root", "block", "weight")
         centre = own.groupBy("key").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
         centre = centre.filter("low <> high").select("key", "c")
-        pairs = (
-            own.join(centre, "key")
-            .filter(F.col("root") != F.col("c.root"))
-            # The smaller total weight bounds what two texts share.
-            .filter(F.least("weight", "c.weight") >= (similarity - 1e-6) * F.greatest("weight", "c.weight"))
-            .select(
-                F.col("id").alias("a"), F.col("block").alias("a_block"), F.col("root").alias("a_root"),
-                F.col("c.id").alias("b"), F.col("c.block").alias("b_block"), F.col("c.root").alias("b_root"),
-            )
-            .distinct()
-        )
+        pairs = _apart(own.join(centre, "key"), similarity)
         new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links")
         if not new.isEmpty():
             known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
         del own, centre, pairs
         release(spark)  # the sets that this round exchanged
+    new = settle(_verified(settle(_open_pairs(members, known, similarity), "near-pairs"), found, similarity), "near-links")
+    if not new.isEmpty():
+        known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
+    release(spark)
     return known
 
 
+def _apart(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of a member and ``c`` that are in different classes and may be similar, once each."""
+    return (
+        pairs.filter(F.col("root") != F.col("c.root"))
+        # The smaller total weight bounds what two texts share.
+        .filter(F.least("weight", "c.weight") >= (similarity - 1e-6) * F.greatest("weight", "c.weight"))
+        .select(
+            F.col("id").alias("a"), F.col("block").alias("a_block"), F.col("root").alias("a_root"),
+            F.col("c.id").alias("b"), F.col("c.block").alias("b_block"), F.col("c.root").alias("b_root"),
+        )
+        .distinct()
+    )
+
+
+def _open_pairs(members: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
+    """All pairs of members of different classes in a bucket; a large bucket is dealt over parts."""
+    own = members.withColumn("root", F.col("id"))
+    if known is not None:
+        own = members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = sizes.filter("low <> high").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    left = settle(own.join(sizes, "key"), "near-open")
+    right = left.select(
+        "key", F.struct("id", "root", "block", "weight").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    return _apart(left.join(right, ["key", "part"]).filter("id < c.id"), similarity)
+
+
 def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
     """``known`` (id, root) after its roots have been merged as ``merges`` (id, root) says."""
     if known is None:

@@ -206,6 +206,38 @@ def test_near_duplicates_by_brute_force(spark):
     assert of == {k: find(k) for k in range(len(texts))}
 
 
+def template_group():
+    """400 pairs of about 0.84 in a group whose members are mostly about 0.73 similar to each other, and all classes."""
+    rng = random.Random(15)
+    texts = []
+    for pair in range(400):
+        block = [f"p{pair}x{k}" for k in range(13)]
+        for half in range(2):
+            words = [f"t{k}" for k in range(300)]
+            for k in (rng.randrange(10, 120), rng.randrange(180, 290)):
+                words[k] = f"e{pair}x{half}x{k}"
+            texts.append(" ".join(words[:150] + block + words[150:]))
+    number: dict = {}
+    held = [[number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(len(w) - 4)] for w in map(str.split, texts)]
+    sets = np.zeros((len(texts), len(number)), np.float32)
+    for row, columns in zip(sets, held):
+        row[columns] = 1
+    weight = near_dedup.shingle_weight(1, sets.sum(axis=0), len(texts))
+    common = (sets * weight) @ sets.T
+    whole = np.diag(common)
+    near = common / (whole[:, None] + whole - common) >= 0.8
+    root = np.arange(len(texts))
+    while (low := np.array([root[row].min() for row in near])).tolist() != root.tolist():
+        root = low
+    return texts, dict(enumerate(root.tolist()))
+
+
+def test_pairs_inside_a_template_group_are_all_found(spark):
+    texts, want = template_group()
+    out = near_dedup.classes(frame(spark, [(k, t, "en") for k, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.class_id for r in out} == want and len(set(want.values())) > 200
+
+
 def test_repeated_passage_is_cut_from_later_documents(spark):
     rng = random.Random(6)
     passage = prose(rng, 80)
