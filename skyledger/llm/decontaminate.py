@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval and sequence checks.
 
-Passages of all documents are TF-IDF vectors over the commonest hashed words. A
+Passages of all documents are TF-IDF vectors over all hashed words. A
 randomised SVD finds their leading right singular directions: every partition
 adds up A'(A W) for a random W, the sums are added in a tree, and a small SVD
 follows. The first direction, which all passages share, is left out and the
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import semi_join_null_safe, settle, ship, slices
 from skyledger.llm.words import ALNUM, word_hashes
 
-#: Words are hashed to 2**BITS places; the COLUMNS places with the most passages make the matrix.
+#: Words are hashed to 2**BITS places; the places that any passage holds are the columns of the matrix.
 BITS = 16
-COLUMNS = 4096
 RANK = 48
 PASSAGE = 32
 _SLICE = 1 << 18
@@ -144,17 +143,16 @@ def singular_basis(docs: DataFrame, idf: np.ndarray, column: np.ndarray, seed: i
     return basis_of(add_tree(parts).reshape(idf.size, RANK))
 
 
-def leading_columns(held: np.ndarray) -> np.ndarray:
-    """Column of each hash place: the places held by most passages, in order of place; others -1."""
-    chosen = np.sort(np.argsort(-held, kind="stable")[:COLUMNS])
-    chosen = chosen[held[chosen] > 0]
+def held_columns(held: np.ndarray) -> np.ndarray:
+    """Column of each hash place that a passage holds, in order of place; others -1."""
+    chosen = np.flatnonzero(held)
     column = np.full(held.size, -1, np.int64)
     column[chosen] = np.arange(chosen.size)
     return column
 
 
 class Projection:
-    """Vectors of runs of words: sums over the leading columns' rows."""
+    """Vectors of runs of words: sums over the columns' rows."""
 
     def __init__(self, column: np.ndarray, table: np.ndarray):
         self.column, self.table = column, table
@@ -277,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.62
     ship(spark)
     docs = docs.select("doc_id", "text")
     held, total = document_frequencies(docs)
-    column = leading_columns(held)
+    column = held_columns(held)
     idf = np.log((total + 1) / (held[column >= 0] + 1)) + 0.1
     basis = singular_basis(docs, idf, column)
     shared = spark.sparkContext.broadcast(Projection(column, (basis * idf[:, None]).astype(np.float32)))

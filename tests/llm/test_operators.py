@@ -302,6 +302,18 @@ def test_benchmark_items_are_found_and_parts_are_not(spark):
     assert decontaminate.clean(docs, bench).count() == 240 - len(leaked)
 
 
+def test_items_of_words_that_are_rare_in_the_corpus_are_found(spark):
+    rng = random.Random(17)
+    vocabulary = [f"w{k}" for k in range(6000)] * 3  # more words than were columns once, each in several passages
+    rng.shuffle(vocabulary)
+    bodies = [" ".join(vocabulary[k : k + 150]) for k in range(0, len(vocabulary), 150)]
+    items = [" ".join(f"rare{i}x{k}" for k in range(18 + i)) for i in range(8)]
+    rows = [(k, f"{body[: len(body) // 2]} {items[k]} {body[len(body) // 2 :]}" if k < 8 else body, "en") for k, body in enumerate(bodies)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(8)}
+
+
 def test_common_subsequence_by_dynamic_programming():
     rng = random.Random(8)
     items = decontaminate.Items([0], [b"a b c d e f g h a b"], [b""], decontaminate.Projection(np.full(1 << 16, -1), np.zeros((0, 3), np.float32)))
