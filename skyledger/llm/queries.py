@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm import (
-    decontaminate, language_id, lattice_lm, near_dedup, packing, quality_qda, quality_rules, substring_dedup, token_store, toxicity,
+    decontaminate, filter_audit, language_id, lattice_lm, merge_pieces, near_dedup, packing, quality_qda, quality_rules,
+    substring_dedup, token_store, toxicity, vector_codes,
 )
 from skyledger.llm.common import table
 
@@ -65,14 +66,27 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_runs(table(spark, sf_dir, "documents")).drop("version")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.digests(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_merge_pieces(spark, sf_dir):
+    return merge_pieces.digests(merge_pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_qda, op2_packing, op3_toxicity_ftrl, op4_lattice_lm, op5_language_id, op6_decontaminate,
-        op7_token_store, op8_quality_rules, op9_near_dedup, op10_substring_dedup,
+        op7_token_store, op8_quality_rules, op9_near_dedup, op10_substring_dedup, op11_vector_codes, op12_merge_pieces,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force."""
-    return {}
+    return {"op13_filter_audit": filter_audit.ORACLE_SQL}

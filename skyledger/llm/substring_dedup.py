@@ -14,8 +14,8 @@ common line is not listed everywhere) lists its words outwards, one run for each
 and the longest run that stands in an earlier place as well is taken, so passages
 are cut to the word.
 
-The few digests with over a thousandth of all marks are joined by broadcast and
-the others by shuffle, so a line that is everywhere stays spread over the tasks.
+The few digests with over a thousandth of all marks are joined apart, where Spark
+sees a small table and broadcasts it, and the others by shuffle, so a line that is everywhere stays spread over the tasks.
 Marks that touch form a run, and runs of ``min_words`` words or more are removed;
 short phrases that happen to be common stay.
 
@@ -41,7 +41,7 @@ from skyledger.llm.common import release, settle, ship, slices
 from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
 _UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
-#: Digests with more than one in so many of all units are joined without a shuffle.
+#: Digests with more than one in so many of all units are joined apart from the others.
 MOST_FREQUENT = 1000
 _MARK_SCHEMA = (
     "doc_id long, version long, seed boolean, first long, second long, at int, words int, begin int, stop int, again boolean, "
@@ -155,8 +155,8 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
 def _spread_join(rows: DataFrame, keyed: DataFrame, columns: list[str], total: int) -> DataFrame:
     """``rows`` joined with ``keyed``, which has a row and the count ``n`` of each key."""
     frequent = total / MOST_FREQUENT
-    # At most MOST_FREQUENT keys can hold so many rows each, so they are small enough to broadcast.
-    hot = F.broadcast(keyed.filter(F.col("n") > frequent))
+    # At most MOST_FREQUENT keys can hold so many rows each, so Spark sees a small side and joins it without a shuffle.
+    hot = keyed.filter(F.col("n") > frequent)
     rare = rows.join(hot.select(*columns), columns, "left_anti").join(keyed.filter(F.col("n") <= frequent), columns)
     return rows.join(hot, columns).unionByName(rare)
 
