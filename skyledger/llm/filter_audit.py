@@ -15,7 +15,7 @@ meet: a digest has at most one row per part and pair of labels in a window.
 
 Defined cases: a null text counts as empty, and all empty texts are identical; a
 null lang is the part of the empty string; a null doc_id is smaller than none and
-has none smaller, so it neither fails E nor makes others fail; rows that share
+has none smaller, so it neither fails E nor makes others fail, and has no label; rows that share
 doc_id and text do not fail E by each other; a doc_id with several labels is good
 (toxic) if one of them says so; an empty table gives an empty result; further
 columns are ignored whatever their names.

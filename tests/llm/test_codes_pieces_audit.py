@@ -196,8 +196,8 @@ def test_encode_then_decode_odd_rows(spark):
 
 
 def brute_audit(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     seen = {}
     for i, text, _ in docs:
         if i is not None:
