@@ -9,6 +9,8 @@ aggregation before. Frames count rows, not days; gaps in the dates stay gaps.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +34,14 @@ MONTH_KEYS = (
 HEAT_LIMIT, COLD_LIMIT = 35, -20
 
 
-def _history():
-    return Window.partitionBy("station_id").orderBy("obs_date")
-
+STATION = ("station_id",)
 
-def _trailing(rows: int):
-    return _history().rowsBetween(-(rows - 1), 0)
+#: A day's rolling values, lags and changes reach so many rows of its station back.
+LOOKBACK_ROWS = 29
 
 
-def _back(measure: str, rows: int) -> Column:
-    return F.lag(measure, rows).over(_history())
+def _history(keys: Sequence[str] = STATION):
+    return Window.partitionBy(*keys).orderBy("obs_date")
 
 
 def _holds(condition: Column) -> Column:
@@ -55,6 +55,10 @@ def daily_weather(staged_daily: DataFrame, staged_stations: DataFrame) -> DataFr
     size is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles on
     station_id beyond it, which is the distribution the windows need anyway.
     """
+    return _rolling(_station_days(staged_daily, staged_stations))
+
+
+def _station_days(staged_daily: DataFrame, staged_stations: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     day = F.col("obs_date")
     calendar = {
         "obs_year": F.year(day),
@@ -62,23 +66,27 @@ def daily_weather(staged_daily: DataFrame, staged_stations: DataFrame) -> DataFr
         "day_of_week": F.dayofweek(day) - 1,
         "day_of_year": F.dayofyear(day),
     }
-    joined = staged_daily.join(
-        staged_stations.select(*STATION_COLUMNS), "station_id", "inner"
-    ).select(
+    return staged_daily.join(staged_stations.select(*STATION_COLUMNS), "station_id", "inner").select(
         *STATION_COLUMNS,
         "obs_date",
         *[c.cast("int").alias(name) for name, c in calendar.items()],
         *MEASURES,
+        *carried,
     )
+
+
+def _rolling(days: DataFrame, keys: Sequence[str] = STATION) -> DataFrame:
     temp, rain = F.col("tavg_derived_celsius"), F.col("precipitation_mm")
-    rolling = joined.select(
+    history = _history(keys)
+    week, month = history.rowsBetween(-6, 0), history.rowsBetween(-LOOKBACK_ROWS, 0)
+    rolling = days.select(
         "*",
-        F.avg(temp).over(_trailing(7)).alias("tavg_7d_avg"),
-        F.avg(rain).over(_trailing(7)).alias("precip_7d_avg"),
-        F.avg(temp).over(_trailing(30)).alias("tavg_30d_avg"),
-        F.sum(rain).over(_trailing(30)).alias("precip_30d_total"),
-        (temp - _back("tavg_derived_celsius", 1)).alias("temp_change_1d"),
-        (temp - _back("tavg_derived_celsius", 7)).alias("temp_change_7d"),
+        F.avg(temp).over(week).alias("tavg_7d_avg"),
+        F.avg(rain).over(week).alias("precip_7d_avg"),
+        F.avg(temp).over(month).alias("tavg_30d_avg"),
+        F.sum(rain).over(month).alias("precip_30d_total"),
+        (temp - F.lag(temp, 1).over(history)).alias("temp_change_1d"),
+        (temp - F.lag(temp, 7).over(history)).alias("temp_change_7d"),
     )
     return rolling.withColumns(
         {
@@ -90,6 +98,34 @@ def daily_weather(staged_daily: DataFrame, staged_stations: DataFrame) -> DataFr
     )
 
 
+def _neighbours(daily: DataFrame, keys: Sequence[str] = STATION) -> DataFrame:
+    """The daily mart with the next day's target and the lags beside each day."""
+    temp, rain = F.col("tavg_derived_celsius"), F.col("precipitation_mm")
+    history = _history(keys)
+    return daily.select(
+        "*",
+        F.lead(temp, 1).over(history).alias("target_tavg_next_day"),
+        *[F.lag(temp, n).over(history).alias(f"tavg_lag_{n}d") for n in (1, 2, 3, 7)],
+        *[F.lag(rain, n).over(history).alias(f"precip_lag_{n}d") for n in (1, 7)],
+    )
+
+
+def station_history(
+    staged_daily: DataFrame, staged_stations: DataFrame, bucket: str, splits: int
+) -> DataFrame:
+    """The daily mart with target and lags, by one shuffle and one sort.
+
+    Rows are shuffled by ``bucket``, each cut into ``splits`` by station, so a
+    task holds whole stations of few buckets and can write them partitioned by
+    bucket as they come. Both marts are narrow projections of the result.
+    """
+    split = F.pmod(F.xxhash64("station_id", F.lit("split")), F.lit(splits)).cast("int")
+    days = _station_days(staged_daily, staged_stations, (bucket,)).withColumn("_split", split)
+    keys = (bucket, "_split", "station_id")
+    spread = days.repartition(bucket, "_split")
+    return _neighbours(_rolling(spread, keys), keys).drop("_split")
+
+
 def monthly_summary(daily: DataFrame) -> DataFrame:
     """Monthly statistics per station, rounded to two decimals.
 
@@ -123,21 +159,26 @@ def prediction_features(daily: DataFrame) -> DataFrame:
     Uses the window the daily mart uses; computed in one plan with it, both share
     a single exchange and sort.
     """
-    temp, rain = "tavg_derived_celsius", "precipitation_mm"
+    return features_of_history(_neighbours(daily))
+
+
+def features_of_history(history: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """The feature table from days that carry their target and lags; neither shuffles nor sorts."""
     angle = F.lit(2.0) * F.pi() * F.col("day_of_year") / F.lit(365.0)
-    features = daily.select(
+    features = history.select(
         "station_id", "obs_date", "obs_year", "obs_month", "day_of_year",
         "latitude", "longitude", "elevation", "climate_zone",
-        F.lead(temp, 1).over(_history()).alias("target_tavg_next_day"),
-        temp, "tmax_celsius", "tmin_celsius", "temp_range_celsius",
-        rain, "snowfall_mm", "avg_wind_speed_ms",
-        *[_back(temp, n).alias(f"tavg_lag_{n}d") for n in (1, 2, 3, 7)],
-        *[_back(rain, n).alias(f"precip_lag_{n}d") for n in (1, 7)],
+        "target_tavg_next_day",
+        "tavg_derived_celsius", "tmax_celsius", "tmin_celsius", "temp_range_celsius",
+        "precipitation_mm", "snowfall_mm", "avg_wind_speed_ms",
+        *[f"tavg_lag_{n}d" for n in (1, 2, 3, 7)],
+        *[f"precip_lag_{n}d" for n in (1, 7)],
         "tavg_7d_avg", "tavg_30d_avg", "precip_7d_avg", "precip_30d_total",
         "temp_change_1d", "temp_change_7d",
         F.sin(angle).alias("season_sin"),
         F.cos(angle).alias("season_cos"),
         "had_precipitation", "had_snowfall", "is_extreme_heat", "is_extreme_cold",
+        *carried,
     )
     return features.where(
         F.col("target_tavg_next_day").isNotNull() & F.col("tavg_lag_7d").isNotNull()

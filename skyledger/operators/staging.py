@@ -44,6 +44,16 @@ def stage_daily(raw_daily: DataFrame) -> DataFrame:
     )
 
 
+def station_years(staged_daily: DataFrame) -> DataFrame:
+    """Days per station and year, how many of them have a temperature, the first and the last."""
+    return staged_daily.groupBy("station_id", F.year("obs_date").alias("obs_year")).agg(
+        F.count("*").alias("days"),
+        F.count("tavg_derived_celsius").alias("days_with_temp"),
+        F.min("obs_date").alias("first_day"),
+        F.max("obs_date").alias("last_day"),
+    )
+
+
 def stage_stations(raw_stations: DataFrame) -> DataFrame:
     """Stations with coordinates, enriched with geography."""
     station_id, latitude = F.col("station_id"), F.col("latitude")

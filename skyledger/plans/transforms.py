@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.operators import marts, quality, staging
+from skyledger.plans.reach import partition_table, partitions_to_read, partitions_to_rebuild
 from skyledger.sources.daily_text import malformed_counts, read_daily_files
 from skyledger.sources.station_text import read_station_catalogue
-from skyledger.sources.warehouse import Warehouse
+from skyledger.sources.versions import Partition, Snapshot
+from skyledger.sources.warehouse import PARTITIONS, Warehouse
 
-DAILY, STATIONS = "staging.daily_observations", "staging.stations"
+DAILY, STATIONS, SPANS = "staging.daily_observations", "staging.stations", "staging.station_years"
 WEATHER, MONTHLY, FEATURES = "marts.daily_weather", "marts.monthly_summary", "marts.prediction_features"
 TABLES = (DAILY, STATIONS, WEATHER, MONTHLY, FEATURES)
 MALFORMED = "quality.malformed"
@@ -44,33 +46,112 @@ def require_unique(stations: DataFrame) -> None:
 
 
 def run_transforms(
-    warehouse: Warehouse, *, allow_duplicate_stations: bool = False
+    warehouse: Warehouse, *, allow_duplicate_stations: bool = False, full: bool = False
 ) -> dict[str, DataFrame]:
-    """Build and store the five tables; each reads its inputs as stored.
+    """Bring the stored tables up to date with the raw tables; each reads its inputs as stored.
+
+    Every table remembers the snapshots it was derived from. Only (year, bucket)
+    partitions whose input changed since are rebuilt, with those that their
+    windows reach; the files of all others stay. A first run, another station
+    dimension or ``full`` rebuild everything.
 
     Duplicate stations would multiply their observations and with them the
     window partitions, so they stop the run unless they are allowed.
 
-    The daily mart and the feature table are partitioned by year, so year-range
-    loads prune, and sorted by station inside a file, so station lists skip row
-    groups.
+    The marts are partitioned by year and station bucket and sorted by station
+    inside a file, so year ranges prune partitions and station lists skip row
+    groups. One shuffle and one sort by station serve both: the daily mart is
+    stored with the next day's target and the lags beside it, which readers of
+    the mart do not see, and the features are a projection of what is stored.
     """
-    by_year = {"partition_by": ("obs_year",), "sort_by": ("station_id", "obs_date")}
-    stored = {}
-    stored[DAILY] = warehouse.replace_table(DAILY, staging.stage_daily(warehouse.daily()))
-    stored[STATIONS] = warehouse.replace_table(
-        STATIONS, staging.stage_stations(warehouse.stations())
-    )
+    build = _Build(warehouse, full)
+    build.stations()
     if not allow_duplicate_stations:
-        require_unique(stored[STATIONS])
-    stored[WEATHER] = warehouse.replace_table(
-        WEATHER, marts.daily_weather(stored[DAILY], stored[STATIONS]), **by_year
-    )
-    stored[MONTHLY] = warehouse.replace_table(MONTHLY, marts.monthly_summary(stored[WEATHER]))
-    stored[FEATURES] = warehouse.replace_table(
-        FEATURES, marts.prediction_features(stored[WEATHER]), **by_year
-    )
-    return stored
+        require_unique(warehouse.read(STATIONS))
+    build.narrow(DAILY, "raw.daily", staging.stage_daily)
+    build.narrow(SPANS, DAILY, staging.station_years)
+    build.weather()
+    build.narrow(MONTHLY, WEATHER, marts.monthly_summary)
+    build.features()
+    return {name: warehouse.read(name) for name in TABLES}
+
+
+class _Build:
+    """One run over the stored tables in dependency order.
+
+    A step first pins the snapshots of its inputs and works with those, so a
+    writer that comes in between is seen by the next run and not lost.
+    """
+
+    def __init__(self, warehouse: Warehouse, full: bool):
+        self.warehouse, self.full = warehouse, full
+
+    def _pin(self, *sources: str) -> dict[str, int]:
+        return {name: self.warehouse.versions(name).latest().number for name in sources}
+
+    def _changes(self, table: str, source: str, pinned: dict[str, int]) -> set[Partition] | None:
+        return None if self.full else self.warehouse.changes(table, source, pinned[source])
+
+    def stations(self) -> None:
+        pinned = self._pin("raw.stations")
+        if self._changes(STATIONS, "raw.stations", pinned) != set():
+            raw = self.warehouse.read("raw.stations", at=pinned["raw.stations"])
+            self.warehouse.put(STATIONS, staging.stage_stations(raw), inputs=pinned)
+
+    def narrow(self, table: str, source: str, derive: Callable[[DataFrame], DataFrame]) -> None:
+        """A table whose rows depend on rows of their own partition of ``source`` only."""
+        pinned = self._pin(source)
+        changed = self._changes(table, source, pinned)
+        if changed != set():
+            rows = self.warehouse.with_partition(derive(self.warehouse.read(source, changed, at=pinned[source])))
+            self.warehouse.put(table, rows, replacing=changed, by=PARTITIONS, sort_by=("station_id",), inputs=pinned)
+
+    def _reach(self, pinned: dict[str, int]) -> tuple[set[Partition] | None, set[Partition] | None]:
+        """Partitions of the daily mart to rebuild and to read for it; None for all."""
+        changed = self._changes(WEATHER, DAILY, pinned)
+        if changed is None or self._changes(WEATHER, STATIONS, pinned) != set():
+            return None, None
+        if not changed:
+            return changed, changed
+        spans = self.warehouse.versions(SPANS)
+        old = spans.at(self.warehouse.versions(WEATHER).latest().inputs[SPANS])
+        if old is None:
+            return None, None
+        buckets = {bucket for _, bucket in changed}
+
+        def of_buckets(snapshot: Snapshot) -> DataFrame:
+            wanted = [key for key in snapshot.partitions() if key[1] in buckets]
+            return self.warehouse.read(SPANS, wanted, at=snapshot.number, hidden=True)
+
+        now = of_buckets(spans.at(pinned[SPANS]))
+        rebuilt = partitions_to_rebuild(of_buckets(old), now, changed)
+        return rebuilt, partitions_to_read(now, rebuilt)
+
+    def weather(self) -> None:
+        warehouse, pinned = self.warehouse, self._pin(DAILY, STATIONS, SPANS)
+        rebuilt, read = self._reach(pinned)
+        if rebuilt == set():
+            return
+        days = warehouse.read(DAILY, read, at=pinned[DAILY], hidden=True)
+        stations = warehouse.read(STATIONS, at=pinned[STATIONS])
+        history = marts.station_history(days, stations, "station_bucket", self._splits())
+        if rebuilt is not None and rebuilt != read:
+            here = partition_table(warehouse.spark, rebuilt)
+            history = history.join(here, ["obs_year", "station_bucket"], "left_semi")
+        warehouse.put(WEATHER, history, replacing=rebuilt, by=PARTITIONS, in_order=True, inputs=pinned)
+
+    def _splits(self) -> int:
+        """Parts of a bucket, so that the windows have about as many tasks as the session has reducers."""
+        reducers = int(self.warehouse.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, -(-reducers // self.warehouse.station_buckets))
+
+    def features(self) -> None:
+        pinned = self._pin(WEATHER)
+        changed = self._changes(FEATURES, WEATHER, pinned)
+        if changed != set():
+            history = self.warehouse.read(WEATHER, changed, at=pinned[WEATHER], hidden=True)
+            rows = marts.features_of_history(history, ("station_bucket",))
+            self.warehouse.put(FEATURES, rows, replacing=changed, by=PARTITIONS, in_order=True, inputs=pinned)
 
 
 def run_quality(warehouse: Warehouse, as_of: datetime.date) -> dict[str, DataFrame]:
@@ -104,7 +185,7 @@ def _read_landing(
 def backfill(
     warehouse: Warehouse, landing: str, first_year: int, last_year: int, *, on_error: str = "skip"
 ) -> dict[str, DataFrame]:
-    """Load an inclusive range of years in one job, then rebuild every table.
+    """Load an inclusive range of years in one job, then bring every table up to date.
 
     With ``on_error='skip'`` the unreadable years, months and values of this run
     are stored in ``quality.malformed``; ``'fail'`` stops at the first of them.
@@ -118,7 +199,7 @@ def backfill(
 def refresh(
     warehouse: Warehouse, landing: str, year: int, *, force: bool = False, on_error: str = "skip"
 ) -> dict[str, DataFrame]:
-    """Load one year, then rebuild. ``force`` truncates the observations first.
+    """Load one year, then rebuild what it reaches. ``force`` truncates the observations first.
 
     ``on_error`` is that of :func:`backfill`.
     """

@@ -79,6 +79,9 @@ TABLES = {
         "snowfall_mm double, snow_depth_mm double, avg_wind_speed_ms double, "
         "temp_range_celsius double"
     ),
+    "staging.station_years": (
+        "station_id string, obs_year int, days bigint, days_with_temp bigint, first_day date, last_day date"
+    ),
     "staging.stations": (
         "station_id string, latitude double, longitude double, elevation double, state string, "
         "station_name string, gsn_flag string, hcn_flag string, wmo_id string, "
@@ -116,3 +119,11 @@ TABLES = {
     "quality.malformed": "bad_years bigint, bad_months bigint, bad_values bigint",
     "quality.malformed_batches": "batch_id bigint, bad_years bigint, bad_months bigint, bad_values bigint",
 }
+
+#: Columns that a table stores on top for the tables derived from it; readers do not see them.
+HIDDEN = {
+    "marts.daily_weather": (
+        "target_tavg_next_day double, tavg_lag_1d double, tavg_lag_2d double, tavg_lag_3d double, "
+        "tavg_lag_7d double, precip_lag_1d double, precip_lag_7d double"
+    ),
+}

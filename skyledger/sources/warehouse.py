@@ -1,35 +1,36 @@
-"""Tables as Parquet folders under one root, and the ways to replace their rows.
+"""Tables as versioned Parquet folders under one root, and the ways to replace their rows.
 
-One writer at a time may change a table, as is usual for plain Parquet folders.
-``raw.daily`` is partitioned by year and by a hash bucket of the station id. A
-replacement then reads and rewrites only the (year, bucket) partitions its
-stations fall into, and readers that ask for years or stations prune to theirs.
+``raw.daily`` is partitioned by year and by a hash bucket of the station id, and
+so are the tables derived from it. A replacement reads only the (year, bucket)
+partitions its stations fall into, writes new and kept rows once, each into a
+folder of its own, and puts them in force with one rename (see ``versions``).
+Readers that ask for years or stations prune to theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.schemas import NAMESPACES, RAW_DAILY, RAW_DAILY_KEYS, RAW_DAILY_STORED, RAW_STATIONS, TABLES
-from skyledger.session import scratch_path
+from skyledger.schemas import HIDDEN, NAMESPACES, RAW_DAILY, RAW_DAILY_KEYS, RAW_DAILY_STORED, RAW_STATIONS, TABLES
+from skyledger.sources.versions import Partition, Snapshot, Versions, changed_partitions, named, partition_of, without
 
 PARTITIONS = ("obs_year", "station_bucket")
 DEFAULT_BUCKETS = 16
-LAYOUT = "raw.daily_layout"
+#: Files that a task of an ordered write keeps open; beyond that Spark sorts the rest by partition.
+OPEN_FILES = 300
 
 
 class Warehouse:
     """Path-based tables: ``{root}/{namespace}/{table}``.
 
-    The number of station buckets is stored beside ``raw.daily`` with the first
-    write and read from there ever after; asking for another number is refused,
-    as rows would be looked for in partitions they are not in.
+    The number of station buckets is stored with the first snapshot of
+    ``raw.daily`` and read from there ever after; asking for another number is
+    refused, as rows would be looked for in partitions they are not in.
     """
 
     def __init__(self, spark: SparkSession, root: str, station_buckets: int | None = None):
@@ -41,22 +42,15 @@ class Warehouse:
     @property
     def station_buckets(self) -> int:
         if self._buckets is None:
-            if self.exists(LAYOUT):
-                stored = self.spark.read.schema("station_buckets int").parquet(self.path(LAYOUT)).first()[0]
-                if self._asked not in (None, stored):
-                    raise ValueError(f"raw.daily is stored with {stored} station buckets, not {self._asked}")
-                self._buckets = stored
-            elif self._asked is None and self.exists("raw.daily"):
-                raise ValueError("raw.daily has no stored layout; pass the station_buckets it was written with")
-            else:
+            stored = self.versions("raw.daily").latest()
+            if stored is None:
                 self._buckets = self._asked or DEFAULT_BUCKETS
+            else:
+                self._buckets = stored.layout["station_buckets"]
+                if self._asked not in (None, self._buckets):
+                    raise ValueError(f"raw.daily is stored with {self._buckets} station buckets, not {self._asked}")
         return self._buckets
 
-    def _record_layout(self) -> None:
-        if not self.exists(LAYOUT):
-            one = self.spark.range(1).select(F.lit(self.station_buckets).cast("int").alias("station_buckets"))
-            one.write.parquet(self.path(LAYOUT))
-
     # -- paths and plain tables ------------------------------------------
 
     def path(self, table: str) -> str:
@@ -65,37 +59,115 @@ class Warehouse:
             raise ValueError(f"table must be one of {NAMESPACES} plus a name, not {table!r}")
         return f"{self.root}/{namespace}/{name}"
 
+    def versions(self, table: str) -> Versions:
+        return Versions(self.spark, self.path(table))
+
     def exists(self, table: str) -> bool:
-        try:
-            self.spark.read.schema(T.StructType()).parquet(self.path(table))
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return False
-            raise
-        return True
+        return bool(self.versions(table).numbers())
 
-    def read(self, table: str) -> DataFrame:
-        """A stored table with its declared columns, in their declared order."""
+    def schema(self, table: str, *, hidden: bool = False) -> T.StructType:
+        """Declared columns, with ``hidden`` also what is stored for tables derived from this one."""
         if table == "raw.stations":
-            return self.stations()
+            return RAW_STATIONS
         if table == "raw.daily":
-            return self.daily()
-        schema = T.StructType.fromDDL(TABLES[table])
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+            return RAW_DAILY_STORED if hidden else RAW_DAILY
+        declared = T.StructType.fromDDL(TABLES[table])
+        if not hidden:
+            return declared
+        more = T.StructType.fromDDL(HIDDEN[table]).fields if table in HIDDEN else []
+        keys = [T.StructField(c, T.IntegerType()) for c in PARTITIONS if c not in declared.names]
+        return T.StructType(declared.fields + more + keys)
+
+    def read(
+        self,
+        table: str,
+        partitions: Iterable[Partition] | None = None,
+        *,
+        at: int | None = None,
+        hidden: bool = False,
+    ) -> DataFrame:
+        """A stored table with its declared columns, in their declared order.
+
+        ``partitions`` leaves the files of all others untouched; ``at`` reads an
+        older snapshot that is still kept.
+        """
+        versions = self.versions(table)
+        snapshot = versions.latest() if at is None else versions.at(at)
+        if snapshot is None:
+            raise LookupError(f"{table} is not stored" if at is None else f"{table} has no snapshot {at}")
+        rows = versions.read(self._stored_schema(table), named(snapshot.folders, partitions))
+        return rows.select(*self.schema(table, hidden=hidden).names)
+
+    def _stored_schema(self, table: str) -> T.StructType:
+        """All columns that files or folder names may hold."""
+        schema = self.schema(table, hidden=True)
+        return T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
 
     def create(self) -> None:
-        """Create the raw tables with their declared schemas where missing."""
+        """Create the raw tables without rows where missing."""
         if not self.exists("raw.stations"):
-            self._empty(RAW_STATIONS).write.parquet(self.path("raw.stations"))
-        self._record_layout()
+            self.replace_stations(self._empty(RAW_STATIONS))
         if not self.exists("raw.daily"):
-            self._empty(RAW_DAILY_STORED).write.partitionBy(*PARTITIONS).parquet(
-                self.path("raw.daily")
-            )
+            self._commit_daily(None, [])
 
     def _empty(self, schema: T.StructType) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
+    def _add(
+        self, table: str, version: str, rows: DataFrame, by: Sequence[str], sort_by: Sequence[str] = ()
+    ) -> tuple[str, ...]:
+        """Write rows into a version that is not in force yet; the partition folders it has then.
+
+        ``by`` rebalances first: AQE splits partitions that are too large and
+        joins ones that are too small, so one year does not end up in one task
+        and files stay of useful size.
+        """
+        if by:
+            rows = rows.hint("rebalance", *[F.col(c) for c in by])
+        if sort_by:
+            rows = rows.sortWithinPartitions(*by, *sort_by)
+        rows.write.mode("append").partitionBy(*by).parquet(f"{self.path(table)}/{version}")
+        return self.versions(table).written(version, len(by))
+
+    @contextmanager
+    def _open_files(self) -> Iterator[None]:
+        """Writers keep a file per partition open, so that rows are not sorted by partition again."""
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(name, "0")
+        self.spark.conf.set(name, str(OPEN_FILES))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
+    def put(
+        self,
+        table: str,
+        rows: DataFrame,
+        *,
+        replacing: set[Partition] | None = None,
+        by: Sequence[str] = (),
+        sort_by: Sequence[str] = (),
+        in_order: bool = False,
+        inputs: Mapping[str, int] | None = None,
+    ) -> Snapshot:
+        """Store rows in place of the partitions ``replacing``, or of the whole table.
+
+        A replaced partition without new rows is gone; the files of the others
+        stay as they are. ``in_order`` writes rows as they come, for plans whose
+        tasks already hold few partitions and sorted rows.
+        """
+        versions = self.versions(table)
+        before, version = versions.latest(), versions.new_folder()
+        if in_order:
+            with self._open_files():
+                rows.write.partitionBy(*by).parquet(f"{self.path(table)}/{version}")
+            folders = versions.written(version, len(by))
+        else:
+            folders = self._add(table, version, rows, by, sort_by)
+        kept = without(before.folders, replacing) if before and replacing is not None else []
+        return versions.commit(before, [*kept, *folders], inputs=dict(inputs or {}))
+
     def replace_table(
         self,
         table: str,
@@ -104,18 +176,26 @@ class Warehouse:
         partition_by: Sequence[str] = (),
         sort_by: Sequence[str] = (),
     ) -> DataFrame:
-        """Create or replace a table from a query and return it as stored.
+        """Create or replace a whole table from a query and return it as stored."""
+        self.put(table, rows, by=partition_by, sort_by=sort_by)
+        return self.read(table)
+
+    def changes(self, table: str, source: str, upto: int | None = None) -> set[Partition] | None:
+        """Partitions of ``source`` that changed since ``table`` was derived from it; None if unknown.
 
-        ``partition_by`` rebalances first: AQE splits partitions that are too
-        large and joins ones that are too small, so one year does not end up in
-        one task and files stay of useful size.
+        ``upto`` names the snapshot of ``source`` to compare with, the latest by default.
         """
-        if partition_by:
-            rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
-        if sort_by:
-            rows = rows.sortWithinPartitions(*partition_by, *sort_by)
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(table))
-        return self.read(table)
+        own = self.versions(table).latest()
+        if own is None or source not in own.inputs:
+            return None
+        versions = self.versions(source)
+        now = versions.latest() if upto is None else versions.at(upto)
+        return changed_partitions(versions.at(own.inputs[source]), now)
+
+    def expire(self, keep: int = 2) -> int:
+        """Remove versions that only older snapshots name, of every table; how many folders went."""
+        tables = ("raw.stations", "raw.daily", *TABLES)
+        return sum(self.versions(t).expire(keep) for t in tables if self.exists(t))
 
     def is_populated(self, table: str) -> bool:
         return self.exists(table) and not self.read(table).limit(1).isEmpty()
@@ -124,26 +204,28 @@ class Warehouse:
 
     def replace_stations(self, stations: DataFrame) -> None:
         """Full replacement of the station dimension."""
-        stations.select(*RAW_STATIONS.names).write.mode("overwrite").parquet(
-            self.path("raw.stations")
-        )
+        self.put("raw.stations", stations.select(*RAW_STATIONS.names))
 
     def stations(self) -> DataFrame:
-        return self.spark.read.schema(RAW_STATIONS).parquet(self.path("raw.stations"))
+        return self.read("raw.stations")
 
     # -- raw.daily --------------------------------------------------------
 
     def bucket(self, station_id: Column) -> Column:
         return F.pmod(F.xxhash64(station_id), F.lit(self.station_buckets)).cast("int")
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema(RAW_DAILY_STORED).parquet(self.path("raw.daily"))
+    def with_partition(self, rows: DataFrame) -> DataFrame:
+        """Rows with the partition columns that their day and station fall into."""
+        bucket = {"station_bucket": self.bucket(F.col("station_id"))}
+        return rows.withColumns(bucket if "obs_year" in rows.columns else {"obs_year": F.year("obs_date"), **bucket})
 
     def daily(
         self, *, years: Sequence[int] | None = None, station_ids: Sequence[str] | None = None
     ) -> DataFrame:
         """Observations, pruned to partitions of the years and stations asked for."""
-        rows = self._stored()
+        snapshot = self.versions("raw.daily").latest()
+        wanted = None if years is None else [key for key in snapshot.partitions() if key[0] in set(years)]
+        rows = self.read("raw.daily", wanted, at=snapshot.number, hidden=True)
         if years is not None:
             rows = rows.where(F.col("obs_year").isin(*years))
         if station_ids is not None:
@@ -164,57 +246,28 @@ class Warehouse:
         keyed = rows.select(
             *[required(c) if c in RAW_DAILY_KEYS else F.col(c) for c in RAW_DAILY.names]
         )
-        return keyed.withColumns(
-            {"obs_year": F.year("obs_date"), "station_bucket": self.bucket(F.col("station_id"))}
-        )
+        return self.with_partition(keyed)
 
-    def _write_daily(self, stored: DataFrame, mode: str, **options: str) -> None:
-        self._record_layout()
-        (
-            stored.hint("rebalance", *[F.col(c) for c in PARTITIONS])
-            .sortWithinPartitions(*PARTITIONS, "station_id", "obs_date")
-            .write.mode(mode)
-            .options(**options)
-            .partitionBy(*PARTITIONS)
-            .parquet(self.path("raw.daily"))
-        )
+    def _add_daily(self, version: str, rows: DataFrame) -> tuple[str, ...]:
+        return self._add("raw.daily", version, rows, PARTITIONS, ("station_id", "obs_date"))
+
+    def _commit_daily(self, before: Snapshot | None, folders: Iterable[str]) -> None:
+        layout = {"station_buckets": self.station_buckets}
+        self.versions("raw.daily").commit(before, folders, layout=layout)
+
+    def _start(self) -> tuple[Versions, Snapshot | None, str]:
+        versions = self.versions("raw.daily")
+        return versions, versions.latest(), versions.new_folder()
 
     def append_daily(self, rows: DataFrame) -> None:
-        self._write_daily(self._checked(rows), "append")
+        _, before, version = self._start()
+        added = self._add_daily(version, self._checked(rows))
+        self._commit_daily(before, [*(before.folders if before else ()), *added])
 
     def reload_daily(self, rows: DataFrame) -> None:
         """Truncate and load."""
-        self._write_daily(self._checked(rows), "overwrite", partitionOverwriteMode="static")
-
-    @contextmanager
-    def _settled(self, rows: DataFrame, label: str) -> Iterator[DataFrame]:
-        """Rows written to the shared scratch folder and read back.
-
-        This cuts the plan between reading a table and overwriting it, survives
-        the loss of executors, and gives every later use the same rows. After
-        success the copy is overwritten with nothing, so scratch space does not
-        grow with the number of runs; after a failure it stays for recovery.
-        """
-        path = scratch_path(self.spark, label)
-        rows.write.parquet(path)
-        yield self.spark.read.schema(rows.schema).parquet(path)
-        self._empty(rows.schema).write.mode("overwrite").parquet(path)
-
-    def _partitions(self, rows: DataFrame) -> set[tuple[int, int]]:
-        """Partition keys only: at most years x buckets of them."""
-        return {tuple(r) for r in rows.select(*PARTITIONS).distinct().collect()}
-
-    def _swap(self, before: DataFrame, after: DataFrame) -> None:
-        """Overwrite partitions with ``after``; empty those that got no rows.
-
-        Dynamic overwrite leaves a partition without new rows as it is, so
-        those are overwritten with an empty file one by one.
-        """
-        emptied = self._partitions(before) - self._partitions(after)
-        self._write_daily(after, "overwrite", partitionOverwriteMode="dynamic")
-        for year, bucket in sorted(emptied):
-            folder = f"{self.path('raw.daily')}/obs_year={year}/station_bucket={bucket}"
-            self._empty(RAW_DAILY).write.mode("overwrite").parquet(folder)
+        _, before, version = self._start()
+        self._commit_daily(before, self._add_daily(version, self._checked(rows)))
 
     def replace_station_years(self, batch: DataFrame, years: Sequence[int]) -> bool:
         """Replace the requested years of every station that has rows in ``batch``.
@@ -222,29 +275,35 @@ class Warehouse:
         A requested year with no new rows is emptied for those stations. An
         empty batch changes nothing. Running it twice is the same as once, so a
         failed run is repaired by repeating it. Returns whether anything changed.
+
+        The batch is evaluated once, into its new folders; which stations and
+        partitions it has is then read from there.
         """
-        wanted = sorted(set(years))
-        in_years = self._checked(batch).where(F.col("obs_year").isin(*wanted))
-        with self._settled(in_years, "replace-new") as new:
-            buckets = [r[0] for r in new.select("station_bucket").distinct().collect()]
-            if not buckets:
-                return False
-            old = self._stored().where(
-                F.col("obs_year").isin(*wanted) & F.col("station_bucket").isin(*buckets)
-            )
-            fetched = new.select("station_id").distinct()
-            rest = old.join(fetched, "station_id", "left_anti").select(*RAW_DAILY_STORED.names)
-            with self._settled(rest, "replace-kept") as kept:
-                self._swap(old, kept.unionByName(new))
+        versions, before, version = self._start()
+        wanted = set(years)
+        added = self._add_daily(version, self._checked(batch).where(F.col("obs_year").isin(*wanted)))
+        buckets = {bucket for _, bucket in Snapshot(0, added).partitions()}
+        if not buckets:
+            return False
+        touched = {(year, bucket) for year in wanted for bucket in buckets}
+        old = named(before.folders if before else (), touched)
+        if old:
+            stored = self._stored_schema("raw.daily")
+            fetched = versions.read(stored, added).select("station_id").distinct()
+            kept = versions.read(stored, old).join(fetched, "station_id", "left_anti")
+            added = self._add_daily(version, kept.select(*RAW_DAILY_STORED.names))
+        self._commit_daily(before, [*without(before.folders if before else (), touched), *added])
         return True
 
     def replace_years(self, batch: DataFrame, years: Sequence[int]) -> bool:
         """Replace whole years for all stations, unless ``batch`` is empty."""
-        wanted = F.col("obs_year").isin(*sorted(set(years)))
-        with self._settled(self._checked(batch).where(wanted), "replace-new") as new:
-            if new.limit(1).isEmpty():
-                return False
-            self._swap(self._stored().where(wanted), new)
+        _, before, version = self._start()
+        wanted = set(years)
+        added = self._add_daily(version, self._checked(batch).where(F.col("obs_year").isin(*wanted)))
+        if not added:
+            return False
+        kept = [f for f in (before.folders if before else ()) if partition_of(f)[0] not in wanted]
+        self._commit_daily(before, [*kept, *added])
         return True
 
     def stations_with_all_years(

@@ -40,8 +40,7 @@ def ingest_landing(
         try:
             if on_error == "skip":
                 counts = malformed_counts(lines, years).withColumn("batch_id", F.lit(batch_id).cast("long"))
-                writer = counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                writer.partitionBy("batch_id").parquet(warehouse.path(MALFORMED))
+                warehouse.put(MALFORMED, counts, by=("batch_id",), replacing={(batch_id,)})
             warehouse.replace_station_years(parse_daily_lines(lines, years, on_error=on_error), years)
         finally:
             lines.unpersist()

@@ -102,7 +102,10 @@ def test_library_never_hints_a_broadcast():
 
     import skyledger
 
-    for path in pathlib.Path(skyledger.__file__).parent.rglob("*.py"):
+    library = pathlib.Path(skyledger.__file__).parent
+    for path in library.rglob("*.py"):
+        if path.is_relative_to(library / "llm"):  # the text operators have the same test of their own
+            continue
         text = path.read_text()
         assert "F.broadcast(" not in text and "crossJoin" not in text, path
         assert "localCheckpoint" not in text, path

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import pathlib
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from skyledger.schemas import RAW_DAILY
+from skyledger.sources.versions import ConcurrentChange, Versions
 from skyledger.sources.warehouse import Warehouse, ingest_summary, stations_with_all_years
 
 A, B, C = "US000000001", "CA000000002", "NO000000003"
@@ -49,30 +53,110 @@ def test_replacing_twice_equals_once(spark, warehouse):
     assert stored(warehouse) == once
 
 
-def test_scratch_copies_are_emptied_after_success(spark, warehouse, monkeypatch, tmp_path):
-    paths = []
+def files(wh, table="raw.daily"):
+    root = pathlib.Path(wh.path(table))
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def in_force(wh, table="raw.daily"):
+    """Data files that the latest snapshot names."""
+    folders = wh.versions(table).latest().folders
+    return {f: t for f, t in files(wh, table).items() if any(f.startswith(x + "/") for x in folders)}
+
+
+def test_new_and_kept_rows_are_written_once(spark, warehouse, monkeypatch):
+    warehouse.append_daily(frame(spark, [row(A, 2020), row(B, 2020), row(C, 2020), row(C, 2021)]))
+    before, written = files(warehouse), []
+    add = Warehouse._add
+    monkeypatch.setattr(Warehouse, "_add", lambda self, table, version, rows, *more: written.append(rows.count()) or add(self, table, version, rows, *more))
+    same = warehouse.bucket(F.lit(A))
+    kept = spark.range(1).select(*[(warehouse.bucket(F.lit(s)) == same).cast("int") for s in (B, C)]).first()
+    warehouse.replace_station_years(frame(spark, [row(A, 2020, 5), row(A, 2020, 6, "TMIN")]), [2020])
+    assert written == [2, sum(kept)]
+    added = set(files(warehouse)) - set(before)
+    stored_rows = sum(pq.read_metadata(f"{warehouse.path('raw.daily')}/{f}").num_rows for f in added)
+    assert stored_rows == 2 + sum(kept)
+    assert {f: t for f, t in files(warehouse).items() if f in before} == before
+    assert stored(warehouse) == [(B, 2020, 1), (C, 2020, 1), (C, 2021, 1), (A, 2020, 5), (A, 2020, 6)]
+
+
+def test_first_load_copies_nothing(spark, warehouse, monkeypatch):
+    calls = []
+    add = Warehouse._add
+    monkeypatch.setattr(Warehouse, "_add", lambda self, *args: calls.append(args[1]) or add(self, *args))
+    warehouse.replace_station_years(frame(spark, [row(A, 2020), row(B, 2021)]), [2020, 2021])
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("fails_at", ["new", "kept", "commit"])
+def test_a_write_that_ends_half_way_leaves_the_old_rows(spark, warehouse, monkeypatch, fails_at):
+    """Whichever step is lost, readers see the table before, and repeating the run completes it."""
+    warehouse.append_daily(frame(spark, [row(A, 2020, 1), row(B, 2020, 2), row(C, 2021, 3)]))
+    before = stored(warehouse)
+    batch = frame(spark, [row(s, 2020, 50 + k) for k, s in enumerate((A, C))])
+    add, calls = Warehouse._add, []
+
+    def broken_add(self, *args):
+        calls.append(1)
+        if len(calls) == (1 if fails_at == "new" else 2):
+            add(self, *args[:2], args[2].limit(1), *args[3:])  # some files are there already
+            raise OSError("lost")
+        return add(self, *args)
+
+    def broken_commit(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        if fails_at == "commit":
+            patch.setattr(Versions, "commit", broken_commit)
+        else:
+            patch.setattr(Warehouse, "_add", broken_add)
+        if fails_at == "kept":  # every station in one partition, so that there is a second step
+            patch.setattr(Warehouse, "bucket", lambda self, station_id: F.lit(0))
+            warehouse.reload_daily(frame(spark, [row(A, 2020, 1), row(B, 2020, 2), row(C, 2021, 3)]))
+            calls.clear()
+        with pytest.raises(OSError):
+            warehouse.replace_station_years(batch, [2020])
+        assert stored(warehouse) == before
+        assert Warehouse(spark, warehouse.root).daily().count() == 3
+    warehouse.replace_station_years(batch, [2020])
+    assert (A, 2020, 50) in stored(warehouse) and (B, 2020, 2) in stored(warehouse)
+
+
+@pytest.mark.parametrize("table", ["marts.monthly_summary", "quality.malformed"])
+def test_a_lost_replacement_keeps_the_old_table(spark, warehouse, table):
+    schema = warehouse.schema(table)
+    one = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    warehouse.replace_table(table, one)
+    stop = one.withColumn(schema.names[0], F.raise_error(F.lit("lost")).cast(schema[0].dataType))
+    with pytest.raises(Exception, match="lost"):
+        warehouse.replace_table(table, stop)
+    assert warehouse.read(table).count() == 1
+
+
+def test_a_second_writer_is_refused(spark, warehouse):
+    versions = warehouse.versions("raw.daily")
+    seen = versions.latest()
+    warehouse.append_daily(frame(spark, [row(A, 2020)]))
+    with pytest.raises(ConcurrentChange):
+        versions.commit(seen, [])
+    assert stored(warehouse) == [(A, 2020, 1)]
 
-    def scratch(_, label):
-        paths.append(str(tmp_path / label))
-        return paths[-1]
 
-    monkeypatch.setattr("skyledger.sources.warehouse.scratch_path", scratch)
-    warehouse.append_daily(frame(spark, [row(A, 2020), row(B, 2020)]))
-    warehouse.replace_station_years(frame(spark, [row(A, 2020, 5)]), [2020])
-    assert len(paths) == 2
-    assert [spark.read.parquet(p).count() for p in paths] == [0, 0]
-    assert stored(warehouse) == [(B, 2020, 1), (A, 2020, 5)]
+def test_expired_versions_are_removed_and_the_table_stays(spark, warehouse):
+    for value in range(4):
+        warehouse.replace_station_years(frame(spark, [row(A, 2020, value)]), [2020])
+    warehouse.append_daily(frame(spark, [row(B, 2021, 9)]))
+    assert warehouse.expire(keep=1) == 3
+    assert stored(warehouse) == [(B, 2021, 9), (A, 2020, 3)]
+    assert set(files(warehouse)) == set(in_force(warehouse))
 
 
-def test_failed_overwrite_keeps_the_copies(spark, warehouse, monkeypatch, tmp_path):
-    monkeypatch.setattr(
-        "skyledger.sources.warehouse.scratch_path", lambda _, label: str(tmp_path / label)
-    )
-    monkeypatch.setattr(Warehouse, "_swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
-    warehouse.append_daily(frame(spark, [row(A, 2020), row(B, 2020), row(C, 2020)]))
-    with pytest.raises(OSError):
-        warehouse.replace_station_years(frame(spark, [row(A, 2020, 5)]), [2020])
-    assert spark.read.parquet(str(tmp_path / "replace-new")).count() == 1
+def test_emptied_partitions_take_no_job(spark, warehouse):
+    warehouse.append_daily(frame(spark, [row(A, year, year) for year in range(1990, 2020)]))
+    warehouse.replace_station_years(frame(spark, [row(A, 2000, 1)]), range(1990, 2020))
+    assert stored(warehouse) == [(A, 2000, 1)]
+    assert len(warehouse.versions("raw.daily").latest().folders) == 1
 
 
 def test_requested_year_without_rows_is_emptied(spark, warehouse):
