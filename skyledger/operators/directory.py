@@ -222,6 +222,18 @@ def available_stations(daily: DataFrame) -> DataFrame:
     )
 
 
+def available_from_years(station_years: DataFrame, staged_stations: DataFrame) -> DataFrame:
+    """The same listing from days per station and year, without a scan of the daily mart."""
+    shown = ("station_id", "station_name", "latitude", "longitude", "elevation", "climate_zone")
+    seen = station_years.groupBy("station_id").agg((F.sum("days_with_temp") > 0).alias("has_temp"))
+    return (
+        staged_stations.select(*shown)
+        .join(seen, "station_id")
+        .select(*shown, "has_temp")
+        .orderBy(F.desc("has_temp"), F.asc_nulls_last("station_name"), "station_id")
+    )
+
+
 def default_selection(available: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` stations with temperatures, or the first ``n`` if none has any."""
     any_temp = available.agg(F.max("has_temp")).scalar()

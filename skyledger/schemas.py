@@ -40,10 +40,12 @@ RAW_DAILY = T.StructType(
 #: Columns that may never be NULL in ``raw.daily``.
 RAW_DAILY_KEYS = tuple(f.name for f in RAW_DAILY if not f.nullable)
 
-#: Partition columns that the stored raw table carries on top of RAW_DAILY.
+#: What the stored raw table carries on top of RAW_DAILY: the file a row came with, if
+#: files are merged one by one, and the partition columns.
 RAW_DAILY_STORED = T.StructType(
     RAW_DAILY.fields
     + [
+        T.StructField("landing_file", T.StringType()),
         T.StructField("obs_year", T.IntegerType()),
         T.StructField("station_bucket", T.IntegerType()),
     ]
@@ -73,6 +75,7 @@ _CHECKS = (
 
 #: Declared schema of every stored table, as DDL.
 TABLES = {
+    "raw.landed_files": "landing_file string, station_id string, obs_year int, rows bigint",
     "staging.daily_observations": (
         "station_id string, obs_date date, tmax_celsius double, tmin_celsius double, "
         "tavg_celsius double, tavg_derived_celsius double, precipitation_mm double, "

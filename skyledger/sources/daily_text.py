@@ -76,8 +76,9 @@ def parse_daily_lines(
     *,
     on_error: str = "skip",
     station_from: str = "line",
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Daily lines (column ``value``) as RAW_DAILY rows.
+    """Daily lines (column ``value``) as RAW_DAILY rows, with further columns of the lines in ``carried``.
 
     ``on_error='skip'`` leaves out cells whose numbers cannot be read (count
     them with :func:`malformed_counts`); ``'fail'`` stops the job.
@@ -96,8 +97,16 @@ def parse_daily_lines(
         blank_to_null(_cell(day, 6, 1)).alias("q_flag"),
         blank_to_null(_cell(day, 7, 1)).alias("s_flag"),
         F.lit(None).cast("string").alias("obs_time"),
+        *carried,
     )
-    return rows.where(F.col("data_value").isNotNull()).select(*RAW_DAILY.names)
+    return rows.where(F.col("data_value").isNotNull()).select(*RAW_DAILY.names, *carried)
+
+
+def landing_files(spark: SparkSession, path: str) -> DataFrame:
+    """``station_id``, ``path`` and ``file`` of every file of a landing directory; none is opened."""
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    named = listed.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    return named.select(_station(True).alias("station_id"), "path", "file")
 
 
 def malformed_counts(lines: DataFrame, years: Sequence[int]) -> DataFrame:

@@ -9,10 +9,10 @@ Readers that ask for years or stations prune to theirs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from skyledger.sources.versions import Partition, Snapshot, Versions, changed_pa
 
 PARTITIONS = ("obs_year", "station_bucket")
 DEFAULT_BUCKETS = 16
+LANDED = "raw.landed_files"
 #: Files that a task of an ordered write keeps open; beyond that Spark sorts the rest by partition.
 OPEN_FILES = 300
 
@@ -243,8 +244,10 @@ class Warehouse:
             kind = RAW_DAILY[name].dataType
             return F.when(F.col(name).isNull(), stop.cast(kind)).otherwise(F.col(name)).alias(name)
 
+        file = F.col("landing_file") if "landing_file" in rows.columns else F.lit(None).cast("string")
         keyed = rows.select(
-            *[required(c) if c in RAW_DAILY_KEYS else F.col(c) for c in RAW_DAILY.names]
+            *[required(c) if c in RAW_DAILY_KEYS else F.col(c) for c in RAW_DAILY.names],
+            file.alias("landing_file"),
         )
         return self.with_partition(keyed)
 
@@ -269,12 +272,13 @@ class Warehouse:
         _, before, version = self._start()
         self._commit_daily(before, self._add_daily(version, self._checked(rows)))
 
-    def replace_station_years(self, batch: DataFrame, years: Sequence[int]) -> bool:
+    def replace_station_years(self, batch: DataFrame, years: Sequence[int]) -> tuple[str, ...]:
         """Replace the requested years of every station that has rows in ``batch``.
 
         A requested year with no new rows is emptied for those stations. An
         empty batch changes nothing. Running it twice is the same as once, so a
-        failed run is repaired by repeating it. Returns whether anything changed.
+        failed run is repaired by repeating it. Returns the folders of the new
+        rows, none if nothing changed.
 
         The batch is evaluated once, into its new folders; which stations and
         partitions it has is then read from there.
@@ -282,18 +286,65 @@ class Warehouse:
         versions, before, version = self._start()
         wanted = set(years)
         added = self._add_daily(version, self._checked(batch).where(F.col("obs_year").isin(*wanted)))
-        buckets = {bucket for _, bucket in Snapshot(0, added).partitions()}
+        buckets = {bucket for _, bucket in map(partition_of, added)}
         if not buckets:
-            return False
+            return ()
         touched = {(year, bucket) for year in wanted for bucket in buckets}
-        old = named(before.folders if before else (), touched)
+        fetched = self.added_rows(added).select("station_id").distinct()
+        self._merge(before, touched, added, lambda old: old.join(fetched, "station_id", "left_anti"))
+        return added
+
+    def added_rows(self, folders: Iterable[str]) -> DataFrame:
+        """The stored observations of some folders, for instance those a replacement has added."""
+        return self.versions("raw.daily").read(self._stored_schema("raw.daily"), folders)
+
+    def _merge(
+        self, before: Snapshot | None, touched: set[Partition], added: Sequence[str], keep: Callable[[DataFrame], DataFrame]
+    ) -> None:
+        """Put ``added`` in force with what is kept of the touched partitions, written once beside it."""
+        folders = before.folders if before else ()
+        old, kept = named(folders, touched), ()
         if old:
-            stored = self._stored_schema("raw.daily")
-            fetched = versions.read(stored, added).select("station_id").distinct()
-            kept = versions.read(stored, old).join(fetched, "station_id", "left_anti")
-            added = self._add_daily(version, kept.select(*RAW_DAILY_STORED.names))
-        self._commit_daily(before, [*without(before.folders if before else (), touched), *added])
-        return True
+            rows = keep(self.added_rows(old)).select(*RAW_DAILY_STORED.names)
+            kept = self._add_daily(self.versions("raw.daily").new_folder(), rows)
+        self._commit_daily(before, [*without(folders, touched), *added, *kept])
+
+    def replace_files(self, batch: DataFrame, files: DataFrame, years: Sequence[int]) -> None:
+        """Replace what the ``files`` (column ``landing_file``) held in the requested years.
+
+        ``batch`` has observations with their ``landing_file`` and ``landed_at``.
+        A file that comes again replaces its own rows only, wherever they are. A
+        cell (station, day, element) that several files hold is that of the file
+        that landed last, of equally late ones the last in name order; a file
+        may hold a cell more than once, which staging settles.
+        """
+        versions, before, version = self._start()
+        wanted = F.col("obs_year").isin(*set(years))
+        cell = ["station_id", "obs_date", "element"]
+        last = F.max(F.struct("landed_at", "landing_file")).over(Window.partitionBy(*cell))
+        newest = batch.withColumn("_last", last).where(F.col("_last.landing_file") == F.col("landing_file"))
+        added = self._add_daily(version, self._checked(newest.select(*RAW_DAILY.names, "landing_file")).where(wanted))
+        earlier = self._landed_before(files).where(wanted).select(*PARTITIONS).distinct().collect()
+        touched = {tuple(r) for r in earlier} | {partition_of(f) for f in added}
+        if not touched:
+            return
+        new, names = self.added_rows(added), files.select("landing_file").distinct()
+
+        def keep(old: DataFrame) -> DataFrame:
+            others = old.join(names, "landing_file", "left_anti")
+            return others.join(new.select(*cell).distinct(), cell, "left_anti")
+
+        self._merge(before, touched, added, keep)
+        now = self.read("raw.daily", touched, hidden=True).where(F.col("landing_file").isNotNull())
+        landed = now.groupBy("landing_file", "station_id", *PARTITIONS).agg(F.count("*").alias("rows"))
+        self.put(LANDED, landed, replacing=touched, by=PARTITIONS)
+
+    def _landed_before(self, files: DataFrame) -> DataFrame:
+        """Station-years that the files brought so far, from a table with a row for each."""
+        if not self.exists(LANDED):
+            return self._empty(self.schema(LANDED, hidden=True))
+        landed = self.read(LANDED, hidden=True)
+        return landed.join(files.select("landing_file").distinct(), "landing_file", "left_semi")
 
     def replace_years(self, batch: DataFrame, years: Sequence[int]) -> bool:
         """Replace whole years for all stations, unless ``batch`` is empty."""
@@ -324,6 +375,19 @@ def stations_with_all_years(daily: DataFrame, years: Sequence[int]) -> DataFrame
     )
 
 
+def station_outcomes(requested: DataFrame, landed: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Every requested station with its outcome and its rows: loaded, skipped (no rows) or errors (no file)."""
+    with_file = landed.select("station_id").distinct().withColumn("has_file", F.lit(True))
+    with_rows = parsed.groupBy("station_id").agg(F.count("*").alias("rows"))
+    outcome = F.when(F.col("rows") > 0, "loaded").when(F.col("has_file"), "skipped").otherwise("errors")
+    return (
+        requested.select("station_id").distinct()
+        .join(with_file, "station_id", "left")
+        .join(with_rows, "station_id", "left")
+        .select("station_id", outcome.alias("outcome"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    )
+
+
 def ingest_summary(requested: DataFrame, landed: DataFrame, parsed: DataFrame) -> DataFrame:
     """Stations per outcome: loaded, skipped (no rows) or errors (no file)."""
     with_file = landed.select("station_id").distinct().withColumn("has_file", F.lit(True))

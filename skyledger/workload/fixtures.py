@@ -128,6 +128,52 @@ def daily_lines(raw_daily: DataFrame) -> DataFrame:
     )
 
 
+def station_files(lines: DataFrame, folder: str) -> str:
+    """The lines as one file per station, named after it."""
+    spark = lines.sparkSession
+    parted = f"{folder}-parts"
+    named = lines.select(F.substring("value", 1, 11).alias("station"), "value").repartition("station")
+    named.write.partitionBy("station").text(parted)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for status in files.globStatus(path(f"{parted}/station=*/part-*")):
+        station = status.getPath().getParent().getName().split("=", 1)[1]
+        files.rename(status.getPath(), path(f"{folder}/{station}.dly"))
+    return folder
+
+
+def old_lines(raw_stations: DataFrame) -> DataFrame:
+    """A line of 1999 for some stations: their files hold nothing for the years that are asked for."""
+    some = raw_stations.where(F.col("gsn_flag").isNotNull() & F.col("wmo_id").isNotNull())
+    return some.select(F.concat("station_id", F.lit("199901TMAX   12   ")).alias("value"))
+
+
+#: 200 invented two-letter codes with names; two in three have an ISO code.
+COUNTRY_CODES_SQL = """
+SELECT chr(65 + CAST(floor(k / 26) AS INT)) || chr(65 + CAST(k % 26 AS INT)) AS code,
+  upper(segment) || ' ' || CAST(k AS STRING) AS name,
+  CASE WHEN k % 3 <> 0 THEN chr(65 + CAST(floor(k / 26) AS INT)) || chr(65 + CAST(k % 26 AS INT)) || 'X' END AS iso3
+FROM (SELECT c_custkey AS k, c_mktsegment AS segment FROM {customer} WHERE c_custkey < 200) t
+"""
+
+#: The stations with codes of that list; the thirty codes beyond it have no label.
+FAR_STATIONS_SQL = """
+SELECT chr(65 + CAST(floor(k / 26) AS INT)) || chr(65 + CAST(k % 26 AS INT)) || substr(station_id, 3, 9) AS station_id
+FROM (SELECT station_id, CAST(substr(station_id, 3, 9) AS BIGINT) % 230 AS k FROM {raw_stations}) t
+"""
+
+
+def country_files(spark: SparkSession, sf_dir: str, folder: str) -> tuple[str, str]:
+    """The fixed-width list of names and the CSV of ISO codes, as files."""
+    countries = spark.sql(COUNTRY_CODES_SQL, customer=given(spark, sf_dir, "customer"))
+    names, codes = f"{folder}/countries", f"{folder}/iso3"
+    countries.select(F.concat("code", F.lit(" "), F.rpad("name", 61, " ")).alias("value")).write.text(names)
+    countries.where(F.col("iso3").isNotNull()).select("code", "iso3").write.option("header", True).csv(codes)
+    return names, codes
+
+
 def damaged_lines(lines: DataFrame) -> DataFrame:
     """The same lines with unreadable years in March, months in May and first values in July."""
     value = F.col("value")

@@ -13,7 +13,9 @@ from skyledger.operators.climate import DEFAULT_PREFERENCES, RADAR_LABELS
 from skyledger.operators.quality import MART_CHECKS, RAW_DAILY_CHECKS, STATION_CHECKS
 from skyledger.sources.lookups import US_STATES
 from skyledger.workload import params as p
-from skyledger.workload.fixtures import REPORTING_SQL, WIDE_REPORTING_SQL, oracle_ctes
+from skyledger.workload.fixtures import (
+    COUNTRY_CODES_SQL, FAR_STATIONS_SQL, REPORTING_SQL, WIDE_REPORTING_SQL, oracle_ctes,
+)
 
 
 def rounded(expr: str, digits: int = 6) -> str:
@@ -118,7 +120,7 @@ SELECT station_id, CAST(sum(t) AS DOUBLE)/100e0/count(t) AS avg_temp_c,
   CAST(sum(sn) AS DOUBLE)/100e0/count(DISTINCT obs_year) AS annual_snowfall_mm,
   CAST(sum(hot) AS DOUBLE)/count(DISTINCT obs_year) AS heat_days_per_year,
   CAST(sum(cold) AS DOUBLE)/count(DISTINCT obs_year) AS cold_days_per_year
-FROM ticks GROUP BY station_id HAVING count(*) > 5""",
+FROM ticks GROUP BY station_id HAVING count(*) >= 6""",
     "shape_of_earth": """
 SELECT station_id, station_name, latitude, longitude, ifnull(elevation, 0) AS elevation, country_code, climate_zone,
   abs(latitude) AS a, 27e0 - abs(latitude)*0.45e0 - greatest(ifnull(elevation, 0), 0e0)/1000e0*6.5e0 AS m,
@@ -164,7 +166,7 @@ FROM estimated e LEFT JOIN observed o ON o.station_id = e.station_id""",
     "matches": f"SELECT *, {half_even('similarity * 100e0', 1)} AS similarity_pct FROM scored",
     "best": """
 SELECT * FROM matches
-QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY similarity DESC, station_id) < 4
+QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY similarity DESC, station_id) <= 3
 ORDER BY similarity DESC, station_id LIMIT 20""",
     "cells": """
 SELECT station_id, obs_date, element, max(data_value) AS data_value, max(m_flag) AS m_flag, max(q_flag) AS q_flag,
@@ -268,7 +270,7 @@ RAW_QUALITY = _check_rows(
         "null_obs_date": ("SELECT count(*) FROM raw_daily WHERE obs_date IS NULL", ZERO, NEVER),
         "future_dates": (f"SELECT count(*) FROM raw_daily WHERE obs_date > {DAY}", ZERO, "m < 100"),
         "extreme_temperatures": (
-            "SELECT count(*) FROM raw_daily WHERE element LIKE 'T%' AND data_value NOT BETWEEN -900 AND 600",
+            "SELECT count(*) FROM raw_daily WHERE element IN ('TMAX', 'TMIN', 'TAVG') AND data_value NOT BETWEEN -900 AND 600",
             ZERO,
             "m < 50",
         ),
@@ -329,7 +331,7 @@ MART_QUALITY = _check_rows(
         "prediction_targets_exist": ("SELECT count(*) FROM features", "m > 1000", "m > 0"),
         "monthly_summary_coverage": (
             "SELECT count(DISTINCT (obs_year, obs_month)) FROM monthly",
-            "m > 11",
+            "m >= 12",
             "m > 2",
         ),
         "stations_joined_correctly": (
@@ -418,6 +420,31 @@ MART_TABLES = {
 FIRST = "(SELECT * FROM features WHERE station_id = (SELECT min(station_id) FROM features))"
 
 
+#: Outcome of every station that one of four ways of naming a location asks for.
+INGEST_LOCATION = f"""
+, loaded AS (
+  SELECT station_id, count(*) AS rows FROM (SELECT DISTINCT station_id, obs_date, element FROM raw_daily WHERE year(obs_date) = 2024)
+  GROUP BY station_id
+), old AS (
+  SELECT station_id FROM raw_stations WHERE gsn_flag IS NOT NULL AND wmo_id IS NOT NULL
+), ids AS (
+  SELECT min(station_id) AS station_id FROM raw_stations WHERE station_id IN (SELECT station_id FROM raw_daily)
+  UNION ALL SELECT min(station_id) FROM old WHERE station_id NOT IN (SELECT station_id FROM raw_daily)
+  UNION ALL SELECT min(station_id) FROM raw_stations
+    WHERE station_id NOT IN (SELECT station_id FROM raw_daily) AND station_id NOT IN (SELECT station_id FROM old)
+), wanted AS (
+  SELECT 'ids' AS chosen_by, station_id FROM ids
+  UNION ALL SELECT 'state', station_id FROM raw_stations WHERE state = '{p.STATE}'
+  UNION ALL SELECT 'country', station_id FROM raw_stations WHERE station_id LIKE '{p.COUNTRY}%'
+  UNION ALL SELECT 'point', station_id FROM raw_stations s WHERE {near(LAT, LON, f'{p.RADIUS_KM}e0')}
+)
+SELECT chosen_by, station_id, ifnull(rows, 0) AS rows,
+  CASE WHEN rows > 0 THEN 'loaded' WHEN station_id IN (SELECT station_id FROM old)
+    OR station_id IN (SELECT station_id FROM raw_daily) THEN 'skipped' ELSE 'errors' END AS outcome
+FROM wanted LEFT JOIN loaded USING (station_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["stage_daily"] = statement(
@@ -711,6 +738,16 @@ def oracle_sql() -> dict[str, str]:
     q["stored_quality_raw_daily"] = q["quality_raw"]
     q["stored_quality_stations"] = q["quality_stations"]
     q["stored_quality_marts"] = q["quality_marts"]
+    q["stream_ingest_files"] = q["dly_roundtrip"]
+    q["countries_from_files"] = statement(
+        "SELECT r.code, ifnull(c.name, r.code) || ' (' || ifnull(c.iso3, r.code) || ')' AS display "
+        f"FROM (SELECT DISTINCT station_id[1:2] AS code FROM ({FAR_STATIONS_SQL.format(raw_stations='raw_stations')})) r "
+        f"LEFT JOIN ({COUNTRY_CODES_SQL.format(customer='customer')}) c ON c.code = r.code"
+    )
+    q["available_stations_stored"] = statement(
+        shape("available", selection, PLACE), "available", raw_daily=AFTER_REFRESH
+    )
+    q["ingest_location"] = statement(INGEST_LOCATION)
     q["malformed_report"] = statement(
         "SELECT count(*) FILTER (WHERE m = 3) AS bad_years, count(*) FILTER (WHERE m = 5) AS bad_months, "
         "count(*) FILTER (WHERE m = 7) AS bad_values FROM (SELECT DISTINCT station_id, element, "

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from skyledger.functions import round_scaled
 from skyledger.operators import climate, directory, frames, marts, quality, radius, staging
 from skyledger.plans import transforms
+from skyledger.plans.ingest import ingest_location as ingest_for_location
 from skyledger.session import scratch_path
 from skyledger.sources import (
     load_daily,
@@ -20,7 +21,7 @@ from skyledger.sources import (
     read_daily_files,
     read_station_catalogue,
 )
-from skyledger.sources.lookups import country_dim, state_dim
+from skyledger.sources.lookups import country_dim, read_country_dim, state_dim
 from skyledger.sources.warehouse import Warehouse, ingest_summary, stations_with_all_years
 from skyledger.streaming.landing import ingest_landing
 from skyledger.workload import fixtures
@@ -609,3 +610,61 @@ def stream_ingest(i: Inputs) -> DataFrame:
     checkpoint = scratch_path(i.spark, "stream-progress")
     ingest_landing(warehouse, i.landing(), p.YEARS, checkpoint).awaitTermination()
     return warehouse.daily()
+
+
+@register
+def stream_ingest_files(i: Inputs) -> DataFrame:
+    """Every station's lines lie in several files, which come one by one."""
+    warehouse, landing = i.warehouse("files"), scratch_path(i.spark, "landing-files")
+    lines = fixtures.daily_lines(i.raw_daily)
+    lines.repartition(4, F.col("value").substr(18, 4)).write.text(landing)
+    checkpoint = scratch_path(i.spark, "files-progress")
+    ingest_landing(warehouse, landing, p.YEARS, checkpoint, max_files_per_batch=1, scope="file").awaitTermination()
+    return warehouse.daily()
+
+
+def _chosen_ids(i: Inputs) -> list[str]:
+    """A station that reports, one with an old file and one without a file."""
+    known = i.raw_daily.join(i.raw_stations.select("station_id"), "station_id", "left_semi")
+    reporting, old = known.select("station_id"), fixtures.old_lines(i.raw_stations).select(F.substring("value", 1, 11).alias("station_id"))
+    rest = i.raw_stations.select("station_id").join(reporting.union(old), "station_id", "left_anti")
+    only_old = old.join(reporting, "station_id", "left_anti")
+    return [rows.agg(F.min("station_id")).first()[0] for rows in (reporting, only_old, rest)]
+
+
+@register
+def ingest_location(i: Inputs) -> DataFrame:
+    """Outcomes of every station of a location; explicit ids win over state, country and point, and so on."""
+    reporting = i.raw_daily.where(F.col("station_id").substr(1, 2) != "ZZ")
+    lines = fixtures.daily_lines(reporting).unionByName(fixtures.old_lines(i.raw_stations))
+    landing = fixtures.station_files(lines, scratch_path(i.spark, "location"))
+    warehouse = i.warehouse("location")
+    warehouse.replace_stations(i.raw_stations)
+    ways = {
+        "ids": {"station_ids": _chosen_ids(i), "state": p.STATE, "country": p.COUNTRY, "point": p.POINT},
+        "state": {"state": p.STATE, "country": p.COUNTRY},
+        "country": {"country": p.COUNTRY, "point": p.POINT},
+        "point": {"point": p.POINT, "radius_km": p.RADIUS_KM},
+    }
+    rows = [
+        ingest_for_location(warehouse, landing, [2024], **where).select(F.lit(way).alias("chosen_by"), "*")
+        for way, where in ways.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@register
+def countries_from_files(i: Inputs) -> DataFrame:
+    """Labels of 230 codes, 200 of which the files name."""
+    paths = fixtures.country_files(i.spark, i.sf_dir, scratch_path(i.spark, "countries"))
+    stations = i.spark.sql(fixtures.FAR_STATIONS_SQL, raw_stations=i.raw_stations)
+    return directory.countries_available(stations, read_country_dim(i.spark, *paths))
+
+
+@register
+def available_stations_stored(i: Inputs) -> DataFrame:
+    """The listing from the days per station and year that a refresh has kept up to date."""
+    warehouse = i.loaded_warehouse("available")
+    transforms.run_transforms(warehouse)
+    transforms.refresh(warehouse, i.landing(), 2024)
+    return directory.available_from_years(warehouse.read(transforms.SPANS), warehouse.read(transforms.STATIONS))

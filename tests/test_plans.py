@@ -15,7 +15,7 @@ from skyledger.workload.queries import REGISTRY, Inputs
 WRITES_FILES = {
     "dly_roundtrip", "catalogue_roundtrip", "replace_station_years", "replace_years", "force_reload",
     "append_batch", "station_full_replace", "run_transforms_counts", "backfill_counts",
-    "refresh_counts", "stream_ingest",
+    "refresh_counts", "stream_ingest", "stream_ingest_files", "ingest_location", "available_stations_stored",
 }
 RAW = (
     "station_id string, obs_date date, element string, data_value int, m_flag string, "
