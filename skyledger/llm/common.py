@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,16 +45,31 @@ def ship(spark: SparkSession) -> None:
     sc._skyledger_shipped = True
 
 
-def settle(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+@contextmanager
+def arrow_records(spark: SparkSession, records: int | None) -> Iterator[None]:
+    """At most so many rows in an Arrow batch, for rows whose texts or sets can be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if records is not None and int(before) > records:
+        spark.conf.set(name, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, label: str, partition_by: str | None = None, records: int | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     Lineage ends there: later losses of executors recompute nothing before it,
-    and rows keep the values they were written with.
+    and rows keep the values they were written with. ``records`` bounds the rows
+    of an Arrow batch on the way.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{label}")
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with arrow_records(spark, records):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ WIDTH = len(FEATURES)
 
 
 def _class_table(characters: bytes) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     table[list(characters)] = 1
     return table
 
@@ -65,7 +65,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     size = np.array([len(t) for t in texts], float)
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
-    count = lambda t: np.add.reduceat(t[joined], begins).astype(float)
+    count = lambda t: np.add.reduceat(t[joined], begins, dtype=np.int64).astype(float)
     distinct, most = _repetition(words, offsets)
     runs, run_offsets = shingle_hashes(words, offsets, 5)
     distinct_runs, _ = _repetition(runs, run_offsets)
@@ -98,11 +98,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for rows, texts in slices(frame):
+            for rows, texts in slices(frame, 1 << 20):
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "stats": list(statistics(texts).astype(np.float32))})
 
     out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, stats array<float>")
-    return settle(out, "quality-statistics")
+    return settle(out, "quality-statistics", records=1000)
 
 
 def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.02, exclude=None) -> dict | None:
