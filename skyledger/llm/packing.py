@@ -44,8 +44,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
         end = int(end_id).to_bytes(encoder.width, "little")
         part, before = TaskContext.get().partitionId(), 0
         for frame in frames:
-            for rows, texts in slices(frame):
-                ids = [x + end for x in encoder.encode([t.decode("utf-8") for t in texts])]
+            for rows, texts in slices(frame, 2 << 20):
+                ids = [x + end for x in encoder.encode(texts)]
                 n = np.array([len(x) // encoder.width for x in ids], np.int64)
                 place = before + np.cumsum(n) - n
                 before += int(n.sum())

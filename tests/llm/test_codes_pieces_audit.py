@@ -286,3 +286,42 @@ def test_audit_plan_has_no_python_and_no_product(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     text = filter_audit.cells(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in text for w in ("Python", "ArrowEval", "Cartesian", "NestedLoop"))
+
+
+# -- token ids by piece ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_by_piece_equal_the_tokenizer(name, keeps_space):
+    from skyledger.llm.tokens import PieceEncoder
+
+    with open(tokenizer_path(name), encoding="utf-8") as file:
+        encoder = PieceEncoder(file.read(), keeps_space, generation=5000)
+    rng = random.Random(6)
+    letters = "ab  \t\n.,'-<|#éß日本語▁  　xAIS9\x00​🙂the\x1c\x85—“\r"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))) for _ in range(30_000)]
+    texts += ["", " ", "a" * 5000, " " * 500, "don't  we'll IT'S", "Á İx", "x<|endoftext|> y", "<|startoftext|>a <|endoftext|"]
+    texts += ["end.\n\n\nNext", "end \n Next", "a\n1", "ΑΣ Σ", "x\n"]
+    for k in range(0, len(texts), 4000):
+        part = texts[k : k + 4000]
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([t.encode() for t in part])]
+        want = [e.ids for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert got == want
+
+
+def test_one_doc_id_on_many_rows_fills_several_shards(spark):
+    from skyledger.llm import token_store
+
+    rows = [(7, f"word{k} and {k * 17}") for k in range(300)] + [(k, f"other {k}") for k in range(600)] + [(None, f"n {k}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    store = token_store.write(docs, tokenizer_path("word_bpe_49k.json"), shards=12)
+    back = token_store.read_back(store).collect()
+    assert len(back) == len(rows)
+    assert len({(r.doc_id, r.occurrence) for r in back}) == len(rows)
+    ordered = sorted(back, key=lambda r: r.start)
+    assert [r.start for r in ordered] == np.concatenate([[0], np.cumsum([r.n_tokens for r in ordered])[:-1]]).tolist()
+    assert [-1 if r.doc_id is None else r.doc_id for r in ordered] == sorted(-1 if i is None else i for i, _ in rows)
+    sizes = [r["count"] for r in store.entries.groupBy("shard").count().collect()]
+    assert max(sizes) <= 3 * len(rows) / 12
+    one = token_store.read_back(store, spark.createDataFrame([(7, 300), (7, 301), (None, 3)], "doc_id long, occurrence int")).collect()
+    assert {(r.doc_id, r.occurrence) for r in one} == {(7, 300), (None, 3)}
