@@ -12,7 +12,7 @@ moved into place, so a repeated or speculative task leaves one whole file.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come
 first and are keyed as null; of rows that share a doc_id each has its own key
-(doc_id, occurrence), in order of text; an empty table gives an empty result;
+(doc_id, occurrence), in order of a hash of the text; an empty table gives an empty result;
 further input columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import io
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -96,15 +97,23 @@ def _place(root: str):
     return fs.FileSystem.from_uri(root if "://" in root else f"file://{root}") if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
 
 
-def _publish(root: str, name: str, chunks: Iterator[bytes]) -> None:
-    """Write ``chunks`` under a name of this attempt and move the file into place."""
+@contextmanager
+def _published(root: str, name: str) -> Iterator:
+    """A stream under a name of this attempt; the file moves into place when it is whole.
+
+    A store that refuses to move onto a name gets the earlier attempt's file
+    removed first; the two hold the same rows.
+    """
     files, path = _place(root)
     files.create_dir(path, recursive=True)
-    own = f"{path}/_{name}-{TaskContext.get().taskAttemptId()}"
+    own, place = f"{path}/_{name}-{TaskContext.get().taskAttemptId()}", f"{path}/{name}"
     with files.open_output_stream(own) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    files.move(own, f"{path}/{name}")
+        yield out
+    try:
+        files.move(own, place)
+    except OSError:
+        files.delete_file(place)
+        files.move(own, place)
 
 
 @dataclass
@@ -121,7 +130,8 @@ class TokenStore:
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shards: int | None = None, bucket_keys: int = 100_000, root: str | None = None) -> TokenStore:
     """Encode ``docs`` into shard files in ascending doc_id order, and index them.
 
-    ``shards`` defaults to spark.sql.shuffle.partitions; ``bucket_keys`` is the
+    Rows are dealt by ranges of doc_id and a hash of the text, so one doc_id on
+    very many rows fills several shards. ``shards`` defaults to spark.sql.shuffle.partitions; ``bucket_keys`` is the
     aimed number of keys of an index bucket; ``root`` is a shared folder.
     """
     spark = docs.sparkSession
@@ -132,32 +142,35 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shards: int | N
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = shared_encoder(definition.value, keeps_space=False)
         end = int(end_id).to_bytes(encoder.width, "little")
-        shard, found = TaskContext.get().partitionId(), []
-
-        def payload() -> Iterator[bytes]:
-            yield b"TIDS" + bytes([1, encoder.width, 0, 0])
+        shard = TaskContext.get().partitionId()
+        with _published(f"{root}/ids", f"shard-{shard:06d}.ids") as out:
+            out.write(b"TIDS" + bytes([1, encoder.width, 0, 0]))
             offset, last, again = 0, object(), 0
             for frame in frames:
-                for rows, texts in slices(frame):
-                    ids = [x + end for x in encoder.encode([t.decode("utf-8") for t in texts])]
+                for rows, texts in slices(frame, 2 << 20):
+                    ids, found = [x + end for x in encoder.encode(texts)], []
                     for doc_id, x in zip(rows["doc_id"], ids):
                         doc_id = None if pd.isna(doc_id) else int(doc_id)
                         again = again + 1 if doc_id == last else 0
                         last, n = doc_id, len(x) // encoder.width
                         found.append((shard, doc_id, again, offset, n))
                         offset += n
-                    yield b"".join(ids)
-
-        _publish(f"{root}/ids", f"shard-{shard:06d}.ids", payload())
-        out = pd.DataFrame(found, columns=["shard", "doc_id", "occurrence", "offset", "n"])
-        yield out.astype({"doc_id": "Int64"})
+                    out.write(b"".join(ids))
+                    listed = pd.DataFrame(found, columns=["shard", "doc_id", "occurrence", "offset", "n"])
+                    yield listed.astype({"doc_id": "Int64"})
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id may fill more than one shard.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("order")).repartitionByRange(n, "doc_id", "order")
+    rows = rows.sortWithinPartitions("doc_id", "order", "text").select("doc_id", "text")
     entries = settle(rows.mapInPandas(encode, "shard int, doc_id long, occurrence int, offset long, n long"), "token-entries")
-    totals = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).toPandas().sort_values("shard")
+    totals = entries.groupBy("shard").agg(
+        F.sum("n").alias("n"), F.count("*").alias("keys"), F.min_by("doc_id", "offset").alias("first"),
+        F.max_by("doc_id", "offset").alias("last"), F.max_by("occurrence", "offset").alias("again"),
+    ).toPandas().astype({"first": "Int64", "last": "Int64"}).sort_values("shard")
     offsets = dict(zip(totals["shard"].tolist(), (totals["n"].cumsum() - totals["n"]).tolist()))
     buckets = max(1, -(-int(totals["keys"].sum()) // bucket_keys))
+    entries = _counted_on(entries, totals)
 
     def index(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keys = key_hashes(frame["doc_id"], frame["occurrence"])
@@ -169,7 +182,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shards: int | N
             blob, bits=function.bits, sizes=function.sizes, fingerprint=fingerprints(keys)[order],
             **{c: frame[c].to_numpy()[order] for c in ("shard", "offset", "n")},
         )
-        _publish(f"{root}/index", f"bucket-{key[0]:06d}.mph", iter([blob.getvalue()]))
+        with _published(f"{root}/index", f"bucket-{key[0]:06d}.mph") as out:
+            out.write(blob.getvalue())
         return pd.DataFrame({"bucket": [key[0]], "keys": [keys.size]})
 
     indexed = _bucketed(entries, buckets).groupBy("bucket").applyInPandas(index, "bucket int, keys long")
@@ -177,6 +191,33 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shards: int | N
     return TokenStore(spark, root, entries, offsets, buckets)
 
 
+def _counted_on(entries: DataFrame, totals: pd.DataFrame) -> DataFrame:
+    """Occurrences of a shard's first doc_id go on where the shard before ended with the same one."""
+    carried, last, count = {}, object(), 0
+    for row in totals.itertuples(index=False):
+        first = None if pd.isna(row.first) else int(row.first)
+        own = None if pd.isna(row.last) else int(row.last)
+        before = count if first == last else 0
+        if before:
+            carried[int(row.shard)] = (first, before)
+        # All rows of a shard that has one doc_id only come on top of those before.
+        last, count = own, int(row.again) + 1 + (before if own == first else 0)
+    if not carried:
+        return entries
+    shared = entries.sparkSession.sparkContext.broadcast(carried)  # one entry per shard at most
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard in set(frame["shard"].unique()) & shared.value.keys():
+                doc_id, before = shared.value[shard]
+                here = frame["shard"] == shard
+                same = frame["doc_id"].isna() if doc_id is None else frame["doc_id"] == doc_id
+                frame.loc[here & same, "occurrence"] += before
+            yield frame.astype({"doc_id": "Int64"})
+
+    return settle(entries.mapInPandas(run, entries.schema), "token-entries")
+
+
 def _bucketed(keys: DataFrame, buckets: int) -> DataFrame:
     return keys.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "occurrence"), F.lit(buckets)).cast("int"))
 
