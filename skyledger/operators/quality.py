@@ -109,21 +109,13 @@ def _total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def validate_raw_daily(
-    raw_daily: DataFrame, raw_stations: DataFrame, as_of: datetime.date
-) -> DataFrame:
-    """Eight checks from one scan of the observations.
-
-    Rows fold to station-days (with partial aggregation, so a hot station is
-    reduced where it is read), station-days to stations, stations to one row.
-    """
+def _station_days(raw_daily: DataFrame) -> DataFrame:
     element, value = F.col("element"), F.col("data_value")
-    today = F.lit(as_of)
 
     def highest(code: str) -> Column:
         return F.max(F.when(element == code, value))
 
-    station_days = raw_daily.groupBy("station_id", "obs_date").agg(
+    return raw_daily.groupBy("station_id", "obs_date").agg(
         F.count("*").alias("rows"),
         F.count_if(
             element.isin("TMAX", "TMIN", "TAVG") & _outside(value, TEMPERATURE_LIMITS)
@@ -131,8 +123,34 @@ def validate_raw_daily(
         F.count_if((element == "PRCP") & (value < 0)).alias("negative"),
         (highest("TMAX") < highest("TMIN")).alias("inverted"),
     )
-    date, rows = F.col("obs_date"), F.col("rows")
-    stations = station_days.groupBy("station_id").agg(
+
+
+def _raw_metrics(stations: DataFrame, raw_stations: DataFrame, today: Column, undated: Column, future: Column) -> DataFrame:
+    """The eight metrics from one row per station."""
+    known = raw_stations.select("station_id").distinct().withColumn("known", F.lit(True))
+    station_id = F.col("station_id")
+    return stations.join(known, "station_id", "left").agg(
+        _total(F.when(station_id.isNull(), F.col("rows"))).alias("null_station_id"),
+        undated.alias("null_obs_date"),
+        future.alias("future_dates"),
+        _total(F.col("extreme")).alias("extreme_temperatures"),
+        _total(F.col("negative")).alias("negative_precipitation"),
+        _total(F.col("inverted")).alias("temp_max_less_than_min"),
+        F.date_diff(today, F.max("newest")).alias("data_freshness"),
+        F.count_if(station_id.isNotNull() & F.col("known").isNull()).alias("orphan_stations"),
+    )
+
+
+def validate_raw_daily(
+    raw_daily: DataFrame, raw_stations: DataFrame, as_of: datetime.date
+) -> DataFrame:
+    """Eight checks from one scan of the observations.
+
+    Rows fold to station-days (with partial aggregation, so a hot station is
+    reduced where it is read), station-days to stations, stations to one row.
+    """
+    today, date, rows = F.lit(as_of), F.col("obs_date"), F.col("rows")
+    stations = _station_days(raw_daily).groupBy("station_id").agg(
         F.sum("rows").alias("rows"),
         F.sum(F.when(date.isNull(), rows)).alias("undated"),
         F.sum(F.when(date > today, rows)).alias("future"),
@@ -141,19 +159,35 @@ def validate_raw_daily(
         F.count_if("inverted").alias("inverted"),
         F.max("obs_date").alias("newest"),
     )
-    known = raw_stations.select("station_id").distinct().withColumn("known", F.lit(True))
-    station_id = F.col("station_id")
-    metrics = stations.join(known, "station_id", "left").agg(
-        _total(F.when(station_id.isNull(), rows)).alias("null_station_id"),
-        _total(F.col("undated")).alias("null_obs_date"),
-        _total(F.col("future")).alias("future_dates"),
-        _total(F.col("extreme")).alias("extreme_temperatures"),
-        _total(F.col("negative")).alias("negative_precipitation"),
-        _total(F.col("inverted")).alias("temp_max_less_than_min"),
-        F.date_diff(today, F.max("newest")).alias("data_freshness"),
-        F.count_if(station_id.isNotNull() & F.col("known").isNull()).alias("orphan_stations"),
+    undated, future = _total(F.col("undated")), _total(F.col("future"))
+    return run_checks(_raw_metrics(stations, raw_stations, today, undated, future), RAW_DAILY_CHECKS)
+
+
+def raw_check_parts(raw_daily: DataFrame) -> DataFrame:
+    """What the raw checks need of a station's year, so that years can be checked one by one and merged."""
+    return _station_days(raw_daily).groupBy("station_id", F.year("obs_date").alias("obs_year")).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("extreme").alias("extreme"),
+        F.sum("negative").alias("negative"),
+        F.count_if("inverted").alias("inverted"),
+        F.max("obs_date").alias("newest"),
     )
-    return run_checks(metrics, RAW_DAILY_CHECKS)
+
+
+def raw_day_parts(raw_daily: DataFrame) -> DataFrame:
+    """Observations of each day in a bucket: which of them lie in the future depends on the day of asking."""
+    return raw_daily.groupBy("station_bucket", "obs_date").agg(F.count("*").alias("rows"))
+
+
+def merged_raw_daily(
+    parts: DataFrame, days: DataFrame, raw_stations: DataFrame, as_of: datetime.date
+) -> DataFrame:
+    """The checks of :func:`validate_raw_daily` from stored parts. Stored observations have a day and a station."""
+    today = F.lit(as_of)
+    counts = ("rows", "extreme", "negative", "inverted")
+    stations = parts.groupBy("station_id").agg(*[F.sum(c).alias(c) for c in counts], F.max("newest").alias("newest"))
+    late = days.where(F.col("obs_date") > today).agg(_total(F.col("rows"))).scalar()
+    return run_checks(_raw_metrics(stations, raw_stations, today, F.lit(0).cast("long"), late), RAW_DAILY_CHECKS)
 
 
 def validate_stations(raw_stations: DataFrame) -> DataFrame:
@@ -178,15 +212,37 @@ def validate_stations(raw_stations: DataFrame) -> DataFrame:
 
 def validate_marts(daily: DataFrame, monthly: DataFrame, features: DataFrame) -> DataFrame:
     """Five checks over the marts, one scan each."""
+    return merged_marts(weather_parts(daily), month_parts(monthly), feature_parts(features))
+
+
+def weather_parts(daily: DataFrame, *keys: str) -> DataFrame:
+    return daily.groupBy(*keys).agg(
+        F.count("*").alias("rows"),
+        F.count("tavg_7d_avg").alias("with_average"),
+        F.count_if(F.col("station_name").isNull()).alias("without_name"),
+    )
+
+
+def month_parts(monthly: DataFrame, *keys: str) -> DataFrame:
+    months = list(dict.fromkeys([*keys, "obs_year", "obs_month"]))
+    return monthly.groupBy(*months).agg(F.count("*").alias("rows"))
+
+
+def feature_parts(features: DataFrame, *keys: str) -> DataFrame:
+    return features.groupBy(*keys).agg(F.count("*").alias("rows"))
+
+
+def merged_marts(weather: DataFrame, months: DataFrame, features: DataFrame) -> DataFrame:
+    """The five checks from counts of any parts of the marts."""
     month = F.col("obs_year") * 100 + F.col("obs_month")
-    metrics = daily.agg(
-        F.count("*").alias("mart_daily_weather_populated"),
-        F.count("tavg_7d_avg").alias("rolling_averages_computed"),
-        F.count_if(F.col("station_name").isNull()).alias("stations_joined_correctly"),
+    metrics = weather.agg(
+        _total(F.col("rows")).alias("mart_daily_weather_populated"),
+        _total(F.col("with_average")).alias("rolling_averages_computed"),
+        _total(F.col("without_name")).alias("stations_joined_correctly"),
     ).select(
         "*",
-        features.agg(F.count("*")).scalar().alias("prediction_targets_exist"),
-        monthly.agg(F.count_distinct(month)).scalar().alias("monthly_summary_coverage"),
+        features.agg(_total(F.col("rows"))).scalar().alias("prediction_targets_exist"),
+        months.agg(F.count_distinct(month)).scalar().alias("monthly_summary_coverage"),
     )
     return run_checks(metrics, MART_CHECKS)
 

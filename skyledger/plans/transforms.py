@@ -19,6 +19,8 @@ DAILY, STATIONS, SPANS = "staging.daily_observations", "staging.stations", "stag
 WEATHER, MONTHLY, FEATURES = "marts.daily_weather", "marts.monthly_summary", "marts.prediction_features"
 TABLES = (DAILY, STATIONS, WEATHER, MONTHLY, FEATURES)
 MALFORMED = "quality.malformed"
+RAW_PARTS, RAW_DAYS = "quality.raw_parts", "quality.raw_days"
+WEATHER_PARTS, MONTH_PARTS, FEATURE_PARTS = "quality.weather_parts", "quality.month_parts", "quality.feature_parts"
 
 
 def build_marts(raw_daily: DataFrame, raw_stations: DataFrame) -> dict[str, DataFrame]:
@@ -98,13 +100,20 @@ class _Build:
             raw = self.warehouse.read("raw.stations", at=pinned["raw.stations"])
             self.warehouse.put(STATIONS, staging.stage_stations(raw), inputs=pinned)
 
-    def narrow(self, table: str, source: str, derive: Callable[[DataFrame], DataFrame]) -> None:
+    def narrow(
+        self,
+        table: str,
+        source: str,
+        derive: Callable[[DataFrame], DataFrame],
+        sort_by: Sequence[str] = ("station_id",),
+    ) -> None:
         """A table whose rows depend on rows of their own partition of ``source`` only."""
         pinned = self._pin(source)
         changed = self._changes(table, source, pinned)
         if changed != set():
-            rows = self.warehouse.with_partition(derive(self.warehouse.read(source, changed, at=pinned[source])))
-            self.warehouse.put(table, rows, replacing=changed, by=PARTITIONS, sort_by=("station_id",), inputs=pinned)
+            rows = derive(self.warehouse.read(source, changed, at=pinned[source], hidden=True))
+            rows = self.warehouse.with_partition(rows)
+            self.warehouse.put(table, rows, replacing=changed, by=PARTITIONS, sort_by=sort_by, inputs=pinned)
 
     def _reach(self, pinned: dict[str, int]) -> tuple[set[Partition] | None, set[Partition] | None]:
         """Partitions of the daily mart to rebuild and to read for it; None for all."""
@@ -154,15 +163,26 @@ class _Build:
             self.warehouse.put(FEATURES, rows, replacing=changed, by=PARTITIONS, in_order=True, inputs=pinned)
 
 
-def run_quality(warehouse: Warehouse, as_of: datetime.date) -> dict[str, DataFrame]:
-    """Run and store the three suites."""
+def run_quality(warehouse: Warehouse, as_of: datetime.date, *, full: bool = False) -> dict[str, DataFrame]:
+    """Run and store the three suites.
+
+    The counts behind the checks are stored per (year, bucket) and brought up to
+    date where their input changed, then merged; ``full`` counts everything anew.
+    """
+    build = _Build(warehouse, full)
+    build.narrow(RAW_PARTS, "raw.daily", quality.raw_check_parts)
+    build.narrow(RAW_DAYS, "raw.daily", quality.raw_day_parts, sort_by=("obs_date",))
+    build.narrow(WEATHER_PARTS, WEATHER, lambda rows: quality.weather_parts(rows, *PARTITIONS), sort_by=())
+    build.narrow(MONTH_PARTS, MONTHLY, lambda rows: quality.month_parts(rows, *PARTITIONS), sort_by=())
+    build.narrow(FEATURE_PARTS, FEATURES, lambda rows: quality.feature_parts(rows, *PARTITIONS), sort_by=())
+    stations = warehouse.stations()
     results = {
-        "quality.raw_daily": quality.validate_raw_daily(
-            warehouse.daily(), warehouse.stations(), as_of
+        "quality.raw_daily": quality.merged_raw_daily(
+            warehouse.read(RAW_PARTS), warehouse.read(RAW_DAYS), stations, as_of
         ),
-        "quality.stations": quality.validate_stations(warehouse.stations()),
-        "quality.marts": quality.validate_marts(
-            warehouse.read(WEATHER), warehouse.read(MONTHLY), warehouse.read(FEATURES)
+        "quality.stations": quality.validate_stations(stations),
+        "quality.marts": quality.merged_marts(
+            warehouse.read(WEATHER_PARTS), warehouse.read(MONTH_PARTS), warehouse.read(FEATURE_PARTS)
         ),
     }
     return {name: warehouse.replace_table(name, rows) for name, rows in results.items()}

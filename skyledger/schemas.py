@@ -119,6 +119,13 @@ TABLES = {
     "quality.raw_daily": _CHECKS,
     "quality.stations": _CHECKS,
     "quality.marts": _CHECKS,
+    "quality.raw_parts": (
+        "station_id string, obs_year int, rows bigint, extreme bigint, negative bigint, inverted bigint, newest date"
+    ),
+    "quality.raw_days": "obs_date date, rows bigint",
+    "quality.weather_parts": "rows bigint, with_average bigint, without_name bigint",
+    "quality.month_parts": "obs_year int, obs_month int, rows bigint",
+    "quality.feature_parts": "rows bigint",
     "quality.malformed": "bad_years bigint, bad_months bigint, bad_values bigint",
     "quality.malformed_batches": "batch_id bigint, bad_years bigint, bad_months bigint, bad_values bigint",
 }

@@ -217,8 +217,12 @@ class Warehouse:
 
     def with_partition(self, rows: DataFrame) -> DataFrame:
         """Rows with the partition columns that their day and station fall into."""
-        bucket = {"station_bucket": self.bucket(F.col("station_id"))}
-        return rows.withColumns(bucket if "obs_year" in rows.columns else {"obs_year": F.year("obs_date"), **bucket})
+        missing = {}
+        if "obs_year" not in rows.columns:
+            missing["obs_year"] = F.year("obs_date")
+        if "station_bucket" not in rows.columns:
+            missing["station_bucket"] = self.bucket(F.col("station_id"))
+        return rows.withColumns(missing) if missing else rows
 
     def daily(
         self, *, years: Sequence[int] | None = None, station_ids: Sequence[str] | None = None

@@ -10,6 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import quality
 from skyledger.plans import transforms
 from skyledger.plans.reach import partitions_to_read, partitions_to_rebuild
 from skyledger.schemas import RAW_DAILY, RAW_STATIONS
@@ -218,3 +219,32 @@ def test_marts_of_the_stored_path_have_few_files(built):
         root = pathlib.Path(built.path(table))
         for folder in folders(built, table):
             assert len(list((root / folder).glob("*.parquet"))) <= splits, table
+
+
+def checks(df):
+    return {r.check_name: (r.violation_count, r.check_result) for r in df.collect()}
+
+
+def test_merged_checks_equal_the_full_suites_after_each_change(spark, built):
+    as_of = datetime.date(2007, 6, 1)
+    for name, change in CHANGES.items():
+        change(built, lambda rows: frame(spark, rows))
+        tables = transforms.run_transforms(built)
+        merged = transforms.run_quality(built, as_of)
+        raw = quality.validate_raw_daily(built.daily(), built.stations(), as_of)
+        marts = quality.validate_marts(*[tables[t] for t in (transforms.WEATHER, transforms.MONTHLY, transforms.FEATURES)])
+        assert checks(merged["quality.raw_daily"]) == checks(raw), name
+        assert checks(merged["quality.marts"]) == checks(marts), name
+    later = transforms.run_quality(built, datetime.date(2003, 2, 1))["quality.raw_daily"]
+    assert checks(later) == checks(quality.validate_raw_daily(built.daily(), built.stations(), datetime.date(2003, 2, 1)))
+
+
+def test_checks_after_a_refresh_count_what_changed(spark, built, monkeypatch):
+    transforms.run_quality(built, datetime.date(2007, 1, 1))
+    before = folders(built, transforms.RAW_PARTS)
+    built.replace_station_years(frame(spark, observations(2, {"US000000001": {2004: 50}})), [2004])
+    transforms.run_transforms(built)
+    transforms.run_quality(built, datetime.date(2007, 1, 1))
+    assert len(before - folders(built, transforms.RAW_PARTS)) == 1
+    monkeypatch.setattr(transforms._Build, "narrow", lambda *_, **__: None)
+    assert checks(transforms.run_quality(built, datetime.date(2007, 1, 1))["quality.raw_daily"])["data_freshness"][0] < 0
