@@ -22,6 +22,7 @@ FEATURE_DIGITS = {
 FEATURES = tuple(FEATURE_DIGITS)
 
 
+# The coefficients and branch limits in `with_estimates`, which are those of the estimate.
 def with_estimates(stations: DataFrame) -> DataFrame:
     """Add the eight features to stations with latitude and elevation.
 

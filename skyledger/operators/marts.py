@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import mean_of_ticks, round_scaled
 from skyledger.functions.numeric import stddev_of_ticks, sum_of_ticks
 
+# Column names of the marts, in their order.
 STATION_COLUMNS = (
     "station_id", "station_name", "latitude", "longitude",
     "elevation", "state", "country_code", "climate_zone",

@@ -71,7 +71,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _local_fallback.get(spark)
     if base is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_fallback[spark] = tempfile.mkdtemp(prefix="skyledger-")
     return base.rstrip("/")

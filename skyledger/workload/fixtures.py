@@ -150,6 +150,22 @@ def old_lines(raw_stations: DataFrame) -> DataFrame:
     return some.select(F.concat("station_id", F.lit("199901TMAX   12   ")).alias("value"))
 
 
+_STATION = "elevation, state, station_name, gsn_flag, hcn_flag, wmo_id"
+
+#: Stations that also come with places that do not exist, and some of them twice.
+ODD_STATIONS_SQL = f"""
+SELECT station_id, latitude, longitude, {_STATION} FROM {{raw_stations}}
+UNION ALL SELECT station_id, CAST(95 AS DOUBLE) AS latitude, longitude, {_STATION} FROM {{raw_stations}} WHERE wmo_id IS NOT NULL
+UNION ALL SELECT station_id, latitude, CAST(-200 AS DOUBLE) AS longitude, {_STATION} FROM {{raw_stations}} WHERE gsn_flag IS NOT NULL
+"""
+
+#: Observations some of which also come without a station or without a day.
+ODD_DAILY_SQL = """
+SELECT station_id, obs_date, element, data_value, m_flag, q_flag, s_flag, obs_time FROM {raw_daily}
+UNION ALL SELECT CAST(NULL AS STRING), obs_date, element, data_value, m_flag, q_flag, s_flag, obs_time FROM {raw_daily} WHERE m_flag = 'T'
+UNION ALL SELECT station_id, CAST(NULL AS DATE), element, data_value, m_flag, q_flag, s_flag, obs_time FROM {raw_daily} WHERE q_flag = 'G'
+"""
+
 #: 200 invented two-letter codes with names; two in three have an ISO code.
 COUNTRY_CODES_SQL = """
 SELECT chr(65 + CAST(floor(k / 26) AS INT)) || chr(65 + CAST(k % 26 AS INT)) AS code,

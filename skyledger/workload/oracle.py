@@ -14,7 +14,7 @@ from skyledger.operators.quality import MART_CHECKS, RAW_DAILY_CHECKS, STATION_C
 from skyledger.sources.lookups import US_STATES
 from skyledger.workload import params as p
 from skyledger.workload.fixtures import (
-    COUNTRY_CODES_SQL, FAR_STATIONS_SQL, REPORTING_SQL, WIDE_REPORTING_SQL, oracle_ctes,
+    COUNTRY_CODES_SQL, FAR_STATIONS_SQL, ODD_DAILY_SQL, ODD_STATIONS_SQL, REPORTING_SQL, WIDE_REPORTING_SQL, oracle_ctes,
 )
 
 
@@ -748,6 +748,17 @@ def oracle_sql() -> dict[str, str]:
         shape("available", selection, PLACE), "available", raw_daily=AFTER_REFRESH
     )
     q["ingest_location"] = statement(INGEST_LOCATION)
+    odd_daily = f", odd_daily AS ({ODD_DAILY_SQL.format(raw_daily='raw_daily')}) "
+    odd_stations = f", odd_stations AS ({ODD_STATIONS_SQL.format(raw_stations='raw_stations')}) "
+    q["quality_raw_odd"] = statement(odd_daily + RAW_QUALITY.replace("raw_daily", "odd_daily"))
+    q["quality_stations_odd"] = statement(odd_stations + STATION_QUALITY.replace("raw_stations", "odd_stations"))
+    q["duplicate_stations_odd"] = statement(
+        odd_stations + "SELECT station_id, count(*) AS occurrences FROM odd_stations GROUP BY ALL HAVING count(*) > 1"
+    )
+    q["search_without_match"] = statement(
+        f"SELECT station_id, CAST(NULL AS DOUBLE) AS distance_km FROM raw_stations WHERE station_id LIKE '{p.COUNTRY}%'"
+    )
+    q["coordinates_of_unknown_station"] = "SELECT 0e0 AS latitude, 0e0 AS longitude"
     q["malformed_report"] = statement(
         "SELECT count(*) FILTER (WHERE m = 3) AS bad_years, count(*) FILTER (WHERE m = 5) AS bad_months, "
         "count(*) FILTER (WHERE m = 7) AS bad_values FROM (SELECT DISTINCT station_id, element, "

@@ -21,6 +21,7 @@ COUNTRIES = [
 
 STATE, COUNTRY = "WA", "CA"
 SEARCH_TEXT = "build"
+NO_SUCH_NAME = "no such place"
 POINT = (10.0, 20.0)
 RADIUS_KM = 1500.0
 SAMPLE_SIZE, SAMPLE_SEED = 50, 42

@@ -668,3 +668,36 @@ def available_stations_stored(i: Inputs) -> DataFrame:
     transforms.run_transforms(warehouse)
     transforms.refresh(warehouse, i.landing(), 2024)
     return directory.available_from_years(warehouse.read(transforms.SPANS), warehouse.read(transforms.STATIONS))
+
+
+def _odd_stations(i: Inputs) -> DataFrame:
+    return i.spark.sql(fixtures.ODD_STATIONS_SQL, raw_stations=i.raw_stations)
+
+
+@register
+def quality_raw_odd(i: Inputs) -> DataFrame:
+    odd = i.spark.sql(fixtures.ODD_DAILY_SQL, raw_daily=i.raw_daily)
+    return quality.validate_raw_daily(odd, i.raw_stations, p.AS_OF).drop("checked_at")
+
+
+@register
+def quality_stations_odd(i: Inputs) -> DataFrame:
+    return quality.validate_stations(_odd_stations(i)).drop("checked_at")
+
+
+@register
+def duplicate_stations_odd(i: Inputs) -> DataFrame:
+    return staging.duplicate_station_ids(_odd_stations(i))
+
+
+@register
+def search_without_match(i: Inputs) -> DataFrame:
+    """No name matches, so all stations of the country are listed, without a distance."""
+    return directory.search_then_radius(
+        i.raw_stations, p.NO_SUCH_NAME, p.RADIUS_KM, i.states, i.countries, country=p.COUNTRY
+    ).select("station_id", "distance_km")
+
+
+@register
+def coordinates_of_unknown_station(i: Inputs) -> DataFrame:
+    return directory.station_coordinates(i.raw_stations, p.NO_SUCH_NAME)
