@@ -2,9 +2,13 @@
 
 Each text is measured once with built-in functions. The measures of every
 (lang, source) go into KLL sketches, which Spark merges from partial
-aggregates; fences around the middle half replace fixed cutoffs. Groups too
-small for their own fence use the merged sketch of their language, and then of
-all rows. The fences are joined back to the rows.
+aggregates; fences drawn from their tails replace fixed cutoffs. A fence lies so
+far outside the median as an exponential tail would reach for one row in ten
+thousand; the tail's scale is read off at the 0.95 quantile, or at 0.99 where
+0.95 does not differ from the median. A group's quantiles shrink towards those of
+its language, and these towards those of all rows, by the number of rows, so
+there is no size at which the rule changes. The fences are joined back to the
+rows.
 
 Defined cases: a null text has no words and fails the base rule; null lang or
 source form a group of their own; an empty table gives an empty result;
@@ -13,6 +17,7 @@ repeated rows are judged each; further input columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,15 +30,18 @@ _A_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-#: For each measure the sides that are fenced and the slack a fence has at least.
-#: The slack keeps a group whose values hardly differ from losing ordinary rows.
+#: For each measure the sides that are fenced.
 FENCES = {
-    "symbol_ratio": ("high", 0.05),
-    "mean_word": ("both", 3.0),
-    "dup_line_ratio": ("high", 0.30),
-    "repeat_ratio": ("high", 0.15),
-    "upper_ratio": ("high", 0.30),
+    "symbol_ratio": "high",
+    "mean_word": "both",
+    "dup_line_ratio": "high",
+    "repeat_ratio": "high",
+    "upper_ratio": "high",
 }
+#: Quantiles that are read from a sketch.
+_RANKS = (0.01, 0.05, 0.5, 0.95, 0.99)
+#: Room for the rounding of a ratio that equals its fence.
+_ROUNDING = 1e-9
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,12 +116,33 @@ def with_ratios(rows: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rows: DataFrame, spread: float = 6.0, min_group: int = 200, sketch_k: int = 800) -> DataFrame:
+def _quantiles(sketch: Column, rows: Column) -> Column:
+    """The quantiles of a sketch of at least one row, else null."""
+    ranks = F.array(*[F.lit(r) for r in _RANKS])
+    return F.when(rows > 0, F.call_function("kll_sketch_get_quantile_double", sketch, ranks))
+
+
+def _shrunk(own: Column, rows: Column, wider: Column, shrink: float) -> Column:
+    """Quantiles between those of a group and of the wider group, by the group's rows."""
+    weight = rows / (rows + F.lit(float(shrink)))
+    mixed = F.transform(wider, lambda w, i: weight * F.get(own, i) + (1 - weight) * w)
+    return F.when(own.isNull(), wider).otherwise(mixed)
+
+
+def _beyond(quantiles: Column, near: int, far: int, tail: float) -> Column:
+    """How far a fence lies outside the median on one side."""
+    median = F.get(quantiles, 2)
+    first, second = F.abs(F.get(quantiles, near) - median), F.abs(F.get(quantiles, far) - median)
+    scale = F.when(first > 0, first / math.log(20)).otherwise(second / math.log(100))
+    return scale * -math.log(tail) + _ROUNDING
+
+
+def thresholds(rows: DataFrame, tail: float = 1e-4, shrink: float = 200.0, sketch_k: int = 800) -> DataFrame:
     """Fences per (lang, source) from sketches over rows that pass the base rule.
 
-    ``spread`` is the distance from the middle half in units of its width. A
-    group with fewer than ``min_group`` such rows takes its language's sketch,
-    and the sketch of all rows if that is small too.
+    ``tail`` is the share of rows beyond a fence if the tail is exponential. A
+    group of ``shrink`` rows lies half way between its own quantiles and its
+    language's.
     """
     good = F.when(~F.col("base_failed"), F.lit(1))
     per_group = settle(
@@ -126,25 +155,27 @@ def thresholds(rows: DataFrame, spread: float = 6.0, min_group: int = 200, sketc
     some = per_group.filter("n > 0")
     merged = [F.expr(f"kll_merge_agg_double({m})").alias(m) for m in FENCES]
     per_lang = some.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    overall = some.agg(F.sum("n").alias("n"), *merged)
-    keys = per_group.select("lang", "source", F.col("n").alias("own"))
-    joined = (
-        keys.alias("k")
-        .join(per_group.alias("g"), F.expr("k.lang <=> g.lang AND k.source <=> g.source"))
-        .join(per_lang.alias("l"), F.expr("k.lang <=> l.lang"), "left")
-        .join(overall.alias("o"), F.lit(True), "left")
+    overall = some.agg(F.sum("n").alias("n"), *merged).select(
+        F.struct(*[_quantiles(F.col(m), F.col("n")).alias(m) for m in FENCES]).alias("o")
     )
+    joined = per_group.alias("g").join(per_lang.alias("l"), F.expr("g.lang <=> l.lang"), "left")
+    joined = joined.select(
+        F.col("g.lang").alias("t_lang"), F.col("g.source").alias("t_source"), F.col("g.n").alias("rows"),
+        F.coalesce("l.n", F.lit(0)).alias("lang_rows"),
+        *[_quantiles(F.col(f"g.{m}"), F.col("g.n")).alias(f"g_{m}") for m in FENCES],
+        *[_quantiles(F.col(f"l.{m}"), F.col("l.n")).alias(f"l_{m}") for m in FENCES],
+        overall.scalar().alias("o"),
+    )
     fences = []
-    for name, (side, slack) in FENCES.items():
-        pick = F.when(F.col("own") >= min_group, F.col(f"g.{name}"))
-        pick = pick.when(F.col("l.n") >= min_group, F.col(f"l.{name}")).otherwise(F.col(f"o.{name}"))
-        ends = F.call_function("kll_sketch_get_quantile_double", pick, F.array(F.lit(0.25), F.lit(0.75)))
-        low, high = ends[0], ends[1]
-        margin = F.greatest((high - low) * spread, F.lit(slack))
-        fences.append((high + margin).alias(f"{name}_max"))
+    for name, side in FENCES.items():
+        of_lang = _shrunk(F.col(f"l_{name}"), F.col("lang_rows"), F.col(f"o.{name}"), shrink)
+        found = _shrunk(F.col(f"g_{name}"), F.col("rows"), of_lang, shrink)
+        joined = joined.withColumn(f"q_{name}", found)
+        quantiles = F.col(f"q_{name}")
+        fences.append((F.get(quantiles, 2) + _beyond(quantiles, 3, 4, tail)).alias(f"{name}_max"))
         if side == "both":
-            fences.append((low - margin).alias(f"{name}_min"))
-    return joined.select(F.col("k.lang").alias("t_lang"), F.col("k.source").alias("t_source"), *fences)
+            fences.append((F.get(quantiles, 2) - _beyond(quantiles, 1, 0, tail)).alias(f"{name}_min"))
+    return joined.select("t_lang", "t_source", *fences)
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
@@ -153,7 +184,7 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     limits = settle(thresholds(rows, **options), "quality-thresholds")
     judged = rows.join(limits, F.expr("lang <=> t_lang AND source <=> t_source"), "left")
     inside = ~F.col("base_failed")
-    for name, (side, _) in FENCES.items():
+    for name, side in FENCES.items():
         inside &= F.coalesce(F.col(name) <= F.col(f"{name}_max"), F.lit(True))
         if side == "both":
             inside &= F.coalesce(F.col(name) >= F.col(f"{name}_min"), F.lit(True))

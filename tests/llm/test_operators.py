@@ -167,13 +167,53 @@ def test_rule_thresholds_by_brute_force(spark):
     rng = random.Random(3)
     docs = frame(spark, [(k, prose(rng, 60) + " #" * (k % 3), "en") for k in range(60)] + [(99, prose(rng, 30) + " ###" * 60, "en")])
     rows = quality_rules.with_ratios(quality_rules.measure(docs)).cache()
-    low, high = np.quantile([r.symbol_ratio for r in rows.collect() if not r.base_failed], [0.25, 0.75], method="inverted_cdf")
+    values = [r.symbol_ratio for r in rows.collect() if not r.base_failed]
+    mid, near, far = np.quantile(values, [0.5, 0.95, 0.99], method="inverted_cdf")
+    scale = (near - mid) / math.log(20) if near > mid else (far - mid) / math.log(100)
     limit = quality_rules.thresholds(rows).first()
-    assert abs(limit.symbol_ratio_max - (high + max(6.0 * (high - low), 0.05))) < 0.02
+    assert abs(limit.symbol_ratio_max - (mid + scale * math.log(10_000))) < 1e-6
     kept = {r.doc_id: r.kept for r in quality_rules.apply(docs).collect()}
     assert not kept[99] and sum(kept.values()) >= 59
 
 
+def test_fences_follow_the_distribution_of_a_source(spark):
+    """Two sources of 600 rows; what is ordinary in one is far outside in the other. Nothing is fixed."""
+    rng = random.Random(8)
+    marked = lambda n: "".join(f" {rng.choice(WORDS)}#" for _ in range(n))
+    rows = []
+    for source, most in (("plain", 4), ("marked", 40)):
+        for k in range(600):
+            rows.append((len(rows), prose(rng, 100) + marked(rng.randrange(most)), "en", source))
+    rows += [(9000, prose(rng, 100) + marked(30), "en", "plain"), (9001, prose(rng, 100) + marked(30), "en", "marked")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality_rules.with_ratios(quality_rules.measure(docs)).cache()
+    fence = {r.t_source: r for r in quality_rules.thresholds(measured, shrink=50.0).collect()}
+    assert fence["marked"].symbol_ratio_max > 3 * fence["plain"].symbol_ratio_max
+    kept = {r.doc_id: r.kept for r in quality_rules.apply(docs, shrink=50.0).collect()}
+    assert kept[9001] and not kept[9000]
+
+
+def test_a_small_group_lies_between_its_own_and_its_language(spark):
+    """Shrinking is smooth: each further row moves the fence a little, at no size does the rule change."""
+    rng = random.Random(9)
+    common = [(k, prose(rng, 60) + " #" * (k % 2), "en", "big") for k in range(300)]
+    limits = []
+    for n in (1, 5, 50, 199, 200, 201):
+        rows = common + [(1000 + k, prose(rng, 60) + " #" * (k % 12), "en", "small") for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        found = quality_rules.thresholds(quality_rules.with_ratios(quality_rules.measure(docs)))
+        limits.append({r.t_source: r.symbol_ratio_max for r in found.collect()}["small"])
+    assert abs(limits[3] - limits[4]) < 0.02 and abs(limits[4] - limits[5]) < 0.02
+    assert limits[0] < limits[2] < limits[4]
+
+
+def test_rules_plan_has_no_nested_loop(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    measured = quality_rules.with_ratios(quality_rules.measure(docs))
+    text = quality_rules.thresholds(measured)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(60, 200)) for _ in range(60)]
