@@ -10,8 +10,9 @@
 3. Texts meet in buckets of banded samples. Every member is compared with the
    bucket's centre by exact weighted Jaccard similarity. Further rounds, with
    another centre in every bucket, compare what is still in different classes.
-   Then all members of a bucket that are in different classes are compared with
-   each other, so no two texts that share a bucket stay uncompared.
+   Texts of buckets that still hold different classes are then joined by the
+   rarest of their shingles: two texts that reach the similarity share one of
+   them, so no two of these texts stay uncompared that could be linked.
 4. Classes are connected components of the links, found by alternating star steps.
 
 Exact copies share a digest and are never compared.
@@ -28,6 +29,8 @@ pass through `keep_one` whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,8 +43,6 @@ SIZE = 5
 BANDS, ROWS = 16, 3
 #: How much more the rarest shingle weighs than the commonest.
 RARITY = 0.25
-#: Members of a bucket that one part compares with all of them.
-PART = 256
 _KEY_BYTES = 5
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BAND_FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -159,7 +160,24 @@ def shingle_weight(count: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray
     return count * (1.0 + RARITY * np.log(np.maximum(n_docs / df, 1.0)) / np.log(max(n_docs, 3)))
 
 
-def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def front(hashes: np.ndarray, weights: np.ndarray, df: np.ndarray, whole: float, similarity: float) -> bytes:
+    """A bit for each shared shingle that is among the text's rarest ones.
+
+    Shingles are ordered by df and hash, those of no other text first. The front
+    ends where what lies behind it weighs less than ``similarity`` of the text. If
+    two texts reach that similarity, the first shingle in this order that both
+    have is in the front of either, for else all they share would lie behind one.
+    """
+    order = np.lexsort((hashes, df))
+    behind = weights.sum() - np.cumsum(weights[order])
+    short = behind < similarity * whole * (1 - 1e-6)
+    n = int(np.argmax(short)) + 1 if short.any() else order.size
+    bits = np.zeros(order.size, bool)
+    bits[order[:n]] = True
+    return np.packbits(bits).tobytes()
+
+
+def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Settled: texts that may have a partner, with their shared shingles, weights and band keys.
 
     A text that stands in several blocks has a row for each of them.
@@ -169,14 +187,14 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 <<
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n_docs, blocks = size["n"], max(1, -(-size["bytes"] // block_bytes))
     buckets = max(1, -(-size["bytes"] * _KEY_BYTES // (6 * bucket_bytes)))
-    spread = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")))
+    spread = F.xxhash64("doc_id", "text")  # one doc_id on very many rows fills several blocks
     placed = texts.select(F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.md5("text").alias("node"), "text")
     # Settled, so that the packed lists of all blocks can go before the sets are made.
     shared = settle(_shared(_count_blocks(placed, buckets)), "near-shared")
     release(docs.sparkSession)
 
     def run(key: tuple, frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        columns = ["block", "node", "weight", "hashes", "weights", "keys"]
+        columns = ["block", "node", "weight", "hashes", "weights", "front", "keys"]
         h, row, count = _sorted_pairs(*_block_shingles(frame))
         if not h.size or not len(back):
             return pd.DataFrame([], columns=columns)
@@ -193,7 +211,7 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 <<
         possible &= ~frame["node"].duplicated().to_numpy()  # row numbers of slices follow the frame's order
         use = np.flatnonzero((df > 1) & possible[row])
         use = use[np.argsort(row[use], kind="stable")]
-        h, w, row = h[use], weight[use], row[use]
+        h, w, row, df = h[use], weight[use], row[use], df[use]
         begins = np.flatnonzero(np.diff(row, prepend=-1))
         out = []
         for k in range(0, begins.size, 64):
@@ -205,11 +223,12 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 8 <<
                 doc = row[low]
                 out.append((
                     key[0], frame["node"].iloc[doc], float(whole[doc]), _pack(h[low:high] >> np.uint64(24), _KEY_BYTES),
-                    w[low:high].astype(np.float32).tobytes(), bands[j].view(np.int64).tolist(),
+                    w[low:high].astype(np.float32).tobytes(),
+                    front(h[low:high], w[low:high], df[low:high], float(whole[doc]), similarity), bands[j].view(np.int64).tolist(),
                 ))
         return pd.DataFrame(out, columns=columns)
 
-    schema = "block int, node string, weight double, hashes binary, weights binary, keys array<long>"
+    schema = "block int, node string, weight double, hashes binary, weights binary, front binary, keys array<long>"
     found = placed.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, schema)
     return settle(found.withColumn("id", F.xxhash64("node")), "near-candidates")
 
@@ -223,6 +242,10 @@ def weighted_jaccard(a: bytes, wa: bytes, total_a: float, b: bytes, wb: bytes, t
     return float(common / (total_a + total_b - common))
 
 
+#: Pairs of sets in an Arrow batch; a set of a long text has some hundred KB.
+PAIRS = 128
+
+
 def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b), named by the roots of the pairs whose similarity reaches the threshold.
 
@@ -286,12 +309,12 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
         centre = own.groupBy("key").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
         centre = centre.filter("low <> high").select("key", "c")
         pairs = _apart(own.join(centre, "key"), similarity)
-        new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links")
+        new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links", records=PAIRS)
         if not new.isEmpty():
             known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
         del own, centre, pairs
         release(spark)  # the sets that this round exchanged
-    new = settle(_verified(settle(_open_pairs(members, known, similarity), "near-pairs"), found, similarity), "near-links")
+    new = settle(_verified(settle(_open_pairs(found, members, known, similarity), "near-pairs"), found, similarity), "near-links", records=PAIRS)
     if not new.isEmpty():
         known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
     release(spark)
@@ -312,19 +335,34 @@ def _apart(pairs: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _open_pairs(members: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
-    """All pairs of members of different classes in a bucket; a large bucket is dealt over parts."""
+def _open_pairs(found: DataFrame, members: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
+    """Pairs of different classes that share a shingle of both fronts, among texts of undecided buckets.
+
+    Texts of one template share its shingles, but these are the common ones and
+    stand behind the fronts, so the pairs grow with what texts have of their own.
+    """
     own = members.withColumn("root", F.col("id"))
     if known is not None:
         own = members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    sizes = sizes.filter("low <> high").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    left = settle(own.join(sizes, "key"), "near-open")
-    right = left.select(
-        "key", F.struct("id", "root", "block", "weight").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    return _apart(left.join(right, ["key", "part"]).filter("id < c.id"), similarity)
+    open_ = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    texts = settle(own.join(open_, "key").select("id", "block", "root", "weight").distinct(), "near-open")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held = []
+            for hashes, bits in zip(frame["hashes"], frame["front"]):
+                all_ = _unpack(hashes, _KEY_BYTES)
+                held.append(all_[np.unpackbits(np.frombuffer(bits, np.uint8), count=all_.size).view(bool)].astype(np.int64))
+            sizes = [x.size for x in held]
+            out = frame[["id", "block", "root", "weight"]].loc[frame.index.repeat(sizes)].reset_index(drop=True)
+            yield out.assign(shingle=np.concatenate(held) if held else np.zeros(0, np.int64))
+
+    sets = found.select("id", "block", "hashes", "front").join(texts, ["id", "block"]).select("id", "block", "root", "weight", "hashes", "front")
+    fronts = settle(sets.mapInPandas(run, "id long, block int, root long, weight double, shingle long"), "near-fronts", records=1000)
+    met = fronts.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    met = settle(fronts.join(met.select("shingle"), "shingle"), "near-met")
+    right = met.select("shingle", F.struct("id", "root", "block", "weight").alias("c"))
+    return _apart(met.join(right, "shingle").filter("id < c.id"), similarity)
 
 
 def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
