@@ -10,9 +10,9 @@ document further up, where it does not overlap.
 
 A passage ends less than a window outside its outermost seeds. Around those seeds
 every document that holds them next to the same word (by a hash of one byte, so a
-common line is not listed everywhere) lists its words outwards, one run for each length,
-and the longest run that stands in an earlier place as well is taken, so passages
-are cut to the word.
+common line is not listed everywhere) lists its words outwards, packed in one row.
+Equal rows fold, prefixes that two folds share are joined, and the longest one that
+stands in an earlier place as well is taken, so passages are cut to the word.
 
 The few digests with over a thousandth of all marks are joined apart, where Spark
 sees a small table and broadcasts it, and the others by shuffle, so a line that is everywhere stays spread over the tasks.
@@ -44,12 +44,13 @@ _UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
 #: Digests with more than one in so many of all units are joined apart from the others.
 MOST_FREQUENT = 1000
 _MARK_SCHEMA = (
-    "doc_id long, version long, seed boolean, first long, second long, at int, words int, begin int, stop int, again boolean, "
-    "before int, after int"
+    "doc_id long, version long, seed boolean, first long, second long, at int, words int, again boolean, before int, after int"
 )
 _AROUND_SCHEMA = (
-    "doc_id long, version long, first long, side int, delta int, hash long, at int, words int, begin int, stop int, again boolean"
+    "doc_id long, version long, first long, side int, at int, prefixes binary, again int"
 )
+#: Bytes that are kept of the hash of a seed with the words beside it.
+_HASH_BYTES = 5
 #: Whether a code point, up to the last one that is white space, is white space.
 _IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 
@@ -115,10 +116,10 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
         whole = []
         for doc_id, version, text in part.itertuples(index=False):
             seen, phrases, at = set(), [], 0
-            for begin, end, words in cut_units(text):
+            for _, _, words in cut_units(text):
                 phrases.append(" ".join(words))
                 digest = hashlib.md5(phrases[-1].encode("utf-8", "replace"), usedforsecurity=False).digest()
-                row = (doc_id, version, False, *struct.unpack("<qq", digest), at, len(words), begin, end, digest in seen, -1, -1)
+                row = (doc_id, version, False, *struct.unpack("<qq", digest), at, len(words), digest in seen, -1, -1)
                 seen.add(digest)
                 at += len(words)
                 for column, value in zip(columns, row):
@@ -132,13 +133,12 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
         chosen = winnow(grams, first, size)
         text = np.searchsorted(first, chosen, side="right") - 1
         at = chosen - first[text]
-        begins, ends = _word_places(part["text"].tolist())
         place = offsets[text] + at
         beside = lambda k, inside: np.where(inside, (words[np.where(inside, k, 0)] >> np.uint64(56)).astype(int), -1)
         return pd.DataFrame({
             "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text], "seed": True,
             "first": grams[chosen].view(np.int64), "second": 0, "at": at, "words": size,
-            "begin": begins[place], "stop": ends[place + size - 1], "again": _earlier([text, grams[chosen]], at, size),
+            "again": _earlier([text, grams[chosen]], at, size),
             "before": beside(place - 1, at > 0), "after": beside(place + size, place + size < offsets[text + 1]),
         })
 
@@ -186,41 +186,97 @@ def _extended(docs: DataFrame, rows: DataFrame, repeated: DataFrame, size: int)
     held = held.filter("left OR right").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "at", "left", "right")).alias("held"))
     held = settle(held, "dedup-held")
     release(docs.sparkSession)
+    around = settle(_keyed(docs).join(held, ["doc_id", "version"]).mapInPandas(_around(size), _AROUND_SCHEMA), "dedup-around", records=1000)
+    release(docs.sparkSession)
+    return _reached(around, size)
+
+
+def _around(size: int):
+    """The words outside every held seed in one row: hashes of the seed with 1, 2, ... of them."""
     names = [x.split()[0] for x in _AROUND_SCHEMA.split(", ")]
 
+    def packed(matrix: np.ndarray, counts: np.ndarray, width: int) -> list[bytes]:
+        data, step = np.ascontiguousarray(matrix).tobytes(), matrix.shape[1] * width
+        return [data[k * step : k * step + n * width] for k, n in enumerate(counts.tolist())]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part, _ in slices(frame, 1 << 20):
                 texts = part["text"].tolist()
                 words, offsets = _words([" ".join(t.lower().split()) for t in texts])
-                begins, ends = _word_places(texts)
                 wanted = [
                     (k, h["first"], h["at"], side) for k, held in enumerate(part["held"]) for h in held
                     for side in (0, 1) if h["right" if side else "left"]
                 ]
+                if not wanted:
+                    continue
                 text, first, at, side = (np.array(c, np.int64) for c in zip(*wanted))
                 low, high = offsets[text] + at, offsets[text] + at + size
-                hashes = first.view(np.uint64).copy()
+                chain, counts, again = first.view(np.uint64).copy(), np.zeros(text.size, np.int64), np.zeros(text.size, np.int64)
+                hashes = np.zeros((text.size, size - 1), np.uint64)
+                # Only a seed that a text holds twice can have its surroundings there again.
+                _, kind, times = np.unique(np.stack([text, first, side]), axis=1, return_inverse=True, return_counts=True)
+                twice = np.flatnonzero(times[kind.ravel()] > 1)
                 for delta in range(1, size):
                     place = np.where(side == 0, low - delta, high + delta - 1)
                     inside = (place >= offsets[text]) & (place < offsets[text + 1])
-                    text, first, at, side, low, high, hashes, place = (
-                        x[inside] for x in (text, first, at, side, low, high, hashes, place)
-                    )
-                    if not text.size:
+                    if not inside.any():
                         break
-                    hashes = mix(mix(hashes) ^ words[place])
-                    yield pd.DataFrame({
-                        "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text], "first": first,
-                        "side": side, "delta": delta, "hash": hashes.view(np.int64), "at": np.where(side == 0, at - delta, at),
-                        "words": size + delta, "begin": begins[np.where(side == 0, place, low)],
-                        "stop": ends[np.where(side == 0, high - 1, place)],
-                        "again": _earlier([text, first, side, hashes], at, size + delta),
-                    })[names]
-
-    around = settle(_keyed(docs).join(held, ["doc_id", "version"]).mapInPandas(run, _AROUND_SCHEMA), "dedup-around")
-    release(docs.sparkSession)
-    return _repeated(around, ["first", "side", "delta", "hash"], "around-holders")
+                    place = np.where(inside, place, 0)
+                    chain = np.where(inside, mix(mix(chain) ^ words[place]), chain)
+                    hashes[:, delta - 1] = chain
+                    counts += inside
+                    here = twice[inside[twice]]
+                    if here.size:
+                        begin = np.where(side == 0, at - delta, at)[here]
+                        same = _earlier([text[here], first[here], side[here], chain[here]], begin, size + delta)
+                        again[here[same]] = delta
+                upper = hashes.astype("<u8").view(np.uint8).reshape(text.size, size - 1, 8)[:, :, 8 - _HASH_BYTES :]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text], "first": first,
+                    "side": side, "at": at, "prefixes": packed(upper, counts, _HASH_BYTES), "again": again,
+                })[names]
+
+    return run
+
+
+def _reached(around: DataFrame, size: int) -> DataFrame:
+    """Every seed with the most words beside it that an earlier place has too.
+
+    Equal surroundings fold to one row first. A later document of a fold is
+    repeated in full; for its first document the fold's prefixes are compared
+    with those of the other folds of the seed, and only prefixes that two folds
+    share are joined.
+    """
+    fold = ["first", "side", "prefixes"]
+    folds = around.filter(F.length("prefixes") > 0).groupBy(*fold).agg(F.min("doc_id").alias("least"))
+    folds = settle(folds, "dedup-folds")
+    release(around.sparkSession)
+    step = F.explode(F.sequence(F.lit(1), (F.length("prefixes") / _HASH_BYTES).cast("int")))
+    key = ["first", "side", "delta", "hash"]
+    prefix = F.expr(f"substring(prefixes, {_HASH_BYTES} * (delta - 1) + 1, {_HASH_BYTES})")
+    each = folds.select("*", step.alias("delta")).withColumn("hash", prefix)
+    shared = each.groupBy(*key).agg(F.min("least").alias("kept_in"), F.count("*").alias("n")).filter("n > 1")
+    shared = settle(shared, "dedup-shared")
+    release(around.sparkSession)
+    total = folds.agg(F.sum(F.length("prefixes") / _HASH_BYTES)).first()[0] or 0
+    near = _spread_join(each, shared, key, total).filter("kept_in < least")
+    reach = near.groupBy(*fold).agg(F.max(F.struct("delta", "kept_in")).alias("reach"))
+    known = settle(folds.join(reach, fold, "left"), "dedup-reach")
+    release(around.sparkSession)
+    most = (F.length("prefixes") / _HASH_BYTES).cast("int")
+    earlier = F.col("doc_id") > F.col("least")
+    delta = F.greatest("again", F.when(earlier, most).otherwise(F.coalesce("reach.delta", F.lit(0))))
+    holder = F.when(earlier, F.col("least")).when(F.coalesce("reach.delta", F.lit(0)) >= F.col("again"), F.col("reach.kept_in"))
+    rows = around.join(known, fold).select(
+        "doc_id", "version", "side", "at", delta.alias("delta"), F.coalesce(holder, F.col("doc_id")).alias("kept_in")
+    )
+    return rows.filter("delta > 0").select(
+        "doc_id", "version",
+        F.when(F.col("side") == 0, F.col("at") - F.col("delta")).otherwise(F.col("at")).alias("at"),
+        (F.col("delta") + size).alias("words"),
+        "kept_in",
+    )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
@@ -229,24 +285,46 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     rows = marks(docs, size)
     repeated = settle(_repeated(rows, ["first", "second"], "holders"), "dedup-repeated")
     release(docs.sparkSession)
-    columns = ["doc_id", "version", "at", "words", "begin", "stop", "kept_in"]
+    columns = ["doc_id", "version", "at", "words", "kept_in"]
     spans = repeated.select(*columns, "seed").distinct().withColumn("n", F.lit(1)).drop("seed")
     wider = _extended(docs, rows, repeated, size).select(*columns).withColumn("n", F.lit(0))
     order = Window.partitionBy("doc_id", "version").orderBy("at")
     reached = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return (
+    runs = (
         spans.unionByName(wider)
         .withColumn("apart", F.coalesce((F.col("at") > reached).cast("int"), F.lit(1)))
         .withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "version", "run")
         .agg(
-            F.min("begin").alias("begin"), F.max("stop").alias("stop"),
-            (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("n_words"),
+            F.min("at").alias("at"), (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("n_words"),
             F.sum("n").alias("n_units"), F.min("kept_in").alias("kept_in"),
         )
         .filter(F.col("n_words") >= min_words)
-        .select(_real_id("doc_id"), "version", "begin", "stop", "n_words", "n_units", _real_id("kept_in"))
     )
+    runs = settle(runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n_words", "n_units", "kept_in")).alias("runs")), "dedup-passages")
+    release(docs.sparkSession)
+    return _located(docs, runs).select(_real_id("doc_id"), "version", "begin", "stop", "n_words", "n_units", _real_id("kept_in"))
+
+
+def _located(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs of words with their offsets in the original text, in code points; rows that repeat count once."""
+    schema = "doc_id long, version long, begin int, stop int, n_words long, n_units long, kept_in long"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, _ in slices(frame, 1 << 20):
+                begins, ends = _word_places(part["text"].tolist())
+                first, out = 0, []
+                # Words are what split() gives, so counting them finds each text's share of the places.
+                for doc_id, version, text, own in part[["doc_id", "version", "text", "runs"]].itertuples(index=False):
+                    for r in own:
+                        low = first + r["at"]
+                        out.append((doc_id, version, begins[low], ends[low + r["n_words"] - 1], r["n_words"], r["n_units"], r["kept_in"]))
+                    first += len(text.split())
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+    found = _keyed(docs).join(runs, ["doc_id", "version"]).mapInPandas(run, schema)
+    return settle(found, "dedup-located", records=1000).distinct()
 
 
 def _real_id(column: str):
