@@ -9,8 +9,9 @@ the benchmark items are projected; windows whose cosine with an item reaches
 ``min_cosine`` are candidates. A candidate is confirmed by the longest common subsequence with the
 item, or by a shorter one if the item's answer stands there word for word.
 
-Items are read in blocks of bounded size; each block is compared with all
-documents. Window lengths follow the lengths of the items.
+Items are read in blocks of bounded rows and bytes; each block is compared with
+all documents. Window lengths follow the lengths of the items, those of few words
+included.
 
 Defined cases: null and empty texts or items match nothing; items and documents
 that repeat are judged each (one row per pair); an empty table on either side
@@ -36,8 +37,13 @@ from skyledger.llm.words import ALNUM, word_hashes
 BITS = 16
 RANK = 48
 PASSAGE = 32
-_SLICE = 1 << 18
+#: Bytes of text at a time: in the searches, and in the passes over all passages.
+_SLICE, _PASS_SLICE = 1 << 17, 1 << 18
+#: Bytes of text that one partial sum of the decomposition stands for at least.
+_PART_BYTES = 16 << 20
 _SHORTEST, _GROWTH = 12, 1.5
+#: Places of an item's signature, in which every word of the item has one.
+_SIGNATURE = 1 << 10
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:
@@ -61,21 +67,23 @@ def _entries(words: np.ndarray, offsets: np.ndarray, column: np.ndarray, top: in
     return key[start] // top, key[start] % top, np.diff(np.append(start, key.size)), int(first[-1])
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages that hold each bucket, and the number of passages, over all documents."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Passages that hold each bucket, the number of passages, and the bytes of text, over all documents."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = np.zeros(1 << BITS, np.int64), 0
+        held, total, size = np.zeros(1 << BITS, np.int64), 0, 0
+        places = np.arange(1 << BITS)
         for frame in frames:
-            for _, texts in slices(frame):
-                _, bucket, _, n = _entries(*word_hashes(texts, ALNUM), np.arange(1 << BITS), 1 << BITS)
+            for _, texts in slices(frame, _PASS_SLICE):
+                _, bucket, _, n = _entries(*word_hashes(texts, ALNUM), places, 1 << BITS)
                 held += np.bincount(bucket, minlength=1 << BITS)
                 total += n
-        yield pd.DataFrame({"bucket": np.append(np.arange(1 << BITS), -1), "n": np.append(held, total)})
+                size += sum(map(len, texts))
+        yield pd.DataFrame({"bucket": np.append(places, [-1, -2]), "n": np.append(held, [total, size])})
 
     sums = docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(sums["bucket"].tolist(), sums["n"].tolist()))
-    return np.array([found.get(b, 0) for b in range(1 << BITS)]), found.get(-1, 0)
+    return np.array([found.get(b, 0) for b in range(1 << BITS)]), found.get(-1, 0), found.get(-2, 0)
 
 
 def add_tree(parts: DataFrame, width: int = 64) -> np.ndarray:
@@ -114,8 +122,12 @@ def basis_of(total: np.ndarray) -> np.ndarray:
     return left[:, 1:] / np.maximum(size[1:], 1e-3 * max(size[0], 1e-9))
 
 
-def singular_basis(docs: DataFrame, idf: np.ndarray, column: np.ndarray, seed: int = 11) -> np.ndarray:
-    """Scaled basis (columns x RANK - 1) by one randomised pass over all passages."""
+def singular_basis(docs: DataFrame, idf: np.ndarray, column: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
+    """Scaled basis (columns x RANK - 1) by one randomised pass over all passages.
+
+    Small partitions are joined first, as each task writes a sum of fixed size;
+    ``size`` is the bytes of all texts.
+    """
     spark = docs.sparkSession
     start = np.random.default_rng(seed).normal(size=(idf.size, RANK)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf.astype(np.float32), column, start))
@@ -125,7 +137,7 @@ def singular_basis(docs: DataFrame, idf: np.ndarray, column: np.ndarray, seed: i
         idf, column, start = shared.value
         total, any_rows = np.zeros(start.shape, np.float32), False
         for frame in frames:
-            for _, texts in slices(frame, _SLICE):
+            for _, texts in slices(frame, _PASS_SLICE):
                 passage, own, count, _ = _entries(*word_hashes(texts, ALNUM), column, idf.size)
                 if passage.size:
                     any_rows = True
@@ -137,7 +149,8 @@ def singular_basis(docs: DataFrame, idf: np.ndarray, column: np.ndarray, seed: i
                 "payload": [b.tobytes() for b in np.array_split(total, chunks)],
             })
 
-    parts = settle(docs.select("text").mapInPandas(run, "part int, chunk int, payload binary"), "lsa-partials")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // _PART_BYTES))
+    parts = settle(docs.select("text").coalesce(tasks).mapInPandas(run, "part int, chunk int, payload binary"), "lsa-partials", records=1000)
     if parts.isEmpty():
         return np.zeros((idf.size, RANK - 1))
     return basis_of(add_tree(parts).reshape(idf.size, RANK))
@@ -170,13 +183,18 @@ class Projection:
         return vectors / np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None], 1e-12)
 
 
-def window_sizes(longest: int) -> list[int]:
-    sizes = [_SHORTEST]
-    while sizes[-1] * _GROWTH <= longest:
-        sizes.append(int(sizes[-1] * _GROWTH))
+def window_sizes(longest: int, shortest: int = _SHORTEST) -> list[int]:
+    """Lengths in steps of a half, from the shortest item on where that has under ``_SHORTEST`` words."""
+    sizes = [max(1, min(_SHORTEST, shortest))]
+    while sizes[-1] * _GROWTH <= longest and sizes[-1] < longest:
+        sizes.append(max(sizes[-1] + 1, int(sizes[-1] * _GROWTH)))
     return sizes
 
 
+def _places(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(_SIGNATURE - 1)).astype(np.int64)
+
+
 class Items:
     """A block of benchmark items: words, vectors by window size, and answers."""
 
@@ -188,7 +206,10 @@ class Items:
         found, at = word_hashes(answers, ALNUM)
         self.answers = [found[a:b] if b > a else w[-5:] for a, b, w in zip(at[:-1], at[1:], self.words)]
         length = np.diff(offsets)
-        sizes = np.array(window_sizes(int(length.max(initial=1))))
+        sizes = np.array(window_sizes(int(length.max(initial=1)), int(length[length > 0].min(initial=_SHORTEST))))
+        self.length = length
+        self.signature = np.zeros((length.size, _SIGNATURE), bool)
+        self.signature[np.repeat(np.arange(length.size), length), _places(words)] = True
         nearest = np.maximum(np.searchsorted(sizes, length, side="right") - 1, 0)
         sums, before = projection.sums(words)
         vectors = projection.unit(sums[before[offsets[1:]]] - sums[before[offsets[:-1]]])
@@ -218,10 +239,14 @@ class Items:
         return any(np.array_equal(region[k : k + answer.size], answer) for k in at)
 
 
-def candidates(words: np.ndarray, offsets: np.ndarray, items: Items, projection: Projection, min_cosine: float) -> pd.DataFrame:
-    """(text, item, begin, end, cosine) of all windows near an item, in order of place."""
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def candidates(words: np.ndarray, offsets: np.ndarray, items: Items, projection: Projection, min_cosine: float) -> Windows:
+    """(text, item, begin, end, cosine) of all windows near an item, by text, item and place."""
     sums, before = projection.sums(words)
-    counts, out = np.diff(offsets), []
+    counts = np.diff(offsets)
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     for size, rows, vectors in items.groups:
         step = max(1, size // 3)
         n = np.where(counts > size, -(-(counts - size) // step) + 1, np.minimum(counts, 1))
@@ -231,41 +256,62 @@ def candidates(words: np.ndarray, offsets: np.ndarray, items: Items, projection:
         end = np.minimum(begin + size, offsets[text + 1])
         for k in range(0, begin.size, 1 << 11):
             b, e = begin[k : k + (1 << 11)], end[k : k + (1 << 11)]
-            near = projection.unit(sums[before[e]] - sums[before[b]]) @ vectors.T
-            w, i = np.nonzero(near >= min_cosine)
-            out.append(pd.DataFrame({"text": text[k + w], "item": rows[i], "begin": b[w], "end": e[w], "cosine": near[w, i]}))
-    found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("text", "item", "begin", "end", "cosine")})
-    return found.sort_values(["text", "item", "begin"], kind="stable")
-
-
-def confirm(words: np.ndarray, offsets: np.ndarray, items: Items, near: pd.DataFrame, min_common: float, min_answered: float) -> list[tuple]:
+            window = sums[before[e]] - sums[before[b]]
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
+            dots = window @ vectors.T
+            w, i = np.nonzero(dots >= (min_cosine * norm)[:, None])
+            for column, found in zip(out, (text[k + w], rows[i], b[w], e[w], dots[w, i] / norm[w])):
+                column.append(found)
+    text, item, begin, end, cosine = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+    order = np.lexsort((begin, item, text))
+    return text[order], item[order], begin[order], end[order], cosine[order]
+
+
+def regions(words: np.ndarray, offsets: np.ndarray, items: Items, near: Windows, least: float) -> list[tuple]:
+    """(text, item, low, high, cosine) of joined windows, with an item's length on either side.
+
+    No subsequence is longer than the words there that the item's signature has,
+    so a region where these are fewer than ``least`` of the item is left out.
+    """
+    text, item, begin, end, cosine = near
+    if not text.size:
+        return []
+    own = items.length[item]
+    new = np.ones(text.size, bool)
+    # Windows of an item have one size, so their ends rise with their begins.
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1] + own[1:])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], text.size) - 1
+    text, item, own, top = text[first], item[first], own[first], np.maximum.reduceat(cosine, first)
+    low = np.maximum(offsets[text], begin[first] - own)
+    high = np.minimum(offsets[text + 1], end[last] + own)
+    place = _places(words)
+    found = np.zeros(first.size, np.int64)
+    for k in range(0, first.size, 1 << 12):  # bounded, as a region may be a whole text
+        part = slice(k, k + (1 << 12))
+        size = high[part] - low[part]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(low[part] - (ends - size), size)
+        hit = items.signature[np.repeat(item[part], size), place[at]]
+        found[part] = np.add.reduceat(hit, ends - size, dtype=np.int64)
+    keep = np.flatnonzero(found >= least * own - 1e-9)
+    return list(zip(*(x[keep].tolist() for x in (text, item, low, high, top))))
+
+
+def confirm(words: np.ndarray, offsets: np.ndarray, items: Items, near: Windows, min_common: float, min_answered: float) -> list[tuple]:
     """(text, item, begin word, end word, cosine, common share, answered) of the best place of each confirmed pair."""
     best: dict[tuple[int, int], tuple] = {}
-    region: list | None = None
-
-    def close() -> None:
-        text, item, begin, end, cosine = region
-        own = items.words[item]
-        low, high = max(int(offsets[text]), begin - own.size), min(int(offsets[text + 1]), end + own.size)
-        here = words[low:high]
-        if len(items.lists[item]) - sum(map(set(here.tolist()).__contains__, items.lists[item])) > (1 - min_answered) * own.size:  # no subsequence can be longer than that
-            return
+    for text, item, low, high, cosine in regions(words, offsets, items, near, min(min_common, min_answered)):
+        own, here = items.words[item], words[low:high]
+        shared = sum(map(set(here.tolist()).__contains__, items.lists[item]))
+        if shared < min(min_common, min_answered) * own.size - 1e-9:  # no subsequence can be longer than that
+            continue
         common = items.common_subsequence(item, here) / own.size
         answered = common >= min_answered and items.answered(item, here)
         if common >= min_common or answered:
-            row = (text, item, low - int(offsets[text]), high - int(offsets[text]), float(cosine), common, bool(answered))
+            row = (text, item, low - int(offsets[text]), high - int(offsets[text]), cosine, common, bool(answered))
             if (text, item) not in best or common > best[text, item][5]:
                 best[text, item] = row
-
-    for text, item, begin, end, cosine in near.itertuples(index=False):
-        if region and region[:2] == [text, item] and begin <= region[3] + items.words[item].size:
-            region[3], region[4] = max(region[3], end), max(region[4], cosine)
-        else:
-            if region:
-                close()
-            region = [text, item, begin, end, cosine]
-    if region:
-        close()
     return list(best.values())
 
 
@@ -274,10 +320,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.62
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    held, total = document_frequencies(docs)
+    held, total, size = document_frequencies(docs)
     column = held_columns(held)
     idf = np.log((total + 1) / (held[column >= 0] + 1)) + 0.1
-    basis = singular_basis(docs, idf, column)
+    basis = singular_basis(docs, idf, column, size)
     shared = spark.sparkContext.broadcast(Projection(column, (basis * idf[:, None]).astype(np.float32)))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     schema = "doc_id long, item_id long, begin_word long, end_word long, cosine double, common_share double, answered boolean"
@@ -308,20 +354,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.62
     return out
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[tuple[list, list[bytes], list[bytes]]]:
-    """Items in blocks of at most ``size`` rows; the driver holds one block at a time."""
+def _blocks(items: DataFrame, size: int, bytes_: int = 8 << 20) -> Iterator[tuple[list, list[bytes], list[bytes]]]:
+    """Items in blocks of at most ``size`` rows and about ``bytes_`` of text; the driver holds one at a time."""
     encode = lambda t: (t or "").encode("utf-8", "replace")
     block: tuple[list, list[bytes], list[bytes]] = ([], [], [])
+    held = 0
     for item_id, text, answer in items.toLocalIterator():
         block[0].append(item_id), block[1].append(encode(text)), block[2].append(encode(answer))
-        if len(block[0]) == size:
+        held += len(block[1][-1]) + len(block[2][-1])
+        if len(block[0]) == size or held >= bytes_:
             yield block
-            block = ([], [], [])
+            block, held = ([], [], []), 0
     if block[0]:
         yield block
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay."""
-    found = settle(contaminated(docs, benchmark, **options).select("doc_id"), "leaked-ids")
+    found = settle(contaminated(docs, benchmark, **options).select("doc_id"), "leaked-ids", records=1000)
     return semi_join_null_safe(docs, found, "doc_id", "left_anti")
