@@ -161,15 +161,15 @@ def _spread_join(rows: DataFrame, keyed: DataFrame, columns: list[str], total: i
     return rows.join(hot, columns).unionByName(rare)
 
 
-def _repeated(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """The rows whose key an earlier document has, or the same document further up."""
+def _shared(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """The rows whose key stands in two places or more, with the lowest doc_id that has it."""
     holders = rows.groupBy(*columns).agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
     holders = settle(holders.filter("n > 1"), f"dedup-{label}")
     release(rows.sparkSession)
-    return _spread_join(rows, holders, columns, rows.count()).filter("again OR doc_id > kept_in")
+    return _spread_join(rows, holders, columns, rows.count())
 
 
-def _extended(docs: DataFrame, rows: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+def _extended(docs: DataFrame, shared: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
     """The outermost repeated seeds (side 0 left, 1 right) with the words outside that are repeated too."""
     order = Window.partitionBy("doc_id", "version").orderBy("at")
     seeds = repeated.filter("seed").select("doc_id", "version", "first", "at", "n", "before", "after").distinct()
@@ -181,7 +181,7 @@ def _extended(docs: DataFrame, rows: DataFrame, repeated: DataFrame, size: int)
     )
     outer = outer.filter("left IS NOT NULL OR right IS NOT NULL").groupBy("first")
     outer = settle(outer.agg(F.max("n").alias("n"), F.collect_set("left").alias("lefts"), F.collect_set("right").alias("rights")), "dedup-outer")
-    held = _spread_join(rows.filter("seed").select("doc_id", "version", "first", "at", "before", "after"), outer, ["first"], rows.count())
+    held = _spread_join(shared.filter("seed").select("doc_id", "version", "first", "at", "before", "after"), outer, ["first"], shared.count())
     held = held.withColumn("left", F.array_contains("lefts", F.col("before"))).withColumn("right", F.array_contains("rights", F.col("after")))
     held = held.filter("left OR right").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "at", "left", "right")).alias("held"))
     held = settle(held, "dedup-held")
@@ -283,11 +283,12 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """The passages to remove: doc_id, offsets, size, marks inside, and the lowest doc_id that keeps part of them."""
     size = seed_size(min_words)
     rows = marks(docs, size)
-    repeated = settle(_repeated(rows, ["first", "second"], "holders"), "dedup-repeated")
+    shared = settle(_shared(rows, ["first", "second"], "holders"), "dedup-repeated")
     release(docs.sparkSession)
+    repeated = shared.filter("again OR doc_id > kept_in")
     columns = ["doc_id", "version", "at", "words", "kept_in"]
     spans = repeated.select(*columns, "seed").distinct().withColumn("n", F.lit(1)).drop("seed")
-    wider = _extended(docs, rows, repeated, size).select(*columns).withColumn("n", F.lit(0))
+    wider = _extended(docs, shared, repeated, size).select(*columns).withColumn("n", F.lit(0))
     order = Window.partitionBy("doc_id", "version").orderBy("at")
     reached = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = (
