@@ -70,7 +70,15 @@ def settle(df: DataFrame, label: str, partition_by: str | None = None, records:
     writer = df.write.option("compression", "zstd")
     with arrow_records(spark, records):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._settled_at = path
+    return stored
+
+
+def emptied(settled: DataFrame) -> None:
+    """Overwrite a settled table with nothing once no later step reads it, so that its space is free."""
+    spark = settled.sparkSession
+    spark.createDataFrame([], settled.schema).write.mode("overwrite").parquet(settled._settled_at)
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:

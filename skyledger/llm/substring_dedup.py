@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import release, settle, ship, slices
+from skyledger.llm.common import emptied, release, settle, ship, slices
 from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
 _UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
@@ -284,6 +284,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     size = seed_size(min_words)
     rows = marks(docs, size)
     shared = settle(_shared(rows, ["first", "second"], "holders"), "dedup-repeated")
+    emptied(rows)  # later steps read the shared marks only
     release(docs.sparkSession)
     repeated = shared.filter("again OR doc_id > kept_in")
     columns = ["doc_id", "version", "at", "words", "kept_in"]
