@@ -12,7 +12,8 @@
    another centre in every bucket, compare what is still in different classes.
    Texts of buckets that still hold different classes are then joined by the
    rarest of their shingles: two texts that reach the similarity share one of
-   them, so no two of these texts stay uncompared that could be linked.
+   them, and from the first one on either still has the weight that they must
+   share, so no two of these texts stay uncompared that could be linked.
 4. Classes are connected components of the links, found by alternating star steps.
 
 Exact copies share a digest and are never compared.
@@ -41,6 +42,8 @@ from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
 SIZE = 5
 BANDS, ROWS = 16, 3
+#: A round that links fewer than one in so many of its pairs is the last; what is apart then is joined by shingles.
+FEW_LINKS = 20
 #: How much more the rarest shingle weighs than the commonest.
 RARITY = 0.25
 _KEY_BYTES = 5
@@ -160,8 +163,8 @@ def shingle_weight(count: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray
     return count * (1.0 + RARITY * np.log(np.maximum(n_docs / df, 1.0)) / np.log(max(n_docs, 3)))
 
 
-def front(hashes: np.ndarray, weights: np.ndarray, df: np.ndarray, whole: float, similarity: float) -> bytes:
-    """A bit for each shared shingle that is among the text's rarest ones.
+def front(hashes: np.ndarray, weights: np.ndarray, df: np.ndarray, whole: float, similarity: float) -> tuple[bytes, bytes]:
+    """A bit for each shared shingle that is among the text's rarest ones, and the weight from each of those on.
 
     Shingles are ordered by df and hash, those of no other text first. The front
     ends where what lies behind it weighs less than ``similarity`` of the text. If
@@ -169,12 +172,10 @@ def front(hashes: np.ndarray, weights: np.ndarray, df: np.ndarray, whole: float,
     have is in the front of either, for else all they share would lie behind one.
     """
     order = np.lexsort((hashes, df))
-    behind = weights.sum() - np.cumsum(weights[order])
-    short = behind < similarity * whole * (1 - 1e-6)
-    n = int(np.argmax(short)) + 1 if short.any() else order.size
-    bits = np.zeros(order.size, bool)
-    bits[order[:n]] = True
-    return np.packbits(bits).tobytes()
+    rest = np.empty(order.size)
+    rest[order] = weights.sum() - np.cumsum(weights[order]) + weights[order]
+    bits = rest >= similarity * whole * (1 - 1e-6)
+    return np.packbits(bits).tobytes(), rest[bits].astype(np.float32).tobytes()
 
 
 def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -194,7 +195,7 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 <<
     release(docs.sparkSession)
 
     def run(key: tuple, frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        columns = ["block", "node", "weight", "hashes", "weights", "front", "keys"]
+        columns = ["block", "node", "weight", "common", "hashes", "weights", "front", "rests", "keys"]
         h, row, count = _sorted_pairs(*_block_shingles(frame))
         if not h.size or not len(back):
             return pd.DataFrame([], columns=columns)
@@ -222,13 +223,13 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 <<
             for j, (low, high) in enumerate(zip(b, np.append(b[1:], stop))):
                 doc = row[low]
                 out.append((
-                    key[0], frame["node"].iloc[doc], float(whole[doc]), _pack(h[low:high] >> np.uint64(24), _KEY_BYTES),
+                    key[0], frame["node"].iloc[doc], float(whole[doc]), float(common[doc]), _pack(h[low:high] >> np.uint64(24), _KEY_BYTES),
                     w[low:high].astype(np.float32).tobytes(),
-                    front(h[low:high], w[low:high], df[low:high], float(whole[doc]), similarity), bands[j].view(np.int64).tolist(),
+                    *front(h[low:high], w[low:high], df[low:high], float(whole[doc]), similarity), bands[j].view(np.int64).tolist(),
                 ))
         return pd.DataFrame(out, columns=columns)
 
-    schema = "block int, node string, weight double, hashes binary, weights binary, front binary, keys array<long>"
+    schema = "block int, node string, weight double, common double, hashes binary, weights binary, front binary, rests binary, keys array<long>"
     found = placed.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, schema)
     return settle(found.withColumn("id", F.xxhash64("node")), "near-candidates")
 
@@ -270,13 +271,12 @@ def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): the least id of its component.
 
-    Alternates large-star and small-star steps over settled edges until nothing
-    changes; a hub's edges are folded by partial aggregation.
+    Alternates large-star and small-star steps over settled edges until every
+    edge leads from a node with one edge to a least id; a hub's edges are folded
+    by partial aggregation.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "star")
-    seal = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    mark = seal()
-    while True:
+    while _unfinished(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -284,36 +284,44 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = settle(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "star")
-        now = seal()
-        if now == mark:
-            break
-        mark = now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     )
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has two edges to lower ids, or one and one from a higher id."""
+    up = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 OR up = 1 AND down = 1").count() > 0
+
+
 def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) -> DataFrame | None:
     """(id, root) of the texts that have a link to a different text; id is the xxhash64 of the md5 of the text."""
     spark = docs.sparkSession
     found = candidates(docs, similarity, **sizes)
     release(spark)
-    home = found.groupBy("id").agg(F.min("block").alias("block"), F.min("weight").alias("weight"))
-    members = settle(found.select("id", F.explode("keys").alias("key")).distinct().join(home, "id"), "near-members")
+    home = found.groupBy("id").agg(F.min(F.struct("block", "weight", "common", "keys")).alias("h"))
+    members = settle(home.select("id", F.explode(F.array_distinct("h.keys")).alias("key"), "h.block", "h.weight", "h.common"), "near-members")
     known = None
     for turn in range(rounds):
         own = members.withColumn("root", F.col("id"))
         if known is not None:
             own = members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))).alias("o"), "id", "root", "block", "weight")
+        order = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))).alias("o"), "id", "root", "block", "weight", "common")
         centre = own.groupBy("key").agg(F.min(order).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
         centre = centre.filter("low <> high").select("key", "c")
-        pairs = _apart(own.join(centre, "key"), similarity)
-        new = settle(_verified(settle(pairs, "near-pairs"), found, similarity), "near-links", records=PAIRS)
-        if not new.isEmpty():
+        pairs = _apart(own.join(centre, "key"), "common", similarity)
+        pairs = settle(pairs, "near-pairs")
+        new = settle(_verified(pairs, found, similarity), "near-links", records=PAIRS)
+        if linked := new.count():
             known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
+        done = linked * FEW_LINKS < pairs.count()
         del own, centre, pairs
         release(spark)  # the sets that this round exchanged
+        if done:
+            break
     new = settle(_verified(settle(_open_pairs(found, members, known, similarity), "near-pairs"), found, similarity), "near-links", records=PAIRS)
     if not new.isEmpty():
         known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
@@ -321,12 +329,15 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
     return known
 
 
-def _apart(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of a member and ``c`` that are in different classes and may be similar, once each."""
+def _apart(pairs: DataFrame, bound: str, similarity: float) -> DataFrame:
+    """The pairs of a member and ``c`` that are in different classes and may be similar, once each.
+
+    The column ``bound`` has the most that a text can share with the other one.
+    """
+    least = (similarity - 1e-5) / (1 + similarity - 1e-5)  # of both weights
     return (
         pairs.filter(F.col("root") != F.col("c.root"))
-        # The smaller total weight bounds what two texts share.
-        .filter(F.least("weight", "c.weight") >= (similarity - 1e-6) * F.greatest("weight", "c.weight"))
+        .filter(F.least(bound, f"c.{bound}") >= least * (F.col("weight") + F.col("c.weight")))
         .select(
             F.col("id").alias("a"), F.col("block").alias("a_block"), F.col("root").alias("a_root"),
             F.col("c.id").alias("b"), F.col("c.block").alias("b_block"), F.col("c.root").alias("b_root"),
@@ -338,8 +349,10 @@ def _apart(pairs: DataFrame, similarity: float) -> DataFrame:
 def _open_pairs(found: DataFrame, members: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
     """Pairs of different classes that share a shingle of both fronts, among texts of undecided buckets.
 
-    Texts of one template share its shingles, but these are the common ones and
-    stand behind the fronts, so the pairs grow with what texts have of their own.
+    At the first shingle that two similar texts share, either has at least the
+    weight left that they must share. In a group of near copies or of one template
+    each text has spent weight on changes of its own before it comes to the shingles
+    of the group, so only pairs with few changes in both are left to compare.
     """
     own = members.withColumn("root", F.col("id"))
     if known is not None:
@@ -349,20 +362,20 @@ def _open_pairs(found: DataFrame, members: DataFrame, known: DataFrame | None, s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            held = []
-            for hashes, bits in zip(frame["hashes"], frame["front"]):
+            held, rests = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+            for hashes, bits, rest in zip(frame["hashes"], frame["front"], frame["rests"]):
                 all_ = _unpack(hashes, _KEY_BYTES)
                 held.append(all_[np.unpackbits(np.frombuffer(bits, np.uint8), count=all_.size).view(bool)].astype(np.int64))
-            sizes = [x.size for x in held]
-            out = frame[["id", "block", "root", "weight"]].loc[frame.index.repeat(sizes)].reset_index(drop=True)
-            yield out.assign(shingle=np.concatenate(held) if held else np.zeros(0, np.int64))
+                rests.append(np.frombuffer(rest, np.float32))
+            out = frame[["id", "block", "root", "weight"]].loc[frame.index.repeat([x.size for x in held[1:]])].reset_index(drop=True)
+            yield out.assign(shingle=np.concatenate(held), rest=np.concatenate(rests))
 
-    sets = found.select("id", "block", "hashes", "front").join(texts, ["id", "block"]).select("id", "block", "root", "weight", "hashes", "front")
-    fronts = settle(sets.mapInPandas(run, "id long, block int, root long, weight double, shingle long"), "near-fronts", records=1000)
+    sets = found.select("id", "block", "hashes", "front", "rests").join(texts, ["id", "block"])
+    fronts = settle(sets.mapInPandas(run, "id long, block int, root long, weight double, shingle long, rest float"), "near-fronts", records=1000)
     met = fronts.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     met = settle(fronts.join(met.select("shingle"), "shingle"), "near-met")
-    right = met.select("shingle", F.struct("id", "root", "block", "weight").alias("c"))
-    return _apart(met.join(right, "shingle").filter("id < c.id"), similarity)
+    right = met.select("shingle", F.struct("id", "root", "block", "weight", "rest").alias("c"))
+    return _apart(met.join(right, "shingle").filter("id < c.id"), "rest", similarity)
 
 
 def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:

@@ -278,6 +278,45 @@ def test_pairs_inside_a_template_group_are_all_found(spark):
     assert {r.doc_id: r.class_id for r in out} == want and len(set(want.values())) > 200
 
 
+def near_copies(count):
+    """Texts of one base with one to six changed words, most of them under 0.8 similar to each other, and all classes."""
+    rng = random.Random(25)
+    base, texts = [f"b{k}" for k in range(160)], []
+    for number in range(count):
+        words = list(base)
+        for k in rng.sample(range(160), rng.randint(1, 6)):
+            words[k] = f"c{number}x{k}"
+        texts.append(" ".join(words))
+    column: dict = {}
+    held = [[column.setdefault(tuple(w[k : k + 5]), len(column)) for k in range(len(w) - 4)] for w in map(str.split, texts)]
+    sets = np.zeros((count, len(column)), np.float32)
+    for row, own in zip(sets, held):
+        row[own] = 1
+    weight = near_dedup.shingle_weight(1, sets.sum(axis=0), count)
+    common = (sets * weight) @ sets.T
+    near = common / (np.diag(common)[:, None] + np.diag(common) - common) >= 0.8
+    root = np.arange(count)
+    while (low := np.array([root[row].min() for row in near])).tolist() != root.tolist():
+        root = low
+    return texts, dict(enumerate(root.tolist()))
+
+
+def test_texts_apart_in_a_group_of_near_copies_are_not_compared_in_all_pairs(spark, monkeypatch):
+    texts, want = near_copies(600)
+    compared, settled = [], near_dedup.settle
+
+    def settle(df, label, **options):
+        out = settled(df, label, **options)
+        if label == "near-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "settle", settle)
+    out = near_dedup.classes(frame(spark, [(k, t, "en") for k, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.class_id for r in out} == want and len(set(want.values())) > 200
+    assert sum(compared) < 30 * len(texts)  # of 179,700 pairs
+
+
 def test_repeated_passage_is_cut_from_later_documents(spark):
     rng = random.Random(6)
     passage = prose(rng, 80)
