@@ -27,9 +27,7 @@ columns pass through `remove` unchanged whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +41,8 @@ from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 _UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
 #: Digests with more than one in so many of all units are joined apart from the others.
 MOST_FREQUENT = 1000
-_MARK_SCHEMA = (
-    "doc_id long, version long, seed boolean, first long, second long, at int, words int, again boolean, before int, after int"
-)
+#: A mark's place has its kind, whether it stands further up, its first word and its words, or those beside a seed.
+_MARK_SCHEMA = "doc_id long, version long, first long, second long, place long"
 _AROUND_SCHEMA = (
     "doc_id long, version long, first long, side int, at int, prefixes binary, again int"
 )
@@ -55,15 +52,9 @@ _HASH_BYTES = 5
 _IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
-def cut_units(text: str) -> Iterator[tuple[int, int, str]]:
-    """(begin, end, normalised words) of every unit that has a word; offsets in code points."""
-    begin = 0
-    for gap in _UNIT_END.finditer(text):
-        if words := text[begin : gap.start()].lower().split():
-            yield begin, gap.start(), words
-        begin = gap.end()
-    if words := text[begin:].lower().split():
-        yield begin, len(text), words
+def cut_units(text: str) -> list[int]:
+    """The number of words of every unit that has a word, in the order of the text."""
+    return [n for n in map(len, map(str.split, _UNIT_END.split(text))) if n]
 
 
 def seed_size(min_words: int) -> int:
@@ -106,52 +97,78 @@ def _words(phrases: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([p.replace("\0", "\1").encode("utf-8", "replace") for p in phrases], SPACED)
 
 
+def _unit_digests(words: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every unit: two sums of its words' hashes, each times a random factor of its place in the unit."""
+    if not sizes.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = (np.arange(words.size) - np.repeat(begins, sizes)).astype(np.uint64)
+    halves = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        factor = mix((inside + np.uint64(1)) * np.uint64(salt)) | np.uint64(1)
+        total = np.add.reduceat(mix(words ^ np.uint64(salt)) * factor, begins)
+        halves.append(mix(total ^ mix(sizes.astype(np.uint64) * np.uint64(salt))).view(np.int64))
+    return halves[0], halves[1]
+
+
 def marks(docs: DataFrame, size: int) -> DataFrame:
-    """One row per unit and per seed of ``size`` words of every whole text, settled."""
+    """One row per unit and per seed of ``size`` words of every whole text, settled; `_opened` has the columns of a place."""
     ship(docs.sparkSession)
-    names = [x.split()[0] for x in _MARK_SCHEMA.split(", ")]
-
-    def units(part: pd.DataFrame) -> tuple[pd.DataFrame, list[str]]:
-        columns: list[list] = [[] for _ in names]
-        whole = []
-        for doc_id, version, text in part.itertuples(index=False):
-            seen, phrases, at = set(), [], 0
-            for _, _, words in cut_units(text):
-                phrases.append(" ".join(words))
-                digest = hashlib.md5(phrases[-1].encode("utf-8", "replace"), usedforsecurity=False).digest()
-                row = (doc_id, version, False, *struct.unpack("<qq", digest), at, len(words), digest in seen, -1, -1)
-                seen.add(digest)
-                at += len(words)
-                for column, value in zip(columns, row):
-                    column.append(value)
-            whole.append(" ".join(phrases))
-        return pd.DataFrame(dict(zip(names, columns))), whole
-
-    def seeds(part: pd.DataFrame, whole: list[str]) -> pd.DataFrame:
-        words, offsets = _words(whole)
+
+    def rows(part: pd.DataFrame, text: np.ndarray, first: np.ndarray, second: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text],
+            "first": first, "second": second, "place": place,
+        })
+
+    def units(part: pd.DataFrame, lower: list[str], words: np.ndarray) -> pd.DataFrame:
+        cut = [cut_units(t) for t in lower]
+        text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        sizes = np.array([n for c in cut for n in c], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        of_text = np.array([sum(c) for c in cut], np.int64)
+        first, second = _unit_digests(words, begins, sizes)
+        at = begins - (np.cumsum(of_text) - of_text)[text]
+        again = pd.DataFrame({"t": text, "a": first, "b": second}).duplicated().to_numpy().astype(np.int64)
+        return rows(part, text, first, second, again << 1 | at << 2 | sizes << 33)
+
+    def seeds(part: pd.DataFrame, words: np.ndarray, offsets: np.ndarray) -> pd.DataFrame:
         grams, first = shingle_hashes(words, offsets, size)
         chosen = winnow(grams, first, size)
         text = np.searchsorted(first, chosen, side="right") - 1
         at = chosen - first[text]
         place = offsets[text] + at
-        beside = lambda k, inside: np.where(inside, (words[np.where(inside, k, 0)] >> np.uint64(56)).astype(int), -1)
-        return pd.DataFrame({
-            "doc_id": part["doc_id"].to_numpy()[text], "version": part["version"].to_numpy()[text], "seed": True,
-            "first": grams[chosen].view(np.int64), "second": 0, "at": at, "words": size,
-            "again": _earlier([text, grams[chosen]], at, size),
-            "before": beside(place - 1, at > 0), "after": beside(place + size, place + size < offsets[text + 1]),
-        })
+        beside = lambda k, inside: np.where(inside, (words[np.where(inside, k, 0)] >> np.uint64(56)).astype(int) + 1, 0)
+        before, after = beside(place - 1, at > 0), beside(place + size, place + size < offsets[text + 1])
+        again = np.asarray(_earlier([text, grams[chosen]], at, size)).astype(np.int64)
+        packed = 1 | again << 1 | at << 2 | before << 33 | after << 42
+        return rows(part, text, grams[chosen].view(np.int64), np.zeros(chosen.size, np.int64), packed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part, _ in slices(frame, 1 << 20):
-                own, whole = units(part)
-                yield own
-                yield seeds(part, whole)
+                lower = [t.lower() for t in part["text"]]
+                words, offsets = _words([" ".join(t.split()) for t in lower])
+                yield units(part, lower, words)
+                if words.size:
+                    yield seeds(part, words, offsets)
 
     return settle(_keyed(docs).mapInPandas(run, _MARK_SCHEMA), "dedup-marks")
 
 
+def _opened(marked: DataFrame, size: int) -> DataFrame:
+    """``marked`` with the columns of its packed places."""
+    seed = F.col("place").bitwiseAND(1) == 1
+    upper = F.shiftright("place", 33)
+    beside = lambda c: F.when(seed, c.bitwiseAND(511).cast("int") - 1).otherwise(-1)
+    return marked.select(
+        "doc_id", "version", "first", "second", "kept_in", "n", seed.alias("seed"),
+        (F.col("place").bitwiseAND(2) != 0).alias("again"),
+        F.shiftright("place", 2).bitwiseAND(2**31 - 1).cast("int").alias("at"),
+        F.when(seed, size).otherwise(upper.cast("int")).alias("words"),
+        beside(upper).alias("before"), beside(F.shiftright("place", 42)).alias("after"),
+    )
+
+
 def _spread_join(rows: DataFrame, keyed: DataFrame, columns: list[str], total: int) -> DataFrame:
     """``rows`` joined with ``keyed``, which has a row and the count ``n`` of each key."""
     frequent = total / MOST_FREQUENT
@@ -283,7 +300,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """The passages to remove: doc_id, offsets, size, marks inside, and the lowest doc_id that keeps part of them."""
     size = seed_size(min_words)
     rows = marks(docs, size)
-    shared = settle(_shared(rows, ["first", "second"], "holders"), "dedup-repeated")
+    shared = settle(_opened(_shared(rows, ["first", "second"], "holders"), size), "dedup-repeated")
     emptied(rows)  # later steps read the shared marks only
     release(docs.sparkSession)
     repeated = shared.filter("again OR doc_id > kept_in")

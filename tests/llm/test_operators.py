@@ -331,6 +331,33 @@ def test_repeated_passage_is_cut_from_later_documents(spark):
     assert out[2].text == texts[2][: runs[0].begin] + texts[2][runs[0].stop :] and out[2].n_chars == len(out[2].text)
 
 
+def test_marks_are_five_longs_and_units_are_told_apart_by_their_words(spark):
+    rng = random.Random(26)
+    pool = [prose(rng, rng.randint(1, 12)).replace(".", "") for _ in range(40)] + ["a b", "b a", "ab", "a  B", "\u0130x \u03a3", "a\u00a0b", "a b\0"]
+    texts = ["".join(rng.choice(pool) + rng.choice((". ", "!\t ", "\n", "\r\n", ".\n\n")) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts += ["", " \n ", "...", "a b a b. A B"]
+    rows = substring_dedup.marks(frame(spark, [(k, t, "en") for k, t in enumerate(texts)]), 13)
+    assert [kind for _, kind in rows.dtypes] == ["bigint"] * 5  # every mark is shuffled twice
+    opened = substring_dedup._opened(rows.withColumns({"kept_in": F.lit(0), "n": F.lit(0)}), 13).collect()
+    got = {(r.doc_id, r["at"]): r for r in opened if not r.seed}
+    phrases: dict = {}
+    for k, text in enumerate(texts):
+        at, seen = 0, set()
+        for unit in re.split(r"(?<=[.!?])[ \t]+|[\r\n]+", text):
+            if words := unit.lower().split():
+                r = got.pop((k, at))
+                phrase = " ".join(words).replace("\0", "\1")
+                assert (r.words, r.again, r.before, r.after) == (len(words), phrase in seen, -1, -1)
+                assert phrases.setdefault(phrase, (r["first"], r.second)) == (r["first"], r.second)
+                seen.add(phrase)
+                at += len(words)
+    assert not got and len(set(phrases.values())) == len(phrases)
+    grams = {(k, i): w[i : i + 13] for k, w in enumerate(t.lower().split() for t in texts) for i in range(len(w) - 12)}
+    seeds = [r for r in opened if r.seed]
+    assert seeds and all(len(grams[r.doc_id, r["at"]]) == r.words == 13 for r in seeds)
+    assert all((r.before < 0) == (r["at"] == 0) and r.before < 256 and (r.after < 0) == ((r.doc_id, r["at"] + 1) not in grams) for r in seeds)
+
+
 def test_passages_over_cut_sentences_are_removed_to_the_word(spark):
     rng = random.Random(16)
     plain = lambda tag, n: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
