@@ -66,10 +66,15 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     """Places with the least hash, the last of equal ones, of any window inside a text."""
     if hashes.size < window:
         return np.zeros(0, np.int64)
-    least = np.argmin(np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1], axis=1)
-    begin = np.arange(least.size)
-    inside = begin + window <= np.repeat(offsets[1:], np.diff(offsets))[: begin.size]
-    return np.unique((begin + window - 1 - least)[inside])
+    least, at, width = hashes, np.arange(hashes.size), 1
+    while width < window:
+        step = min(width, window - width)
+        later = least[step:] <= least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        width += step
+    inside = np.arange(at.size) + window <= np.repeat(offsets[1:], np.diff(offsets))[: at.size]
+    at = at[inside]
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]  # they ascend
 
 
 def _word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +133,8 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
         of_text = np.array([sum(c) for c in cut], np.int64)
         first, second = _unit_digests(words, begins, sizes)
         at = begins - (np.cumsum(of_text) - of_text)[text]
-        again = pd.DataFrame({"t": text, "a": first, "b": second}).duplicated().to_numpy().astype(np.int64)
+        again, twice = np.zeros(sizes.size, np.int64), np.flatnonzero(pd.Series(first).duplicated(keep=False))
+        again[twice] = pd.DataFrame({"t": text[twice], "a": first[twice], "b": second[twice]}).duplicated()
         return rows(part, text, first, second, again << 1 | at << 2 | sizes << 33)
 
     def seeds(part: pd.DataFrame, words: np.ndarray, offsets: np.ndarray) -> pd.DataFrame:
@@ -139,7 +145,8 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
         place = offsets[text] + at
         beside = lambda k, inside: np.where(inside, (words[np.where(inside, k, 0)] >> np.uint64(56)).astype(int) + 1, 0)
         before, after = beside(place - 1, at > 0), beside(place + size, place + size < offsets[text + 1])
-        again = np.asarray(_earlier([text, grams[chosen]], at, size)).astype(np.int64)
+        again, twice = np.zeros(chosen.size, np.int64), np.flatnonzero(pd.Series(grams[chosen]).duplicated(keep=False))
+        again[twice] = _earlier([text[twice], grams[chosen][twice]], at[twice], size)
         packed = 1 | again << 1 | at << 2 | before << 33 | after << 42
         return rows(part, text, grams[chosen].view(np.int64), np.zeros(chosen.size, np.int64), packed)
 
@@ -178,12 +185,15 @@ def _spread_join(rows: DataFrame, keyed: DataFrame, columns: list[str], total: i
     return rows.join(hot, columns).unionByName(rare)
 
 
-def _shared(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """The rows whose key stands in two places or more, with the lowest doc_id that has it."""
+def _shared(rows: DataFrame, size: int) -> DataFrame:
+    """Settled: the marks whose digest stands in two places or more, with the lowest doc_id that has it."""
+    columns = ["first", "second"]
     holders = rows.groupBy(*columns).agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
-    holders = settle(holders.filter("n > 1"), f"dedup-{label}")
+    holders = settle(holders.filter("n > 1"), "dedup-holders")
     release(rows.sparkSession)
-    return _spread_join(rows, holders, columns, rows.count())
+    shared = settle(_opened(_spread_join(rows, holders, columns, rows.count()), size), "dedup-repeated")
+    emptied(holders)
+    return shared
 
 
 def _extended(docs: DataFrame, shared: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
@@ -204,6 +214,8 @@ def _extended(docs: DataFrame, shared: DataFrame, repeated: DataFrame, size: int
     held = settle(held, "dedup-held")
     release(docs.sparkSession)
     around = settle(_keyed(docs).join(held, ["doc_id", "version"]).mapInPandas(_around(size), _AROUND_SCHEMA), "dedup-around", records=1000)
+    emptied(outer)
+    emptied(held)
     release(docs.sparkSession)
     return _reached(around, size)
 
@@ -280,6 +292,8 @@ def _reached(around: DataFrame, size: int) -> DataFrame:
     near = _spread_join(each, shared, key, total).filter("kept_in < least")
     reach = near.groupBy(*fold).agg(F.max(F.struct("delta", "kept_in")).alias("reach"))
     known = settle(folds.join(reach, fold, "left"), "dedup-reach")
+    emptied(folds)
+    emptied(shared)
     release(around.sparkSession)
     most = (F.length("prefixes") / _HASH_BYTES).cast("int")
     earlier = F.col("doc_id") > F.col("least")
@@ -300,7 +314,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """The passages to remove: doc_id, offsets, size, marks inside, and the lowest doc_id that keeps part of them."""
     size = seed_size(min_words)
     rows = marks(docs, size)
-    shared = settle(_opened(_shared(rows, ["first", "second"], "holders"), size), "dedup-repeated")
+    shared = _shared(rows, size)
     emptied(rows)  # later steps read the shared marks only
     release(docs.sparkSession)
     repeated = shared.filter("again OR doc_id > kept_in")
@@ -321,6 +335,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
         .filter(F.col("n_words") >= min_words)
     )
     runs = settle(runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n_words", "n_units", "kept_in")).alias("runs")), "dedup-passages")
+    emptied(shared)
     release(docs.sparkSession)
     return _located(docs, runs).select(_real_id("doc_id"), "version", "begin", "stop", "n_words", "n_units", _real_id("kept_in"))
 
