@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import release, settle, ship, slices
+from skyledger.llm.common import emptied, release, settle, ship, slices
 from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
 SIZE = 5
@@ -231,7 +231,9 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 <<
 
     schema = "block int, node string, weight double, common double, hashes binary, weights binary, front binary, rests binary, keys array<long>"
     found = placed.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, schema)
-    return settle(found.withColumn("id", F.xxhash64("node")), "near-candidates")
+    found = settle(found.withColumn("id", F.xxhash64("node")), "near-candidates")
+    emptied(shared)
+    return found
 
 
 def weighted_jaccard(a: bytes, wa: bytes, total_a: float, b: bytes, wb: bytes, total_b: float) -> float:
@@ -325,6 +327,8 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
     new = settle(_verified(settle(_open_pairs(found, members, known, similarity), "near-pairs"), found, similarity), "near-links", records=PAIRS)
     if not new.isEmpty():
         known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
+    emptied(found)
+    emptied(members)
     release(spark)
     return known
 
