@@ -58,17 +58,32 @@ def arrow_records(spark: SparkSession, records: int | None) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def settle(df: DataFrame, label: str, partition_by: str | None = None, records: int | None = None) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession, drop: bool) -> Iterator[None]:
+    """Let Spark (from 4.1 on) delete a query's shuffle files when the query ends, without waiting for garbage collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if drop:
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if drop:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, label: str, partition_by: str | None = None, records: int | None = None, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     Lineage ends there: later losses of executors recompute nothing before it,
     and rows keep the values they were written with. ``records`` bounds the rows
-    of an Arrow batch on the way.
+    of an Arrow batch on the way; ``drop_shuffles`` deletes the shuffle files of
+    the write at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{label}")
     writer = df.write.option("compression", "zstd")
-    with arrow_records(spark, records):
+    with arrow_records(spark, records), shuffles_dropped(spark, drop_shuffles):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._settled_at = path

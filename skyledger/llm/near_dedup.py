@@ -190,8 +190,9 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 <<
     buckets = max(1, -(-size["bytes"] * _KEY_BYTES // (6 * bucket_bytes)))
     spread = F.xxhash64("doc_id", "text")  # one doc_id on very many rows fills several blocks
     placed = texts.select(F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.md5("text").alias("node"), "text")
-    # Settled, so that the packed lists of all blocks can go before the sets are made.
-    shared = settle(_shared(_count_blocks(placed, buckets)), "near-shared")
+    # Settled, so that the packed lists of all blocks can go before the sets are made. They and the
+    # texts have more than twice the input; a garbage collection right after the write may come too early for them.
+    shared = settle(_shared(_count_blocks(placed, buckets)), "near-shared", drop_shuffles=True)
     release(docs.sparkSession)
 
     def run(key: tuple, frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +232,7 @@ def candidates(docs: DataFrame, similarity: float = 0.8, block_bytes: int = 4 <<
 
     schema = "block int, node string, weight double, common double, hashes binary, weights binary, front binary, rests binary, keys array<long>"
     found = placed.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, schema)
-    found = settle(found.withColumn("id", F.xxhash64("node")), "near-candidates")
+    found = settle(found.withColumn("id", F.xxhash64("node")), "near-candidates", drop_shuffles=True)
     emptied(shared)
     return found
 
@@ -316,7 +317,7 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
         centre = centre.filter("low <> high").select("key", "c")
         pairs = _apart(own.join(centre, "key"), "common", similarity)
         pairs = settle(pairs, "near-pairs")
-        new = settle(_verified(pairs, found, similarity), "near-links", records=PAIRS)
+        new = settle(_verified(pairs, found, similarity), "near-links", records=PAIRS, drop_shuffles=True)
         if linked := new.count():
             known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
         done = linked * FEW_LINKS < pairs.count()
@@ -324,7 +325,8 @@ def roots(docs: DataFrame, similarity: float = 0.8, rounds: int = 4, **sizes) ->
         release(spark)  # the sets that this round exchanged
         if done:
             break
-    new = settle(_verified(settle(_open_pairs(found, members, known, similarity), "near-pairs"), found, similarity), "near-links", records=PAIRS)
+    pairs = settle(_open_pairs(found, members, known, similarity), "near-pairs")
+    new = settle(_verified(pairs, found, similarity), "near-links", records=PAIRS, drop_shuffles=True)
     if not new.isEmpty():
         known = settle(_merged(known, settle(components(new), "near-merges")), "near-roots")
     emptied(found)

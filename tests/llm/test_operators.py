@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -317,6 +318,37 @@ def test_texts_apart_in_a_group_of_near_copies_are_not_compared_in_all_pairs(spa
     assert sum(compared) < 30 * len(texts)  # of 179,700 pairs
 
 
+def test_shuffled_texts_and_packed_lists_go_with_the_write_that_reads_them(spark, monkeypatch):
+    """Without any garbage collection; both have more than the input, and the texts are shuffled twice."""
+    rng = random.Random(31)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(200)) for _ in range(200)]
+    texts += [f"{t} end" for t in texts[:20]]
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, most, settled = set(shuffles()), sum(map(len, texts)) // 10, near_dedup.settle
+    left = {}
+
+    def settle(df, label, **options):
+        out = settled(df, label, **options)
+        for _ in range(100):  # executors delete in the background
+            left[label] = sum(n for name, n in shuffles().items() if name not in before)
+            if left[label] < most:
+                break
+            time.sleep(0.1)
+        return out
+
+    monkeypatch.setattr(near_dedup, "settle", settle)
+    monkeypatch.setattr(near_dedup, "release", lambda _: None)
+    out = near_dedup.classes(frame(spark, [(k, t, "en") for k, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.class_id for r in out} == {k: k if k < 200 else k - 200 for k in range(220)}
+    assert max(left[label] for label in ("near-shared", "near-candidates", "near-links")) < most
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was
+
+
 def test_repeated_passage_is_cut_from_later_documents(spark):
     rng = random.Random(6)
     passage = prose(rng, 80)
