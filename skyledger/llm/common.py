@@ -58,6 +58,18 @@ def arrow_records(spark: SparkSession, records: int | None) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def reader_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows in a batch of the Parquet reader, so that no array of whole texts grows large in the executors."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession, drop: bool) -> Iterator[None]:
     """Let Spark (from 4.1 on) delete a query's shuffle files when the query ends, without waiting for garbage collection."""

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import held_out, settle, ship, slices
+from skyledger.llm.common import held_out, reader_rows, settle, ship, slices
 from skyledger.llm.words import SPACED, owners, shingle_hashes, word_hashes
 
 FEATURES = (
@@ -102,7 +102,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "stats": list(statistics(texts).astype(np.float32))})
 
     out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, stats array<float>")
-    return settle(out, "quality-statistics", records=1000)
+    with reader_rows(docs.sparkSession, 1000):
+        return settle(out, "quality-statistics", records=1000)
 
 
 def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.02, exclude=None) -> dict | None:
