@@ -42,8 +42,12 @@ _SLICE, _PASS_SLICE = 1 << 17, 1 << 18
 #: Bytes of text that one partial sum of the decomposition stands for at least.
 _PART_BYTES = 16 << 20
 _SHORTEST, _GROWTH = 12, 1.5
-#: Places of an item's signature, in which every word of the item has one.
-_SIGNATURE = 1 << 10
+#: Places of an item's signature, in which every word of the item has one, and of a region's.
+_SIGNATURE, _REGION_SIGNATURE = 1 << 10, 1 << 12
+#: Passages whose images are added at a time; columns that so many of them hold are summed by a matrix product.
+_PASSAGES, _COMMON = 1 << 11, 12
+#: Words of a block of running sums.
+_RUN = 16
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:
@@ -104,16 +108,42 @@ def add_tree(parts: DataFrame, width: int = 64) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.float32) for x in rows["payload"]])
 
 
-def image(passage: np.ndarray, column: np.ndarray, count: np.ndarray, idf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns present and their rows of A'(A W), for passages of unit length."""
+def add_image(total: np.ndarray, passage: np.ndarray, column: np.ndarray, count: np.ndarray, idf: np.ndarray, start: np.ndarray) -> None:
+    """Add A'(A W) to ``total``, for passages of unit length; a bounded number of passages at a time."""
     weight = idf[column] * count.astype(np.float32)
     begin = np.flatnonzero(np.diff(passage, prepend=-1))
-    row = np.repeat(np.arange(begin.size), np.diff(np.append(begin, passage.size)))
-    weight /= np.sqrt(np.add.reduceat(weight * weight, begin))[row]
-    projected = np.add.reduceat(start[column] * weight[:, None], begin, axis=0)
-    order = np.argsort(column, kind="stable")
-    first = np.flatnonzero(np.diff(column[order], prepend=-1))
-    return column[order][first], np.add.reduceat(projected[row[order]] * weight[order, None], first, axis=0)
+    sizes = np.diff(np.append(begin, passage.size))
+    weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, begin)), sizes)
+    for k in range(0, begin.size, _PASSAGES):
+        size = sizes[k : k + _PASSAGES]
+        part = slice(begin[k], begin[k] + size.sum())
+        row = np.repeat(np.arange(size.size), size)
+        inside = np.arange(row.size) - np.repeat(np.cumsum(size) - size, size)
+        # No passage holds more than PASSAGE columns; places left over have no weight.
+        at, own = np.zeros((size.size, PASSAGE), np.int64), np.zeros((size.size, 1, PASSAGE), np.float32)
+        at[row, inside], own[row, 0, inside] = column[part], weight[part]
+        present, sums = _by_column(row, column[part], weight[part], (own @ start[at])[:, 0])
+        total[present] += sums
+
+
+def _by_column(row: np.ndarray, column: np.ndarray, weight: np.ndarray, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns present and the weighted sums of the projected rows that hold them."""
+    order = np.argsort(column.astype(np.uint16), kind="stable")  # below 2**BITS, sorted by radix
+    row, column, weight = row[order], column[order], weight[order]
+    first = np.flatnonzero(np.diff(column, prepend=-1))
+    times = np.diff(np.append(first, column.size))
+    sums = projected[row[first]] * weight[first, None]
+    some = np.flatnonzero(times < _COMMON)
+    for k in range(1, _COMMON - 1):
+        some = some[times[some] > k]
+        at = first[some] + k
+        sums[some] += projected[row[at]] * weight[at, None]
+    common = times >= _COMMON
+    at = np.repeat(common, times)
+    matrix = np.zeros((np.count_nonzero(common), len(projected)), np.float32)
+    matrix[np.repeat(np.arange(len(matrix)), times[common]), row[at]] = weight[at]
+    sums[common] = matrix @ projected
+    return column[first], sums
 
 
 def basis_of(total: np.ndarray) -> np.ndarray:
@@ -141,8 +171,7 @@ def singular_basis(docs: DataFrame, idf: np.ndarray, column: np.ndarray, size: i
                 passage, own, count, _ = _entries(*word_hashes(texts, ALNUM), column, idf.size)
                 if passage.size:
                     any_rows = True
-                    at, rows = image(passage, own, count, idf, start)
-                    total[at] += rows
+                    add_image(total, passage, own, count, idf, start)
         if any_rows:
             yield pd.DataFrame({
                 "part": TaskContext.get().partitionId(), "chunk": np.arange(chunks),
@@ -174,8 +203,14 @@ class Projection:
         """Running sums over the words that have a column, and how many such words come before each place."""
         own = self.column[_buckets(words)]
         before = np.concatenate([[0], np.cumsum(own >= 0)])
-        rows = np.zeros((before[-1] + 1, self.table.shape[1]), np.float32)
-        np.cumsum(self.table[own[own >= 0]], axis=0, out=rows[1:])
+        blocks = before[-1] // _RUN + 1
+        rows = np.zeros((blocks * _RUN, self.table.shape[1]), np.float32)
+        rows[1 : before[-1] + 1] = self.table[own[own >= 0]]
+        # Inside blocks of words first, then over the blocks: whole rows are added, which lie together.
+        runs = rows.reshape(blocks, _RUN, -1)
+        for k in range(1, _RUN):
+            runs[:, k] += runs[:, k - 1]
+        runs[1:] += np.cumsum(runs[:-1, -1], axis=0)[:, None]
         return rows, before
 
     @staticmethod
@@ -191,8 +226,8 @@ def window_sizes(longest: int, shortest: int = _SHORTEST) -> list[int]:
     return sizes
 
 
-def _places(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(_SIGNATURE - 1)).astype(np.int64)
+def _places(words: np.ndarray, size: int = _SIGNATURE) -> np.ndarray:
+    return (words & np.uint64(size - 1)).astype(np.int64)
 
 
 class Items:
@@ -207,7 +242,7 @@ class Items:
         self.answers = [found[a:b] if b > a else w[-5:] for a, b, w in zip(at[:-1], at[1:], self.words)]
         length = np.diff(offsets)
         sizes = np.array(window_sizes(int(length.max(initial=1)), int(length[length > 0].min(initial=_SHORTEST))))
-        self.length = length
+        self.length, self.first, self.places = length, offsets[:-1], _places(words, _REGION_SIGNATURE)
         self.signature = np.zeros((length.size, _SIGNATURE), bool)
         self.signature[np.repeat(np.arange(length.size), length), _places(words)] = True
         nearest = np.maximum(np.searchsorted(sizes, length, side="right") - 1, 0)
@@ -259,8 +294,9 @@ def candidates(words: np.ndarray, offsets: np.ndarray, items: Items, projection:
             window = sums[before[e]] - sums[before[b]]
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
             dots = window @ vectors.T
-            w, i = np.nonzero(dots >= (min_cosine * norm)[:, None])
-            for column, found in zip(out, (text[k + w], rows[i], b[w], e[w], dots[w, i] / norm[w])):
+            near = np.flatnonzero(dots >= (min_cosine * norm)[:, None])
+            w, i = np.divmod(near, rows.size)
+            for column, found in zip(out, (text[k + w], rows[i], b[w], e[w], dots.ravel()[near] / norm[w])):
                 column.append(found)
     text, item, begin, end, cosine = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
     order = np.lexsort((begin, item, text))
@@ -271,7 +307,8 @@ def regions(words: np.ndarray, offsets: np.ndarray, items: Items, near: Windows,
     """(text, item, low, high, cosine) of joined windows, with an item's length on either side.
 
     No subsequence is longer than the words there that the item's signature has,
-    so a region where these are fewer than ``least`` of the item is left out.
+    or than the item's words that the region's has, so a region where these are
+    fewer than ``least`` of the item is left out.
     """
     text, item, begin, end, cosine = near
     if not text.size:
@@ -289,15 +326,29 @@ def regions(words: np.ndarray, offsets: np.ndarray, items: Items, near: Windows,
     found = np.zeros(first.size, np.int64)
     for k in range(0, first.size, 1 << 12):  # bounded, as a region may be a whole text
         part = slice(k, k + (1 << 12))
-        size = high[part] - low[part]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(low[part] - (ends - size), size)
-        hit = items.signature[np.repeat(item[part], size), place[at]]
-        found[part] = np.add.reduceat(hit, ends - size, dtype=np.int64)
+        owner, at, begins = _ranges(low[part], high[part] - low[part])
+        found[part] = np.add.reduceat(items.signature[item[part][owner], place[at]], begins, dtype=np.int64)
+    keep = np.flatnonzero(found >= least * own - 1e-9)
+    text, item, own, low, high, top = (x[keep] for x in (text, item, own, low, high, top))
+    place, found = _places(words, _REGION_SIGNATURE), np.zeros(keep.size, np.int64)
+    for k in range(0, keep.size, 1 << 8):
+        part = slice(k, k + (1 << 8))
+        owner, at, _ = _ranges(low[part], high[part] - low[part])
+        signature = np.zeros((item[part].size, _REGION_SIGNATURE), bool)
+        signature[owner, place[at]] = True
+        owner, at, begins = _ranges(items.first[item[part]], own[part])
+        found[part] = np.add.reduceat(signature[owner, items.places[at]], begins, dtype=np.int64)
     keep = np.flatnonzero(found >= least * own - 1e-9)
     return list(zip(*(x[keep].tolist() for x in (text, item, low, high, top))))
 
 
+def _ranges(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of all ranges the range and the place, and where the ranges begin among them."""
+    begins = np.cumsum(size) - size
+    owner = np.repeat(np.arange(size.size), size)
+    return owner, np.arange(owner.size) + (low - begins)[owner], begins
+
+
 def confirm(words: np.ndarray, offsets: np.ndarray, items: Items, near: Windows, min_common: float, min_answered: float) -> list[tuple]:
     """(text, item, begin word, end word, cosine, common share, answered) of the best place of each confirmed pair."""
     best: dict[tuple[int, int], tuple] = {}
