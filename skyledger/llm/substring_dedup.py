@@ -27,7 +27,6 @@ columns pass through `remove` unchanged whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,6 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import emptied, release, settle, ship, slices
 from skyledger.llm.words import SPACED, mix, shingle_hashes, word_hashes
 
-_UNIT_END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
 #: Digests with more than one in so many of all units are joined apart from the others.
 MOST_FREQUENT = 1000
 #: A mark's place has its kind, whether it stands further up, its first word and its words, or those beside a seed.
@@ -50,11 +48,7 @@ _AROUND_SCHEMA = (
 _HASH_BYTES = 5
 #: Whether a code point, up to the last one that is white space, is white space.
 _IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
-
-
-def cut_units(text: str) -> list[int]:
-    """The number of words of every unit that has a word, in the order of the text."""
-    return [n for n in map(len, map(str.split, _UNIT_END.split(text))) if n]
+_SENTENCE_END = np.array([chr(c) in ".!?" for c in range(128)])
 
 
 def seed_size(min_words: int) -> int:
@@ -77,13 +71,28 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]  # they ascend
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts with line ends around them, and begin and end of every word there."""
+    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    edge = np.flatnonzero(np.diff(_IS_SPACE[np.minimum(codes, _IS_SPACE.size - 1)].view(np.int8))) + 1
+    return codes, edge[0::2], edge[1::2]
+
+
+def unit_begins(texts: list[str]) -> np.ndarray:
+    """The first word of every unit of all texts, whose words are counted through: after line ends, and blanks or tabs after ``.!?``."""
+    codes, starts, ends = _joined(texts)
+    new = np.zeros(starts.size + 1, bool)
+    new[np.searchsorted(starts, np.flatnonzero((codes == 10) | (codes == 13)))] = True
+    new[1:] |= _SENTENCE_END[np.minimum(codes[ends - 1], 127)] & ((codes[ends] == 32) | (codes[ends] == 9))
+    return np.flatnonzero(new[:-1])
+
+
 def _word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of every word of all texts, in code points of its text."""
-    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    edge = np.flatnonzero(np.diff((~_IS_SPACE[np.minimum(codes, _IS_SPACE.size - 1)]).view(np.int8))) + 1
+    _, starts, ends = _joined(texts)
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
-    base = first[np.searchsorted(first, edge[0::2], side="right") - 1]
-    return edge[0::2] - base, edge[1::2] - base
+    base = first[np.searchsorted(first, starts, side="right") - 1]
+    return starts - base, ends - base
 
 
 def _earlier(keys: list, at: np.ndarray, words) -> np.ndarray:
@@ -125,14 +134,12 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
             "first": first, "second": second, "place": place,
         })
 
-    def units(part: pd.DataFrame, lower: list[str], words: np.ndarray) -> pd.DataFrame:
-        cut = [cut_units(t) for t in lower]
-        text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        sizes = np.array([n for c in cut for n in c], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        of_text = np.array([sum(c) for c in cut], np.int64)
+    def units(part: pd.DataFrame, lower: list[str], words: np.ndarray, offsets: np.ndarray) -> pd.DataFrame:
+        begins = unit_begins(lower)
+        sizes = np.diff(np.append(begins, words.size))
+        text = np.searchsorted(offsets, begins, side="right") - 1
         first, second = _unit_digests(words, begins, sizes)
-        at = begins - (np.cumsum(of_text) - of_text)[text]
+        at = begins - offsets[text]
         again, twice = np.zeros(sizes.size, np.int64), np.flatnonzero(pd.Series(first).duplicated(keep=False))
         again[twice] = pd.DataFrame({"t": text[twice], "a": first[twice], "b": second[twice]}).duplicated()
         return rows(part, text, first, second, again << 1 | at << 2 | sizes << 33)
@@ -155,7 +162,7 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
             for part, _ in slices(frame, 1 << 20):
                 lower = [t.lower() for t in part["text"]]
                 words, offsets = _words([" ".join(t.split()) for t in lower])
-                yield units(part, lower, words)
+                yield units(part, lower, words, offsets)
                 if words.size:
                     yield seeds(part, words, offsets)
 
@@ -213,7 +220,9 @@ def _extended(docs: DataFrame, shared: DataFrame, repeated: DataFrame, size: int
     held = held.filter("left OR right").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "at", "left", "right")).alias("held"))
     held = settle(held, "dedup-held")
     release(docs.sparkSession)
-    around = settle(_keyed(docs).join(held, ["doc_id", "version"]).mapInPandas(_around(size), _AROUND_SCHEMA), "dedup-around", records=1000)
+    columns = [F.col(f"held.{c}").alias(c) for c in ("first", "at", "left", "right")]
+    texts = _keyed(docs).join(held, ["doc_id", "version"]).select("doc_id", "version", "text", *columns)
+    around = settle(texts.mapInPandas(_around(size), _AROUND_SCHEMA), "dedup-around", records=1000)
     emptied(outer)
     emptied(held)
     release(docs.sparkSession)
@@ -233,13 +242,13 @@ def _around(size: int):
             for part, _ in slices(frame, 1 << 20):
                 texts = part["text"].tolist()
                 words, offsets = _words([" ".join(t.lower().split()) for t in texts])
-                wanted = [
-                    (k, h["first"], h["at"], side) for k, held in enumerate(part["held"]) for h in held
-                    for side in (0, 1) if h["right" if side else "left"]
-                ]
-                if not wanted:
+                held = np.repeat(np.arange(len(part)), part["at"].map(len).to_numpy())
+                sides = [np.flatnonzero(np.concatenate(part[c].to_list())) for c in ("left", "right")]
+                chosen, side = np.concatenate(sides), np.repeat([0, 1], [len(s) for s in sides])
+                if not chosen.size:
                     continue
-                text, first, at, side = (np.array(c, np.int64) for c in zip(*wanted))
+                text = held[chosen]
+                first, at = (np.concatenate(part[c].to_list())[chosen].astype(np.int64) for c in ("first", "at"))
                 low, high = offsets[text] + at, offsets[text] + at + size
                 chain, counts, again = first.view(np.uint64).copy(), np.zeros(text.size, np.int64), np.zeros(text.size, np.int64)
                 hashes = np.zeros((text.size, size - 1), np.uint64)
