@@ -186,8 +186,10 @@ def _opened(marked: DataFrame, size: int) -> DataFrame:
 def _spread_join(rows: DataFrame, keyed: DataFrame, columns: list[str], total: int) -> DataFrame:
     """``rows`` joined with ``keyed``, which has a row and the count ``n`` of each key."""
     frequent = total / MOST_FREQUENT
-    # At most MOST_FREQUENT keys can hold so many rows each, so Spark sees a small side and joins it without a shuffle.
-    hot = keyed.filter(F.col("n") > frequent)
+    # At most MOST_FREQUENT keys can hold so many rows each; stored, their size is known before any row is shuffled for them.
+    hot = settle(keyed.filter(F.col("n") > frequent), "dedup-frequent")
+    if hot.isEmpty():
+        return rows.join(keyed, columns)
     rare = rows.join(hot.select(*columns), columns, "left_anti").join(keyed.filter(F.col("n") <= frequent), columns)
     return rows.join(hot, columns).unionByName(rare)
 
