@@ -332,11 +332,13 @@ class Warehouse:
         touched = {tuple(r) for r in earlier} | {partition_of(f) for f in added}
         if not touched:
             return
-        new, names = self.added_rows(added), files.select("landing_file").distinct()
+        names = files.select("landing_file").distinct()
+        # Spark takes the size of packed files for that of the rows; a broadcast would bring all cells to the driver
+        new = self.added_rows(added).select(*cell).distinct().hint("merge")
 
         def keep(old: DataFrame) -> DataFrame:
             others = old.join(names, "landing_file", "left_anti")
-            return others.join(new.select(*cell).distinct(), cell, "left_anti")
+            return others.join(new, cell, "left_anti")
 
         self._merge(before, touched, added, keep)
         now = self.read("raw.daily", touched, hidden=True).where(F.col("landing_file").isNotNull())
